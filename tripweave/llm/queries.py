@@ -31,6 +31,18 @@ def op7_threshold_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"))
 
 
+def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from .ordinal import quality_grades
+
+    return quality_grades(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from .bpe import encoded_digests
+
+    return encoded_digests(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
