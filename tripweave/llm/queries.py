@@ -31,6 +31,12 @@ def op7_threshold_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"))
 
 
+def op2_url_words(spark: SparkSession, folder: str) -> DataFrame:
+    from .url_filter import judged_urls
+
+    return judged_urls(table(spark, folder, "pages"))
+
+
 def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     from .ordinal import quality_grades
 
