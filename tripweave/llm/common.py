@@ -126,3 +126,52 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powe
     """Hashes of the word sequences [start, end): equal for equal sequences, wherever they stand."""
     _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def selected(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` neighbouring grams the place of its least (leftmost of equals): its minimiser."""
+    view = np.lib.stride_tricks.sliding_window_view(grams, width)
+    return np.arange(len(view)) + view.argmin(axis=1)
+
+
+def document_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, th, t: the id in an order with null last, a hash of the text that tells rows of the same id apart, the text."""
+    return docs.select(F.coalesce(F.col(doc_id), F.lit(2**63 - 1)).alias("k"), F.hash(text_of(text)).alias("th"), text_of(text).alias("t"))
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``df`` (a table of few narrow columns) only if it has at most ``rows`` rows; else let it be shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def binary_column(data: np.ndarray, ends: np.ndarray):
+    """An Arrow column of the bytes of ``data``, cut at ``ends``."""
+    import pyarrow as pa
+
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def whole_groups(batches, keys: list[str], rows: int = 65_536):
+    """Arrow tables from a partition sorted by ``keys``, of about ``rows`` rows, such that no group of equal keys is cut."""
+    import pyarrow as pa
+
+    held, n, wanted = [], 0, rows
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < wanted:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = np.ones(n, bool)
+        for key in keys:
+            column = table[key].to_numpy()
+            last &= column == column[-1]
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+            held, n, wanted = table.slice(cut).to_batches(), n - cut, rows
+        else:
+            held, wanted = table.to_batches(), 2 * n
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -37,6 +37,12 @@ def op2_url_words(spark: SparkSession, folder: str) -> DataFrame:
     return judged_urls(table(spark, folder, "pages"))
 
 
+def op3_rlz_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from .rlz import digests
+
+    return digests(table(spark, folder, "documents"))
+
+
 def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     from .ordinal import quality_grades
 
@@ -64,6 +70,20 @@ FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULL
 """
 
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS p, words FROM w WHERE len(words) >= 20),
+k AS (SELECT doc_id, p, array_to_string(words[p:p+19], ' ') AS window_text FROM s),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY window_text ORDER BY doc_id, p) AS place FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM f WHERE place > 1),
+g AS (SELECT doc_id, list(q) AS removed FROM c GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS q FROM w),
+y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.q) AS kept FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.q = c.q GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN y ON w.doc_id = y.doc_id
+"""
+
+
 def op7_sql() -> str:
     """The measures and the table of thresholds, once more, as SQL."""
     from .rules import STOP_WORDS, SYMBOLS, THRESHOLDS
@@ -102,4 +122,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_content_sort": OP6_SQL, "op7_threshold_rules": op7_sql()}
+    return {"op3_rlz_substrings": OP3_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": op7_sql()}
