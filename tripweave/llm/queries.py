@@ -49,6 +49,12 @@ def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_grades(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    from .sparse_suffix import repeated_passages
+
+    return repeated_passages(table(spark, folder, "documents"))
+
+
 def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from .bpe import encoded_digests
 
