@@ -55,6 +55,12 @@ def op8_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents"))
 
 
+def op9_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    from .chosen_path import similarity_classes
+
+    return similarity_classes(table(spark, folder, "documents"))
+
+
 def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from .bpe import encoded_digests
 
@@ -90,6 +96,21 @@ FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN y ON w.doc_id = y.doc_id
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[p:p+4], ' ') AS g
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS p FROM w WHERE len(words) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 9 * both_have >= 4 * (x.n + y.n)
+      UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.doc_id <> y.doc_id AND len(x.words) = 0 AND len(y.words) = 0),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+l AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT l.a AS doc_id, class_id, coalesce(n_links, 0) AS n_links, l.a = class_id AS kept FROM l LEFT JOIN n ON n.a = l.a
+"""
+
+
 def op7_sql() -> str:
     """The measures and the table of thresholds, once more, as SQL."""
     from .rules import STOP_WORDS, SYMBOLS, THRESHOLDS
@@ -128,4 +149,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_substrings": OP3_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": op7_sql()}
+    return {"op3_rlz_substrings": OP3_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": op7_sql()}
