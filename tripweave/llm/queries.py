@@ -43,6 +43,12 @@ def op3_rlz_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return digests(table(spark, folder, "documents"))
 
 
+def op4_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from .mixing import mixture_rates
+
+    return mixture_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     from .ordinal import quality_grades
 
