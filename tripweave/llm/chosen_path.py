@@ -261,7 +261,7 @@ def with_paths(found: DataFrame, sets: DataFrame, runs: int) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, kept of every document.
+    """doc_id, class_id, n_links, kept and text_hash of every document.
 
     Two documents are linked if the Jaccard similarity of their sets of
     ``size``-word shingles is 0.8 or more; a shorter text is one shingle, and
@@ -299,5 +299,12 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_
     of_set = stored(label.join(least, "root").join(degree, "d", "left").select("d", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     return all_sets.select("k", "th", "d").join(of_set, "d").select(
         F.nullif("k", F.lit(2**63 - 1)).alias("doc_id"), F.nullif("least.k", F.lit(2**63 - 1)).alias("class_id"), "n_links",
-        ((F.col("k") == F.col("least.k")) & (F.col("th") == F.col("least.th"))).alias("kept"),
+        ((F.col("k") == F.col("least.k")) & (F.col("th") == F.col("least.th"))).alias("kept"), F.col("th").alias("text_hash"),
     )
+
+
+def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`similarity_classes` keeps: one document of each class."""
+    last = F.lit(2**63 - 1)
+    staying = similarity_classes(docs, doc_id=doc_id, text=text).filter("kept").select(F.coalesce("doc_id", last).alias("__k"), F.col("text_hash").alias("__th")).distinct()
+    return docs.withColumns({"__k": F.coalesce(F.col(doc_id), last), "__th": F.hash(F.coalesce(F.col(text), F.lit("")))}).join(staying, ["__k", "__th"], "left_semi").select(*docs.columns)

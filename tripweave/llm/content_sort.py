@@ -93,3 +93,11 @@ def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ((F.col("place") == 1) & (~F.col("split") | (F.col("part") == F.col("best.p")))).alias("kept"),
         "text_sha256",
     )
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`content_groups` keeps, with all their columns: one of each group of equal texts."""
+    staying = content_groups(docs, doc_id, text).filter("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__k"), F.col("text_sha256").alias("__sha"))
+    keyed = docs.withColumns({"__k": F.coalesce(F.col(doc_id), F.lit(2**63 - 1)), "__sha": F.sha2(normalised(text), 256)})
+    # repeated rows with the same id and text: one of them
+    return keyed.join(staying, ["__k", "__sha"], "left_semi").dropDuplicates(["__k", "__sha"]).select(*docs.columns)

@@ -25,7 +25,7 @@ from .rules import SPACES
 #: Hashed words that the classifier tells apart, and labelled rows, at most, that it learns from.
 BUCKETS, SAMPLE_ROWS = 4096, 20_000
 #: How far the mean evidence of a word counts: posteriors stay soft in long texts.
-SHARPNESS = 12.0
+SHARPNESS = 2.0
 STEPS, EXACT = 40, 1e-9
 #: Domains and weights of the query.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}

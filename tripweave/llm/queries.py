@@ -64,7 +64,7 @@ def op8_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 def op9_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     from .chosen_path import similarity_classes
 
-    return similarity_classes(table(spark, folder, "documents"))
+    return similarity_classes(table(spark, folder, "documents")).drop("text_hash")
 
 
 def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
