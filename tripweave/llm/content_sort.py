@@ -20,6 +20,8 @@ from .common import WHITE, partitions, stored, text_of
 SAMPLE_ROWS = 20_000
 #: A text that the sample holds so often is split, into parts of so many sampled rows.
 FREQUENT = 8
+#: Code points of a text by which it is ordered first.
+PREFIX = 16
 
 
 def normalised(text: str = "text"):
@@ -60,13 +62,15 @@ def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         rows.withColumn("norm_hash", F.xxhash64("norm"))
         .join(frequent, "norm_hash", "left")
         .withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "n_chars"), F.col("parts")), F.lit(0)).cast("int"))
-        .select("doc_id", "n_chars", "norm", "part", F.col("parts").isNotNull().alias("split"))
+        .select("doc_id", "n_chars", "norm", "norm_hash", F.substring("norm", 1, PREFIX).alias("prefix"), "part", F.col("parts").isNotNull().alias("split"))
     )
     best = (F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last())
-    ordered = keyed.repartitionByRange(partitions(spark), "norm", "part").sortWithinPartitions("norm", "part", *best)
+    # Splitters are sampled from a prefix and a hash, so that whole texts never travel to the driver.
+    splitters = ("prefix", "norm_hash", "part")
+    ordered = keyed.repartitionByRange(partitions(spark), *splitters).sortWithinPartitions(*splitters, "norm", *best)
     # The range partitioning and the order above serve this window: groups are runs of equal neighbours.
-    run = Window.partitionBy("norm", "part").orderBy(*best)
-    whole = Window.partitionBy("norm", "part")
+    whole = Window.partitionBy(*splitters, "norm")
+    run = whole.orderBy(*best)
     runs = stored(
         ordered.select(
             "doc_id", "n_chars", "split", "part",
