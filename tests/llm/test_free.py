@@ -53,7 +53,9 @@ def test_rlz_of_odd_tables(empty, clashing, rows):
     assert rlz.without_repeats(clashing).count() == len(rows)
 
 
-def test_suffixes_find_every_long_passage(docs, rows, empty, clashing):
+@pytest.mark.parametrize("group", [16_384, 1])
+def test_suffixes_find_every_long_passage(docs, rows, empty, clashing, monkeypatch, group):
+    monkeypatch.setattr(sparse_suffix, "GROUP", group)  # 1: every shared head counts as crowded
     seen = defaultdict(set)
     for place, (i, t, *_) in enumerate(rows):
         w = words_of(t)

@@ -24,8 +24,8 @@ from .rlz import merged
 MIN_WORDS = 50
 #: Words of a gram, and grams of a window: a suffix is retained among so many neighbours.
 GRAM, WIDTH = 8, 27
-#: Retained suffixes that share their head are sorted in parts of about so many.
-PART = 4096
+#: Up to so many suffixes that share their head are sorted in one task; more are compared window by window.
+GROUP = 16_384
 
 
 def head_words(min_words: int) -> int:
@@ -80,8 +80,8 @@ def _contexts(min_words: int):
                     at = x["at"]
                     # big-endian, so that bytes sort as the words do; the left side reads outwards
                     right, left = words[at + head : at + head + WIDTH].astype(">u4"), words[max(0, at - WIDTH) : at][::-1].astype(">u4")
-                    rows.append((x["head"], x["part"], k, th, at, right.tobytes(), left.tobytes()))
-            yield pd.DataFrame(rows, columns=["head", "part", "k", "th", "at", "right", "left"])
+                    rows.append((x["head"], k, th, at, right.tobytes(), left.tobytes()))
+            yield pd.DataFrame(rows, columns=["head", "k", "th", "at", "right", "left"])
 
     return run
 
@@ -126,9 +126,9 @@ def _matches(min_words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for table in whole_groups(batches, ["head", "part"], 16_384):
-            h, part = table["head"].to_numpy(), table["part"].to_numpy()
-            group = np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]) | (part[1:] != part[:-1]))))
+        for table in whole_groups(batches, ["head"], 16_384):
+            h = table["head"].to_numpy()
+            group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
             k, th, at = (table[c].to_numpy() for c in ("k", "th", "at"))
             rows, starts, ends = neighbour_matches(group, at, padded(table["right"].to_pylist()), padded(table["left"].to_pylist()), head, min_words)
             if len(rows):
@@ -137,21 +137,50 @@ def _matches(min_words: int):
     return run
 
 
+def _windows(min_words: int):
+    """All windows of ``min_words`` words that hold the head of a suffix, with two hashes of their content."""
+    head = head_words(min_words)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hasher = WordHasher()
+        for batch in batches:
+            parts = []
+            for k, th, t, suffixes in zip(*(batch[c].to_pylist() for c in ("k", "th", "t", "suffixes"))):
+                words = hasher(t.encode())
+                at = np.array([x["at"] for x in suffixes], np.int64)
+                starts = np.unique((at[:, None] - np.arange(min_words - head + 1)[None, :]).ravel())
+                starts = starts[(starts >= 0) & (starts + min_words <= len(words))]
+                if len(starts):
+                    one, two = (span_hash(prefix_sums(w), starts, starts + min_words) for w in (words, words ^ np.uint64(0x5BD1E9955BD1E995)))
+                    parts.append((np.full(len(starts), k), np.full(len(starts), th), starts, one, two))
+            if parts:
+                k, th, start, one, two = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(th.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k", "th", "start", "one", "two"])
+
+    return run
+
+
 def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """k, th, start, end (words) of matches; they may overlap and repeat."""
     spark = rows.sparkSession
     small_batches(spark)
     often = rows.mapInArrow(_heads(min_words, False), "head long").groupBy("head").count().filter("count > 1")
     found = rows.mapInArrow(_heads(min_words, True), "head long, k long, th int, at int").join(often, "head")
-    shared = stored(
-        found.select("k", "th", F.struct("at", "head", F.pmod(F.xxhash64("k", "at"), F.ceil(F.col("count") / PART)).cast("int").alias("part")).alias("suffix")),
-        "shared-suffixes",
-    )
+    shared = stored(found.select("k", "th", F.struct("at", "head").alias("suffix"), (F.col("count") > GROUP).alias("crowded")), "shared-suffixes")
     # at most as many suffixes of a document as it has words
-    of_document = shared.groupBy("k", "th").agg(F.collect_list("suffix").alias("suffixes"))
-    contexts = rows.join(of_document, ["k", "th"]).mapInPandas(_contexts(min_words), "head long, part int, k long, th int, at int, right binary, left binary")
-    ordered = contexts.repartition(partitions(spark), "head", "part").sortWithinPartitions("head", "part", "right", "left", "k", "at")
-    return ordered.mapInArrow(_matches(min_words), "k long, th int, start int, end int").distinct()
+    listed = lambda crowded: shared.filter(F.col("crowded") == crowded).groupBy("k", "th").agg(F.collect_list("suffix").alias("suffixes"))
+    contexts = rows.join(listed(False), ["k", "th"]).mapInPandas(_contexts(min_words), "head long, k long, th int, at int, right binary, left binary")
+    ordered = contexts.repartition(partitions(spark), "head").sortWithinPartitions("head", "right", "left", "k", "at")
+    neighbours = ordered.mapInArrow(_matches(min_words), "k long, th int, start int, end int")
+    if shared.filter("crowded").isEmpty():
+        return neighbours.distinct()
+    # A head that very many suffixes share says too little for neighbours to be found in one task: equal windows are counted.
+    windows = stored(rows.join(listed(True), ["k", "th"]).mapInArrow(_windows(min_words), "k long, th int, start int, one long, two long"), "crowded-windows")
+    again = windows.groupBy("one", "two").count().filter("count > 1")
+    equal = windows.join(again, ["one", "two"]).select("k", "th", "start", (F.col("start") + min_words).alias("end"))
+    return neighbours.unionAll(equal).distinct()
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,9 +197,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str =
 
     A passage of ``min_words`` words or more that stands twice, in two
     documents or in one, is found at both places; overlapping matches are
-    joined. Words are separated by white space and compared as they are. Where
-    more than PART suffixes share a head, neighbours are sought among that
-    many. Documents without such a passage give no row, so null, empty and
+    joined. Words are separated by white space and compared as they are.
+    Documents without such a passage give no row, so null, empty and
     shorter texts and an empty table give none; repeated rows give repeated
     rows only if their texts differ. Other columns are ignored.
     """
