@@ -129,7 +129,7 @@ def test_rates_meet_the_targets(spark):
     assert np.allclose(p.sum(axis=1), 1) and (x >= 0).all()
     assert np.allclose((x * t) @ p / t.sum(), list(weights.values()), atol=1e-3)
     between = p[got["doc_id"] >= 300]
-    assert (between[:, [0, 3]] > 0.02).all()
+    assert (between[:, [0, 3]].mean(axis=0) > 0.2).all() and (between[:, [1, 2]] < 0.05).all()
 
 
 def test_rates_come_as_near_as_they_can(docs, rows):

@@ -24,8 +24,8 @@ from .rules import SPACES
 
 #: Hashed words that the classifier tells apart, and labelled rows, at most, that it learns from.
 BUCKETS, SAMPLE_ROWS = 4096, 20_000
-#: How far the mean evidence of a word counts: posteriors stay soft in long texts.
-SHARPNESS = 2.0
+#: How far the mean evidence of a word counts: as much for a long text as for a short one, so that mixed texts stay mixed.
+SHARPNESS = 6.0
 #: Steps at most; they end when the targets are met so well, or the squared distance falls by less than this part.
 STEPS, EXACT, STALLED = 40, 1e-6, 1e-3
 #: Domains and weights of the query.

@@ -172,11 +172,11 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
+    shared = spark.sparkContext.broadcast((model.weights, model.thresholds))  # a fixed number of weights
     docs = docs.drop("expected_grade", "tail_probability", "__t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, m = Features(), shared.value
+        features, m = Features(), Model(*shared.value)
         for p in batches:
             scores = np.array([m.score(features(t)) for t in p["__t"]])
             tail = m.tail(scores) if len(scores) else np.zeros((0, GRADES - 1))
