@@ -230,3 +230,10 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     order = lambda df: sorted(tuple(r) for r in df.collect())
     assert order(spark.table("live_pairs")) == order(pairs.pair_sums(trips, pairs.WEEKDAYS))
+
+
+def test_fetch_keeps_what_is_there(files):
+    from tripweave.sources.fetch import fetch_csv
+
+    url, out = (files / "stations.csv").as_uri(), str(files / "new" / "s.csv")
+    assert fetch_csv(url, out) == 5 and fetch_csv(url, out) is None and fetch_csv(url, out, force=True) == 5
