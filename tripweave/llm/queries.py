@@ -117,7 +117,7 @@ SELECT l.a AS doc_id, class_id, coalesce(n_links, 0) AS n_links, l.a = class_id
 """
 
 
-def op7_sql() -> str:
+def sql_of_rules() -> str:
     """The measures and the table of thresholds, once more, as SQL."""
     from .rules import STOP_WORDS, SYMBOLS, THRESHOLDS
 
@@ -155,4 +155,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_substrings": OP3_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": op7_sql()}
+    return {"op3_rlz_substrings": OP3_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules()}
