@@ -95,8 +95,11 @@ _STATION = "complex_id int, name string, routes array<string>, lat double, lon d
 
 
 def read_complexes(spark: SparkSession, path: str) -> DataFrame:
-    """One row a complex; of rows with the same id the last of the file counts."""
-    raw = spark.read.option("header", True).csv(path)
+    """One row a complex; of rows with the same id the last of the file counts.
+
+    Station tables have a few hundred rows and stay in one partition, so that nothing about stations is ever shuffled.
+    """
+    raw = spark.read.option("header", True).csv(path).coalesce(1)
     rows = raw.select("*", F.monotonically_increasing_id().alias("place"))
     last = rows.groupBy(F.col("complex_id").cast("int").alias("complex_id")).agg(F.max_by(F.struct(*[c for c in raw.columns if c != "complex_id"]), "place").alias("s"))
     return last.select(

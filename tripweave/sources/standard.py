@@ -1,4 +1,7 @@
-"""The ridership model over the standard tables: a view of suppliers, customers and line items as stations and trips."""
+"""The ridership model over the standard tables: a view of suppliers, customers and line items as stations and trips.
+
+Station tables have a few dozen rows and stay in one partition, so that nothing about stations is ever shuffled.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +27,7 @@ def platforms(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("L"), (key % 5).cast("string")).alias("line"), F.array_sort(F.array_distinct(F.array(letter(key), letter(key * 3)))).alias("routes"),
         (F.lit(40.5) + (key * 41 % 100) * F.lit(0.004)).cast("double").alias("lat"), (F.lit(-74.2) + (key * 59 % 100) * F.lit(0.005)).cast("double").alias("lon"),
         F.col("r_name").alias("borough"),
-    )
+    ).coalesce(1)
 
 
 def complexes(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +38,7 @@ def complexes(spark: SparkSession, folder: str) -> DataFrame:
         key.alias("complex_id"), F.col("n_name").alias("name"), F.coalesce("routes", F.array().cast("array<string>")).alias("routes"),
         (F.lit(40.5) + (key * 37 % 100) * F.lit(0.004)).cast("double").alias("lat"), (F.lit(-74.2) + (key * 53 % 100) * F.lit(0.005)).cast("double").alias("lon"),
         F.col("r_name").alias("borough"), (key % 3 == 0).alias("cbd"),
-    )
+    ).coalesce(1)
 
 
 def trips(spark: SparkSession, folder: str) -> DataFrame:
