@@ -166,7 +166,8 @@ def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """k, th, start, end (words) of matches; they may overlap and repeat."""
     spark = rows.sparkSession
     small_batches(spark)
-    often = rows.mapInArrow(_heads(min_words, False), "head long").groupBy("head").count().filter("count > 1")
+    # Written out, so that both sides of the next join are shuffled for it, and Spark can split a head that is in very many documents.
+    often = stored(rows.mapInArrow(_heads(min_words, False), "head long").groupBy("head").count().filter("count > 1"), "shared-heads")
     found = rows.mapInArrow(_heads(min_words, True), "head long, k long, th int, at int").join(often, "head")
     shared = stored(found.select("k", "th", F.struct("at", "head").alias("suffix"), (F.col("count") > GROUP).alias("crowded")), "shared-suffixes")
     # at most as many suffixes of a document as it has words
@@ -177,7 +178,8 @@ def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if shared.filter("crowded").isEmpty():
         return neighbours.distinct()
     # A head that very many suffixes share says too little for neighbours to be found in one task: equal windows are counted.
-    windows = stored(rows.join(listed(True), ["k", "th"]).mapInArrow(_windows(min_words), "k long, th int, start int, one long, two long"), "crowded-windows")
+    # Not written out: within one plan the texts are shuffled once for all of these joins.
+    windows = rows.join(listed(True), ["k", "th"]).mapInArrow(_windows(min_words), "k long, th int, start int, one long, two long")
     again = windows.groupBy("one", "two").count().filter("count > 1")
     equal = windows.join(again, ["one", "two"]).select("k", "th", "start", (F.col("start") + min_words).alias("end"))
     return neighbours.unionAll(equal).distinct()
