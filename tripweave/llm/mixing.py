@@ -51,7 +51,8 @@ def log_weights(labelled: DataFrame, domains: list[str], limit: int = SAMPLE_ROW
 
 
 def _numbers(values: np.ndarray) -> str:
-    return "array(" + ", ".join(f"{v:.6f}D" for v in values) + ")"
+    """A constant array, as one literal: the optimizer folds it, and no tree of thousands of nodes is built."""
+    return "cast(split('" + ",".join(f"{v:.6f}" for v in values) + "', ',') AS array<double>)"
 
 
 def with_posteriors(docs: DataFrame, weights: np.ndarray, prior: np.ndarray, text: str = "text") -> DataFrame:
@@ -161,5 +162,8 @@ def thinned(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float])
     top = members.agg(F.max(rate(steps))).first()[0] or 1.0
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     extra = [c for c in docs.columns if c in ("tokens", "posteriors")]
-    kept = with_posteriors(docs.withColumnsRenamed({c: f"__{c}" for c in extra}), w, prior).filter(chance < rate(steps) / F.lit(float(top)))
-    return kept.drop("tokens", "posteriors").withColumnsRenamed({f"__{c}": c for c in extra}).select(*docs.columns)
+    judged = with_posteriors(docs.withColumnsRenamed({c: f"__{c}" for c in extra}), w, prior)
+    # The row number, as long as the filter reads it, keeps the filter above the posteriors: pushed below, it would repeat
+    # them for every step of the rate.
+    kept = judged.withColumn("__row", F.monotonically_increasing_id()).withColumn("__rate", rate(steps)).filter((chance < F.col("__rate") / F.lit(float(top))) & (F.col("__row") >= 0))
+    return kept.drop("tokens", "posteriors", "__row", "__rate").withColumnsRenamed({f"__{c}": c for c in extra}).select(*docs.columns)
