@@ -35,7 +35,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents stay with a chance in proportion to their rate, so that the languages' tokens come to MIXTURE."""
+    """Documents stay with their rate as the chance, so that the languages' tokens come to MIXTURE's shares of all, or as near as single copies allow."""
     return mixing.thinned(docs, mixing.labelled_languages(docs, table(spark, folder, "labels")), MIXTURE)
 
 

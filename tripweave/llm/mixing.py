@@ -65,12 +65,13 @@ def with_posteriors(docs: DataFrame, weights: np.ndarray, prior: np.ndarray, tex
     return df.withColumn("posteriors", F.transform("__x", lambda x: x / F.aggregate("__x", F.lit(0.0), lambda a, b: a + b))).drop("__x")
 
 
-def rate(steps: list[np.ndarray]) -> Column:
-    """A document's rate after the steps: from 1, each moves it along its posteriors and back to 0 if it went below."""
+def rate(steps: list[np.ndarray], most: float | None = None) -> Column:
+    """A document's rate after the steps: from 1, each moves it along its posteriors and back to 0 if it went below, or to ``most`` if above."""
 
     def step(x: Column, u: np.ndarray) -> Column:
         move = reduce(Column.__add__, [F.col("posteriors")[k] * F.lit(float(v)) for k, v in enumerate(u)])
-        return F.greatest(F.lit(0.0), x - move)
+        moved = F.greatest(F.lit(0.0), x - move)
+        return moved if most is None else F.least(F.lit(float(most)), moved)
 
     return reduce(step, steps, F.lit(1.0))
 
@@ -82,9 +83,9 @@ def metric(gram: np.ndarray) -> np.ndarray:
     return np.linalg.inv(gram + (0.05 * np.trace(gram) / k + 1e-9) * np.eye(k))
 
 
-def fitted_steps(members: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
+def fitted_steps(members: DataFrame, targets: np.ndarray, most: float | None = None) -> list[np.ndarray]:
     """Steps of projected gradient descent on the squared distance of the domains' expected tokens to ``targets``,
-    until it no longer falls."""
+    until it no longer falls; rates stay within 0 and ``most``."""
     k = len(targets)
     p = [F.col("posteriors")[i] for i in range(k)]
     t = F.col("tokens").cast("double")
@@ -97,7 +98,7 @@ def fitted_steps(members: DataFrame, targets: np.ndarray) -> list[np.ndarray]:
     steps: list[np.ndarray] = []
     last = np.inf
     while len(steps) < STEPS:
-        reached = np.array(members.agg(*[F.coalesce(F.sum(t * rate(steps) * q), F.lit(0.0)) for q in p]).first(), float)
+        reached = np.array(members.agg(*[F.coalesce(F.sum(t * rate(steps, most) * q), F.lit(0.0)) for q in p]).first(), float)
         off = reached - targets
         distance = float(off @ inverse @ off)
         if np.abs(off).max() <= EXACT * max(1.0, float(targets.sum())) or distance > (1 - STALLED) * last:
@@ -148,22 +149,22 @@ def mixture_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, floa
 
 
 def thinned(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """The rows of ``docs`` that stay if each does with a probability in proportion to its rate, decided by a hash of its id.
+    """The rows of ``docs`` that stay if each does with its rate as the chance, decided by a hash of its id.
 
-    The largest rate counts as certain, so no row comes twice; tokens of the
-    domains come out in proportion to ``weights``.
+    No row comes twice, so rates are fitted between 0 and 1: the domains' kept
+    tokens meet their ``weights``' shares of all tokens, or, where a domain has
+    fewer, come as near as its rows allow, and no other domain loses rows for it.
     """
     domains = list(weights)
     w, prior = log_weights(labelled, domains)
     members = stored(with_posteriors(docs.select("doc_id", "text"), w, prior).select("tokens", "posteriors"), "memberships")
     total = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = np.array([weights[d] for d in domains], float)
-    steps = fitted_steps(members, share / share.sum() * total)
-    top = members.agg(F.max(rate(steps))).first()[0] or 1.0
+    steps = fitted_steps(members, share / share.sum() * total, 1.0)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     extra = [c for c in docs.columns if c in ("tokens", "posteriors")]
     judged = with_posteriors(docs.withColumnsRenamed({c: f"__{c}" for c in extra}), w, prior)
     # The row number, as long as the filter reads it, keeps the filter above the posteriors: pushed below, it would repeat
     # them for every step of the rate.
-    kept = judged.withColumn("__row", F.monotonically_increasing_id()).withColumn("__rate", rate(steps)).filter((chance < F.col("__rate") / F.lit(float(top))) & (F.col("__row") >= 0))
+    kept = judged.withColumn("__row", F.monotonically_increasing_id()).withColumn("__rate", rate(steps, 1.0)).filter((chance < F.col("__rate")) & (F.col("__row") >= 0))
     return kept.drop("tokens", "posteriors", "__row", "__rate").withColumnsRenamed({f"__{c}": c for c in extra}).select(*docs.columns)
