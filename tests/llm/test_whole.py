@@ -1,12 +1,13 @@
 """Operators do the whole job where tables are skewed, passages quoted in parts, and ids shared."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tripweave.llm import mixing
+from tripweave.llm import mixing, sparse_suffix
 
 from .conftest import prose
 
@@ -24,3 +25,25 @@ def test_mixing_keeps_what_the_targets_ask_for(spark):
     for domain, share in corpus_pipeline.MIXTURE.items():
         want = min(there[domain], share * sum(there.values()))
         assert abs(kept[domain] - want) < 0.1 * want, (domain, kept, there)
+
+
+@pytest.mark.parametrize("group", [16_384, 2])
+def test_suffixes_find_all_partial_quotes_of_a_clause(spark, monkeypatch, group):
+    monkeypatch.setattr(sparse_suffix, "GROUP", group)  # 2: windows of larger groups are compared by a shuffle
+    rng = random.Random(4)
+    clause = prose(rng, 100).split()
+    texts = []
+    for _ in range(400):
+        n = rng.randint(30, 60)
+        s = rng.randint(0, 100 - n)
+        texts.append([*prose(rng, rng.randint(5, 40)).split(), *clause[s : s + n], *prose(rng, rng.randint(5, 40)).split()])
+    seen, covered = defaultdict(set), defaultdict(set)
+    for i, words in enumerate(texts):
+        for s in range(len(words) - 49):
+            seen[tuple(words[s : s + 50])].add((i, s))
+    for found in seen.values():
+        for i, s in found if len(found) > 1 else ():
+            covered[i].update(range(s, s + 50))
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {w for s in r.spans for w in range(s.start, s.end)} for r in sparse_suffix.repeated_passages(docs).collect()}
+    assert got == covered, (sum(map(len, covered.values())), sum(map(len, got.values())), len(covered), len(got))

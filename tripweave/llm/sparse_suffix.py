@@ -2,10 +2,10 @@
 
 Only suffixes that start at content-selected places are retained: the
 minimisers, least hashes of a few words within a sliding window, which two
-copies of a passage select alike. Sorted by their content, suffixes that go on
-alike become neighbours; neighbours are compared, and matches extended to the
-left and to the right. Suffixes that share their first words with no other are
-dropped before the sort.
+copies of a passage select alike. Suffixes that share their first words, their
+head, are sorted by the windows that hold it, once for each place of the head in
+the window, so that all equal windows become neighbours and match. Suffixes that
+share their head with no other are dropped before the sort.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, document_rows, partitions, prefix_sums, selected, small_batches, span_hash, stored, whole_groups
+from .common import POWERS, WordHasher, document_rows, mix, partitions, prefix_sums, selected, small_batches, span_hash, stored, whole_groups
 from .rlz import merged
 
 #: Passages of at least so many words are found.
 MIN_WORDS = 50
 #: Words of a gram, and grams of a window: a suffix is retained among so many neighbours.
 GRAM, WIDTH = 8, 27
-#: Up to so many suffixes that share their head are sorted in one task; more are compared window by window.
+#: Windows of up to so many suffixes that share their head are compared in one task, of more by a shuffle; the result is the same.
 GROUP = 16_384
 
 
@@ -86,12 +86,6 @@ def _contexts(min_words: int):
     return run
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of two padded arrays: how many words they share from the start; zero is padding."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), same.shape[1], (~same).argmax(axis=1))
-
-
 def padded(column) -> np.ndarray:
     data = [np.frombuffer(x, ">u4") for x in column]
     out = np.zeros((len(data), WIDTH), np.uint32)
@@ -100,24 +94,30 @@ def padded(column) -> np.ndarray:
     return out
 
 
-def neighbour_matches(group: np.ndarray, at: np.ndarray, right: np.ndarray, left: np.ndarray, head: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, starts and ends of matches of ``min_words`` words between neighbours in sorted order.
+def window_matches(group: np.ndarray, at: np.ndarray, right: np.ndarray, left: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and ends of what suffixes share with any other of their group, in windows that hold the head.
 
-    Suffixes are sorted by what follows their head, and once more by what
-    precedes it, so that the best partner in either direction is a neighbour.
+    For each place of the head in the window, suffixes are sorted by the window
+    and equal neighbours match. A row's windows all hold its head, so together
+    they are one span.
     """
-    rows, starts, ends = [], [], []
-    for first, second in ((right, left), (left, right)):
-        order = np.lexsort((*[second[:, j] for j in reversed(range(0, WIDTH, 4))], *[first[:, j] for j in reversed(range(WIDTH))], group))
-        a, b = order[:-1], order[1:]
-        a, b = (x[group[a] == group[b]] for x in (a, b)) if len(order) > 1 else (order[:0], order[:0])
-        r, l = common_words(right[a], right[b]), common_words(left[a], left[b])
-        long = l + head + r >= min_words
-        for x in (a[long], b[long]):
-            rows.append(x)
-            starts.append(at[x] - l[long])
-            ends.append(at[x] + head + r[long])
-    return np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)
+    around = WIDTH - 1
+    least, most = np.full(len(at), around + 1), np.full(len(at), -1)
+    # sums[:, n] tells the first n words to either side; the powers make them depend on the order of the words
+    up, _ = POWERS(2 * around)
+    before, after = (np.concatenate((np.zeros((len(at), 1), np.uint64), np.cumsum(mix(x[:, :around].astype(np.uint64)) * p, axis=1)), axis=1) for x, p in ((left, up[:around]), (right, up[around:])))
+    whole_left, whole_right = (np.concatenate((np.ones((len(at), 1), bool), x[:, :around] != 0), axis=1) for x in (left, right))
+    own = mix(group.astype(np.uint64) + np.uint64(1))
+    for n in range(around + 1):
+        rows = np.flatnonzero(whole_left[:, n] & whole_right[:, around - n])
+        key = mix(before[rows, n] + after[rows, around - n]) ^ own[rows]
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        equal = rows[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]] if len(rows) else rows
+        least[equal] = np.minimum(least[equal], n)
+        most[equal] = n
+    rows = np.flatnonzero(most >= 0)
+    return rows, at[rows] - most[rows], at[rows] + head + around - least[rows]
 
 
 def _matches(min_words: int):
@@ -130,7 +130,7 @@ def _matches(min_words: int):
             h = table["head"].to_numpy()
             group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
             k, th, at = (table[c].to_numpy() for c in ("k", "th", "at"))
-            rows, starts, ends = neighbour_matches(group, at, padded(table["right"].to_pylist()), padded(table["left"].to_pylist()), head, min_words)
+            rows, starts, ends = window_matches(group, at, padded(table["right"].to_pylist()), padded(table["left"].to_pylist()), head)
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(k[rows]), pa.array(th[rows]), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], ["k", "th", "start", "end"])
 
@@ -173,16 +173,16 @@ def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # at most as many suffixes of a document as it has words
     listed = lambda crowded: shared.filter(F.col("crowded") == crowded).groupBy("k", "th").agg(F.collect_list("suffix").alias("suffixes"))
     contexts = rows.join(listed(False), ["k", "th"]).mapInPandas(_contexts(min_words), "head long, k long, th int, at int, right binary, left binary")
-    ordered = contexts.repartition(partitions(spark), "head").sortWithinPartitions("head", "right", "left", "k", "at")
-    neighbours = ordered.mapInArrow(_matches(min_words), "k long, th int, start int, end int")
+    ordered = contexts.repartition(partitions(spark), "head").sortWithinPartitions("head")
+    together = ordered.mapInArrow(_matches(min_words), "k long, th int, start int, end int")
     if shared.filter("crowded").isEmpty():
-        return neighbours.distinct()
-    # A head that very many suffixes share says too little for neighbours to be found in one task: equal windows are counted.
+        return together.distinct()
+    # The windows of a head that very many suffixes share are compared in many tasks: equal ones are counted.
     # Not written out: within one plan the texts are shuffled once for all of these joins.
     windows = rows.join(listed(True), ["k", "th"]).mapInArrow(_windows(min_words), "k long, th int, start int, one long, two long")
     again = windows.groupBy("one", "two").count().filter("count > 1")
     equal = windows.join(again, ["one", "two"]).select("k", "th", "start", (F.col("start") + min_words).alias("end"))
-    return neighbours.unionAll(equal).distinct()
+    return together.unionAll(equal).distinct()
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
