@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tripweave.llm import mixing, sparse_suffix
+from tripweave.llm import chosen_path, mixing, rlz, sparse_suffix
 
 from .conftest import prose
 
@@ -47,3 +47,16 @@ def test_suffixes_find_all_partial_quotes_of_a_clause(spark, monkeypatch, group)
     docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r.doc_id: {w for s in r.spans for w in range(s.start, s.end)} for r in sparse_suffix.repeated_passages(docs).collect()}
     assert got == covered, (sum(map(len, covered.values())), sum(map(len, got.values())), len(covered), len(got))
+
+
+def test_rows_of_one_id_are_told_apart_by_more_than_32_bits(spark):
+    rng = random.Random(11)
+    one, two = prose(rng, 60), prose(rng, 80)
+    a, b = one + " a5670", two + " b23431"
+    docs = spark.createDataFrame([(None, a), (None, b), (1, one), (2, two)], "doc_id long, text string")
+    assert docs.filter("doc_id IS NULL").select(F.hash("text")).distinct().count() == 1  # equal in 32 bits
+    assert {(r.n_words, r.n_removed, r.kept_text) for r in rlz.without_repeats(docs).filter("doc_id IS NULL").collect()} == {(61, 60, "a5670"), (81, 80, "b23431")}
+    assert sorted((r.n_spans, r.n_repeated_words) for r in sparse_suffix.repeated_passages(docs).filter("doc_id IS NULL").collect()) == [(1, 60), (1, 80)]
+    assert sorted(r.n_links for r in chosen_path.similarity_classes(docs).collect()) == [1, 1, 1, 1]
+    left = chosen_path.without_near_copies(docs.filter("doc_id IS NULL OR doc_id = 2")).collect()
+    assert {(r.doc_id, r.text) for r in left} == {(None, a), (2, two)} and len(left) == 2

@@ -278,7 +278,7 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_
     spark = docs.sparkSession
     small_batches(spark)
     rows = document_rows(docs, doc_id, text)
-    all_sets = stored(rows.mapInArrow(_sketches(size), "k long, th int, d binary, n int, sketch binary"), "sketches")
+    all_sets = stored(rows.mapInArrow(_sketches(size), "k long, th long, d binary, n int, sketch binary"), "sketches")
     sets = stored(all_sets.groupBy("d").agg(F.min(F.struct("k", "th")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
     found, runs = all_leaves(sets.filter("n > 0").select("d", "sketch"))
     deal = lambda df: df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "d")
@@ -289,7 +289,7 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_
     # d -> (k, th) of the first copy, and the keys of all paths once more
     paths = members.select("d", "n", "copies", "sketch", "paths").dropDuplicates(["d"])
     known = sets.select("d", "first.k", "first.th").join(buckets, "d").join(paths, "d")
-    texts = rows.join(known, ["k", "th"]).mapInPandas(_compress, "k long, th int, t binary, d binary, buckets array<struct<bucket:long,run:int,side:int,cross:boolean>>, n int, copies long, sketch binary, paths binary")
+    texts = rows.join(known, ["k", "th"]).mapInPandas(_compress, "k long, th long, t binary, d binary, buckets array<struct<bucket:long,run:int,side:int,cross:boolean>>, n int, copies long, sketch binary, paths binary")
     compared = texts.select("d", "n", "copies", "sketch", "paths", "t", F.explode("buckets").alias("b")).select("b.*", "d", "n", "copies", "sketch", "paths", "t")
     links = stored(deal(compared).mapInArrow(_links(runs, size), "d binary, links long, first binary"), "links")
     star = components(links.select(F.col("d").alias("u"), F.col("first").alias("v")))
@@ -307,4 +307,4 @@ def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """The rows of ``docs``, with all their columns, that :func:`similarity_classes` keeps: one document of each class."""
     last = F.lit(2**63 - 1)
     staying = similarity_classes(docs, doc_id=doc_id, text=text).filter("kept").select(F.coalesce("doc_id", last).alias("__k"), F.col("text_hash").alias("__th")).distinct()
-    return docs.withColumns({"__k": F.coalesce(F.col(doc_id), last), "__th": F.hash(F.coalesce(F.col(text), F.lit("")))}).join(staying, ["__k", "__th"], "left_semi").select(*docs.columns)
+    return docs.withColumns({"__k": F.coalesce(F.col(doc_id), last), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(staying, ["__k", "__th"], "left_semi").select(*docs.columns)

@@ -135,8 +135,8 @@ def selected(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def document_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, th, t: the id in an order with null last, a hash of the text that tells rows of the same id apart, the text."""
-    return docs.select(F.coalesce(F.col(doc_id), F.lit(2**63 - 1)).alias("k"), F.hash(text_of(text)).alias("th"), text_of(text).alias("t"))
+    """k, th, t: the id in an order with null last, 64 bits of hash of the text that tell rows of the same id apart, the text."""
+    return docs.select(F.coalesce(F.col(doc_id), F.lit(2**63 - 1)).alias("k"), F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("t"))
 
 
 def hinted(df: DataFrame, rows: int) -> DataFrame:

@@ -31,7 +31,7 @@ SAMPLE = 16
 #: The block of a frequent anchor is split into parts of about so many phrases.
 PART = 4096
 _BYTES = 5  # of a window's hash, compared only within a block and at the same place in the anchor's window
-_PHRASES = "k long, th int, start int, shift int, anchor long, windows binary"
+_PHRASES = "k long, th long, start int, shift int, anchor long, windows binary"
 
 
 def phrases_of(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...] | None:
@@ -69,7 +69,7 @@ def _phrases(window: int, anchor: int, with_windows: bool):
                 continue
             data = np.concatenate(hashes).view(np.uint8).reshape(-1, 8)[:, :_BYTES]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k), pa.array(th.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(shift.astype(np.int32)), pa.array(anchors.view(np.int64)), binary_column(data, np.cumsum(count) * _BYTES)],
+                [pa.array(k), pa.array(th), pa.array(start.astype(np.int32)), pa.array(shift.astype(np.int32)), pa.array(anchors.view(np.int64)), binary_column(data, np.cumsum(count) * _BYTES)],
                 ["k", "th", "start", "shift", "anchor", "windows"],
             )
 
@@ -149,7 +149,7 @@ def factors(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         F.coalesce(F.pmod(F.xxhash64("k", "start"), F.col("parts")), F.lit(0)).cast("int").alias("part"),
         F.col("parts").isNotNull().alias("split"),
     ).repartition(partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part", "k", "start")
-    found = stored(dealt.mapInArrow(_factors(window), "k long, th int, start int, end int, anchor long, code long, open boolean"), "factors")
+    found = stored(dealt.mapInArrow(_factors(window), "k long, th long, start int, end int, anchor long, code long, open boolean"), "factors")
     # Split blocks: the windows that come first in their part meet those of the other parts.
     opened = found.filter("open")
     first = opened.groupBy("anchor", "code").agg(F.min(F.struct("k", "start")).alias("first"))

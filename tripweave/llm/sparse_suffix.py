@@ -60,7 +60,7 @@ def _heads(min_words: int, with_places: bool):
                     parts.append((np.full(len(places), k), np.full(len(places), th), places, heads))
             if parts:
                 k, th, at, heads = (np.concatenate(x) for x in zip(*parts))
-                found = [pa.array(heads.view(np.int64))] + ([pa.array(k), pa.array(th.astype(np.int32)), pa.array(at.astype(np.int32))] if with_places else [])
+                found = [pa.array(heads.view(np.int64))] + ([pa.array(k), pa.array(th), pa.array(at.astype(np.int32))] if with_places else [])
                 yield pa.RecordBatch.from_arrays(found, ["head", "k", "th", "at"][: len(found)])
 
     return run
@@ -157,7 +157,7 @@ def _windows(min_words: int):
                     parts.append((np.full(len(starts), k), np.full(len(starts), th), starts, one, two))
             if parts:
                 k, th, start, one, two = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(th.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k", "th", "start", "one", "two"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(th), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k", "th", "start", "one", "two"])
 
     return run
 
@@ -168,18 +168,18 @@ def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     small_batches(spark)
     # Written out, so that both sides of the next join are shuffled for it, and Spark can split a head that is in very many documents.
     often = stored(rows.mapInArrow(_heads(min_words, False), "head long").groupBy("head").count().filter("count > 1"), "shared-heads")
-    found = rows.mapInArrow(_heads(min_words, True), "head long, k long, th int, at int").join(often, "head")
+    found = rows.mapInArrow(_heads(min_words, True), "head long, k long, th long, at int").join(often, "head")
     shared = stored(found.select("k", "th", F.struct("at", "head").alias("suffix"), (F.col("count") > GROUP).alias("crowded")), "shared-suffixes")
     # at most as many suffixes of a document as it has words
     listed = lambda crowded: shared.filter(F.col("crowded") == crowded).groupBy("k", "th").agg(F.collect_list("suffix").alias("suffixes"))
-    contexts = rows.join(listed(False), ["k", "th"]).mapInPandas(_contexts(min_words), "head long, k long, th int, at int, right binary, left binary")
+    contexts = rows.join(listed(False), ["k", "th"]).mapInPandas(_contexts(min_words), "head long, k long, th long, at int, right binary, left binary")
     ordered = contexts.repartition(partitions(spark), "head").sortWithinPartitions("head")
-    together = ordered.mapInArrow(_matches(min_words), "k long, th int, start int, end int")
+    together = ordered.mapInArrow(_matches(min_words), "k long, th long, start int, end int")
     if shared.filter("crowded").isEmpty():
         return together.distinct()
     # The windows of a head that very many suffixes share are compared in many tasks: equal ones are counted.
     # Not written out: within one plan the texts are shuffled once for all of these joins.
-    windows = rows.join(listed(True), ["k", "th"]).mapInArrow(_windows(min_words), "k long, th int, start int, one long, two long")
+    windows = rows.join(listed(True), ["k", "th"]).mapInArrow(_windows(min_words), "k long, th long, start int, one long, two long")
     again = windows.groupBy("one", "two").count().filter("count > 1")
     equal = windows.join(again, ["one", "two"]).select("k", "th", "start", (F.col("start") + min_words).alias("end"))
     return together.unionAll(equal).distinct()
