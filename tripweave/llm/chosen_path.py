@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, document_rows, hinted, mix, partitions, prefix_sums, small_batches, span_hash, stored, whole_groups
+from .common import WordHasher, document_rows, hinted, mix, numbered, partitions, prefix_sums, small_batches, span_hash, spread_join, stored, unpacker, whole_groups
 from .components import components
 
 #: Words of a shingle; links join sets whose similarity is NUMERATOR / DENOMINATOR or more.
@@ -65,12 +65,12 @@ def _sketches(size: int):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        hasher = WordHasher()
+        hasher, unpack = WordHasher(), unpacker()
         for batch in batches:
-            sets = [shingles(hasher(t.encode()), size) for t in batch["t"].to_pylist()]
+            sets = [shingles(hasher(unpack(z)), size) for z in batch["z"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch["k"], batch["th"], pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
-                ["k", "th", "d", "n", "sketch"],
+                [batch["row"], batch["k"], pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
+                ["row", "k", "d", "n", "sketch"],
             )
 
     return run
@@ -167,7 +167,7 @@ _ROW = ["bucket", "run", "d", "n", "copies", "side", "cross", "sketch", "paths"]
 
 
 def _candidates(runs: int):
-    def run(batches: Iterator) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for bucket, rows in _buckets(batches, _ROW, runs, 8192):
@@ -220,24 +220,15 @@ def linked(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]], copi
     return links, np.array([root(x) for x in range(n)], np.int64)
 
 
-def _compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=1)
-    for p in batches:
-        yield p.assign(t=[pack.compress(t.encode()) for t in p["t"]])
-
-
 def _links(runs: int, size: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import zstandard
 
-        hasher, unpack = WordHasher(), zstandard.ZstdDecompressor()
-        for bucket, rows in _buckets(batches, [*_ROW, "t"], runs, 2048):
-            pairs = list(bucket.pairs())
-            if pairs:
-                links, first = linked([shingles(hasher(unpack.decompress(t)), size) for t in rows["t"]], iter(pairs), bucket.copies)
+        hasher, unpack = WordHasher(), unpacker()
+        for bucket, rows in _buckets(batches, [*_ROW, "z"], runs, 2048):
+            pairs = bucket.pairs()
+            if (one := next(pairs, None)) is not None:
+                links, first = linked([shingles(hasher(unpack(z)), size) for z in rows["z"]], chain((one,), pairs), bucket.copies)
                 got = np.flatnonzero(links)
                 if len(got):
                     yield pa.RecordBatch.from_arrays([pa.array([bucket.d[i] for i in got], pa.binary()), pa.array(links[got]), pa.array([bucket.d[first[i]] for i in got], pa.binary())], ["d", "links", "first"])
@@ -260,16 +251,17 @@ def with_paths(found: DataFrame, sets: DataFrame, runs: int) -> DataFrame:
     )
 
 
-def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, kept and text_hash of every document.
+def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """row, doc_id, class_id, n_links and kept of every row of ``docs``.
 
-    Two documents are linked if the Jaccard similarity of their sets of
+    Two rows are linked if the Jaccard similarity of their sets of
     ``size``-word shingles is 0.8 or more; a shorter text is one shingle, and
     null, empty and blank texts, without any, are linked to each other. A class
-    holds the documents that links connect; ``class_id`` is its smallest id,
-    whose row is ``kept``. ``n_links`` counts a document's linked documents,
-    copies included. Rows with the same id and text are flagged alike; null ids
-    come last. An empty table gives no rows; other columns are ignored.
+    holds the rows that links connect; ``class_id`` is its smallest id (null
+    comes last), and one row with it is ``kept``. ``n_links`` counts a row's
+    linked rows, copies and repeated rows included. ``row`` tells rows apart
+    and may name a column that does so already. An empty table gives no rows;
+    other columns are ignored.
 
     Copies (equal sets) are one set in the join. Links are exact: sketches only
     leave pairs out that are linked once in a million; the runs find RECALL of
@@ -277,34 +269,38 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = document_rows(docs, doc_id, text)
-    all_sets = stored(rows.mapInArrow(_sketches(size), "k long, th long, d binary, n int, sketch binary"), "sketches")
-    sets = stored(all_sets.groupBy("d").agg(F.min(F.struct("k", "th")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
+    rows = document_rows(docs, doc_id, text, row)
+    all_sets = stored(rows.mapInArrow(_sketches(size), "row long, k long, d binary, n int, sketch binary"), "sketches")
+    first_of = F.min(F.struct(F.col("k").isNull().alias("no"), "k", "row"))
+    sets = stored(all_sets.groupBy("d").agg(first_of.alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
     found, runs = all_leaves(sets.filter("n > 0").select("d", "sketch"))
     deal = lambda df: df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "d")
     members = with_paths(found, sets.select("d", "n", "copies", "sketch"), runs)
     wanted = stored(deal(members).mapInArrow(_candidates(runs), "d binary, bucket long, run int, side int, cross boolean"), "candidates")
     # Only sets with a candidate partner travel with their text, to each bucket that has to compare them.
     buckets = wanted.groupBy("d").agg(F.collect_list(F.struct("bucket", "run", "side", "cross")).alias("buckets"))
-    # d -> (k, th) of the first copy, and the keys of all paths once more
+    # d -> the row of the first copy, and the keys of all paths once more
     paths = members.select("d", "n", "copies", "sketch", "paths").dropDuplicates(["d"])
-    known = sets.select("d", "first.k", "first.th").join(buckets, "d").join(paths, "d")
-    texts = rows.join(known, ["k", "th"]).mapInPandas(_compress, "k long, th long, t binary, d binary, buckets array<struct<bucket:long,run:int,side:int,cross:boolean>>, n int, copies long, sketch binary, paths binary")
-    compared = texts.select("d", "n", "copies", "sketch", "paths", "t", F.explode("buckets").alias("b")).select("b.*", "d", "n", "copies", "sketch", "paths", "t")
+    known = sets.select("d", "first.row").join(buckets, "d").join(paths, "d")
+    texts = rows.select("row", "z").join(known, "row")
+    compared = texts.select("d", "n", "copies", "sketch", "paths", "z", F.explode("buckets").alias("b")).select("b.*", "d", "n", "copies", "sketch", "paths", "z")
     links = stored(deal(compared).mapInArrow(_links(runs, size), "d binary, links long, first binary"), "links")
     star = components(links.select(F.col("d").alias("u"), F.col("first").alias("v")))
     label = sets.select("d", "first", "copies").join(star.select(F.col("u").alias("d"), F.col("v").alias("root")), "d", "left").withColumn("root", F.coalesce("root", "d"))
     least = label.groupBy("root").agg(F.min("first").alias("least"))
     degree = links.groupBy("d").agg(F.sum("links").alias("links"))
     of_set = stored(label.join(least, "root").join(degree, "d", "left").select("d", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return all_sets.select("k", "th", "d").join(of_set, "d").select(
-        F.nullif("k", F.lit(2**63 - 1)).alias("doc_id"), F.nullif("least.k", F.lit(2**63 - 1)).alias("class_id"), "n_links",
-        ((F.col("k") == F.col("least.k")) & (F.col("th") == F.col("least.th"))).alias("kept"), F.col("th").alias("text_hash"),
-    )
+    # one set may hold a third of all rows
+    each = spread_join(all_sets.select("row", "k", "d"), of_set, ["d"], sets.select("d", F.col("copies").alias("count")), "row")
+    return each.select("row", F.col("k").alias("doc_id"), F.col("least.k").alias("class_id"), "n_links", (F.col("row") == F.col("least.row")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`similarity_classes` keeps: one document of each class."""
-    last = F.lit(2**63 - 1)
-    staying = similarity_classes(docs, doc_id=doc_id, text=text).filter("kept").select(F.coalesce("doc_id", last).alias("__k"), F.col("text_hash").alias("__th")).distinct()
-    return docs.withColumns({"__k": F.coalesce(F.col(doc_id), last), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(staying, ["__k", "__th"], "left_semi").select(*docs.columns)
+    """The rows of ``docs``, with all their columns, that :func:`similarity_classes` keeps: one of each class.
+
+    Rows are told apart by a number, so of repeated rows, and of copies with
+    null ids, exactly one stays. An empty table gives no rows.
+    """
+    rows, number = numbered(docs)
+    staying = similarity_classes(rows, doc_id=doc_id, text=text, row=number).filter("kept").select(F.col("row").alias(number))
+    return rows.join(staying, number, "left_semi").select(*docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,9 +135,62 @@ def selected(grams: np.ndarray, width: int) -> np.ndarray:
     return np.arange(len(view)) + view.argmin(axis=1)
 
 
-def document_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, th, t: the id in an order with null last, 64 bits of hash of the text that tell rows of the same id apart, the text."""
-    return docs.select(F.coalesce(F.col(doc_id), F.lit(2**63 - 1)).alias("k"), F.xxhash64(text_of(text)).alias("th"), text_of(text).alias("t"))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written out with a number that is unique to each row, and the number's column."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def _packed(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        z = pa.array([pack.compress(t.encode()) for t in batch["t"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["k"], z], ["row", "k", "z"])
+
+
+def unpacker() -> Callable[[bytes], bytes]:
+    """Gives back the UTF-8 bytes of a text of :func:`document_rows`."""
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress
+
+
+def document_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """row, k, z, written out once: a number unique to each row, the id (or null), the text (null: empty), compressed.
+
+    Rows are joined by their number alone, so neither null nor repeated ids nor
+    equal texts are ever taken for each other. ``row`` names a column that has
+    such numbers already.
+    """
+    small_batches(docs.sparkSession)
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    named = docs.select(number.alias("row"), F.col(doc_id).cast("long").alias("k"), text_of(text).alias("t"))
+    return stored(named.mapInArrow(_packed, "row long, k long, z binary"), "rows")
+
+
+#: Keys, at most, that :func:`spread_join` tells every executor about.
+HOT_KEYS = 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, by: str, least: int = 4096) -> DataFrame:
+    """``left`` joined to ``right``, where a few keys may hold a large part of ``left``, and ``right`` has each key once.
+
+    ``counts`` (the columns ``on``, and ``count``) tells how many rows of
+    ``left`` a key has. Of keys that have more than a share of 1 / HOT_KEYS of
+    all, and more than ``least`` rows, there are HOT_KEYS at most, so they are
+    broadcast; their rows are dealt to several tasks by a hash of column ``by``.
+    """
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    limit = max(least, -(-total // HOT_KEYS))
+    hot = F.broadcast(counts.filter(F.col("count") > limit).select(*on, F.ceil(F.col("count") / limit).cast("int").alias("__spread")))
+    dealt = left.join(hot, on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("__spread")).cast("int"), F.lit(0))).drop("__spread")
+    each = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__spread", F.lit(1)) - 1))).drop("__spread")
+    return dealt.join(each, [*on, "__salt"]).drop("__salt")
 
 
 def hinted(df: DataFrame, rows: int) -> DataFrame:

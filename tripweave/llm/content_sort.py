@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WHITE, partitions, stored, text_of
+from .common import WHITE, numbered, partitions, stored, text_of
 
 #: Rows, about, that the search for frequent texts looks at.
 SAMPLE_ROWS = 20_000
@@ -32,39 +32,35 @@ def normalised(text: str = "text"):
 def frequent_texts(rows: DataFrame, total: int) -> DataFrame:
     """One row for each text frequent in the sample: its hash and the parts to split it into.
 
-    At most SAMPLE_ROWS / FREQUENT rows, about, so it can be broadcast.
+    Rows are drawn one by one, whatever their ids and texts. At most SAMPLE_ROWS / FREQUENT rows, about, so it can be broadcast.
     """
-    every = max(1, total // SAMPLE_ROWS)
-    found = (
-        rows.filter(F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(every)) == 0)
-        .groupBy(F.xxhash64("norm").alias("norm_hash"))
-        .count()
-        .filter(F.col("count") >= FREQUENT)
-        .collect()
-    )
+    share = min(1.0, SAMPLE_ROWS / max(1, total))
+    found = rows.sample(share, 7).groupBy("norm_hash").count().filter(F.col("count") >= FREQUENT).collect()
     schema = T.StructType([T.StructField("norm_hash", T.LongType()), T.StructField("parts", T.IntegerType())])
     return rows.sparkSession.createDataFrame([(r[0], -(-r[1] // FREQUENT)) for r in found], schema)
 
 
-def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: row (its number), doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting white space; null counts as
     empty. Of a group the row with most code points in its original text stays,
     then the one with the smallest id (a null id comes last); of repeated rows
-    with the same id exactly one is ``kept``. An empty table gives no rows;
+    with the same id exactly one is ``kept``. ``row`` names a column that
+    numbers the rows; else they are numbered. An empty table gives no rows;
     other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.length(text_of(text)).alias("n_chars"), normalised(text).alias("norm"))
-    frequent = F.broadcast(frequent_texts(rows, docs.count()))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(number.alias("row"), F.col(doc_id).alias("doc_id"), F.length(text_of(text)).alias("n_chars"), normalised(text).alias("norm")).withColumn("norm_hash", F.xxhash64("norm"))
+    frequent = F.broadcast(frequent_texts(rows.select("norm_hash"), docs.count()))
     keyed = (
-        rows.withColumn("norm_hash", F.xxhash64("norm"))
-        .join(frequent, "norm_hash", "left")
-        .withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "n_chars"), F.col("parts")), F.lit(0)).cast("int"))
-        .select("doc_id", "n_chars", "norm", "norm_hash", F.substring("norm", 1, PREFIX).alias("prefix"), "part", F.col("parts").isNotNull().alias("split"))
+        rows.join(frequent, "norm_hash", "left")
+        # by the row's own number, so that rows with one id and text are split as well
+        .withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int"))
+        .select("row", "doc_id", "n_chars", "norm", "norm_hash", F.substring("norm", 1, PREFIX).alias("prefix"), "part", F.col("parts").isNotNull().alias("split"))
     )
-    best = (F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last())
+    best = (F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last(), F.col("row"))
     # Splitters are sampled from a prefix and a hash, so that whole texts never travel to the driver.
     splitters = ("prefix", "norm_hash", "part")
     ordered = keyed.repartitionByRange(partitions(spark), *splitters).sortWithinPartitions(*splitters, "norm", *best)
@@ -73,7 +69,7 @@ def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     run = whole.orderBy(*best)
     runs = stored(
         ordered.select(
-            "doc_id", "n_chars", "split", "part",
+            "row", "doc_id", "n_chars", "split", "part",
             F.sha2("norm", 256).alias("text_sha256"),
             F.first("doc_id").over(run).alias("first_id"),
             F.row_number().over(run).alias("place"),
@@ -91,17 +87,20 @@ def content_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         )
     )
     return runs.join(F.broadcast(merged), "text_sha256", "left").select(
-        "doc_id",
+        "row", "doc_id",
         F.when(F.col("split"), F.col("best.i")).otherwise(F.col("first_id")).alias("keep_id"),
         F.when(F.col("split"), F.col("total")).otherwise(F.col("run_size")).alias("group_size"),
         ((F.col("place") == 1) & (~F.col("split") | (F.col("part") == F.col("best.p")))).alias("kept"),
         "text_sha256",
-    )
+    )
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`content_groups` keeps, with all their columns: one of each group of equal texts."""
-    staying = content_groups(docs, doc_id, text).filter("kept").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__k"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumns({"__k": F.coalesce(F.col(doc_id), F.lit(2**63 - 1)), "__sha": F.sha2(normalised(text), 256)})
-    # repeated rows with the same id and text: one of them
-    return keyed.join(staying, ["__k", "__sha"], "left_semi").dropDuplicates(["__k", "__sha"]).select(*docs.columns)
+    """The rows of ``docs`` that :func:`content_groups` keeps, with all their columns: one of each group of equal texts.
+
+    Rows are told apart by a number, so it does not matter whether ids are null
+    or repeated. An empty table gives no rows.
+    """
+    rows, number = numbered(docs)
+    staying = content_groups(rows, doc_id, text, number).filter("kept").select(F.col("row").alias(number))
+    return rows.join(staying, number, "left_semi").select(*docs.columns)

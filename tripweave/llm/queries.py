@@ -22,7 +22,7 @@ def op1_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
 def op6_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     from .content_sort import content_groups
 
-    return content_groups(table(spark, folder, "documents"))
+    return content_groups(table(spark, folder, "documents")).drop("row")
 
 
 def op7_threshold_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,15 +56,15 @@ def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
-    from .sparse_suffix import repeated_passages
+    from .sparse_suffix import listed_passages
 
-    return repeated_passages(table(spark, folder, "documents"))
+    return listed_passages(table(spark, folder, "documents"))
 
 
 def op9_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     from .chosen_path import similarity_classes
 
-    return similarity_classes(table(spark, folder, "documents")).drop("text_hash")
+    return similarity_classes(table(spark, folder, "documents")).drop("row")
 
 
 def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,6 +102,18 @@ FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN y ON w.doc_id = y.doc_id
 """
 
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS p, words FROM w WHERE len(words) >= 50),
+k AS (SELECT doc_id, p, array_to_string(words[p:p+49], ' ') AS window_text FROM s),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY window_text) AS n FROM k) WHERE n > 1),
+m AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS starts FROM r),
+g AS (SELECT doc_id, p, sum(starts) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM m),
+x AS (SELECT doc_id, min(p) - 1 AS a, max(p) + 49 AS z FROM g GROUP BY doc_id, span)
+SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_repeated_words, string_agg(a || '-' || z, ' ' ORDER BY a) AS spans FROM x GROUP BY doc_id
+"""
+
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(words[p:p+4], ' ') AS g
@@ -155,4 +167,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_substrings": OP3_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules()}
+    return {"op3_rlz_substrings": OP3_SQL, "op8_sparse_suffixes": OP8_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules()}

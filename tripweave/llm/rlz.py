@@ -5,10 +5,15 @@ of windows (``WINDOW`` words) that select the same anchor, the least hash of a
 short word sequence within them. The anchors index the reference: all phrases
 with one anchor form a reference block, and a phrase can only occur in the
 block of its anchor, so each document meets every block that it can match
-without being compared with others. In its block a phrase is factored
-greedily against what starts earlier: a factor goes on from window to window
-as long as they occur earlier, and at its borders single windows decide.
-Factors of neighbouring phrases join into spans, which are removed.
+without being compared with others.
+
+In its block a phrase is parsed greedily from left to right: where a window
+starts anew, the block's phrases that start earlier are searched for the
+longest match (a suffix order of the block gives the neighbours that have it),
+and the match, compared word by word, is the next factor: source, offset and
+length. The windows across a factor's end are looked up again on their own, so
+that no window is lost between two factors. Factors of a window or more are
+duplicate spans and are removed.
 """
 
 from __future__ import annotations
@@ -16,145 +21,130 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, binary_column, document_rows, hinted, partitions, prefix_sums, selected, small_batches, span_hash, stored, whole_groups
+from .blocks import PART, Block, blocks, each_block
+from .common import document_rows, prefix_sums, selected, small_batches, span_hash, spread_join, stored, unpacker
 
 #: A factor has at least so many words.
 WINDOW = 20
 #: Words of an anchor.
 ANCHOR = 6
-#: Every so many-th document, about, shows which anchors are frequent.
-SAMPLE = 16
-#: The block of a frequent anchor is split into parts of about so many phrases.
-PART = 4096
-_BYTES = 5  # of a window's hash, compared only within a block and at the same place in the anchor's window
-_PHRASES = "k long, th long, start int, shift int, anchor long, windows binary"
-
-
-def phrases_of(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...] | None:
-    """First window, number of windows, shift from its anchor, and anchor of each phrase; then the hashes of all windows."""
-    n = len(words)
-    if n < window:
-        return None
-    sums = prefix_sums(words)
-    at = np.arange(n - anchor + 1)
-    grams = span_hash(sums, at, at + anchor)
-    chosen = selected(grams, window - anchor + 1)
-    starts = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    counts = np.diff(np.append(starts, len(chosen)))
-    first = np.arange(len(chosen))
-    return starts, counts, starts - chosen[starts], grams[chosen[starts]], span_hash(sums, first, first + window)
-
-
-def _phrases(window: int, anchor: int, with_windows: bool):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        hasher = WordHasher()
-        for batch in batches:
-            parts, hashes = [], []
-            for k, th, t in zip(batch["k"].to_pylist(), batch["th"].to_pylist(), batch["t"].to_pylist()):
-                if (found := phrases_of(hasher(t.encode()), window, anchor)) is not None:
-                    starts, counts, shift, anchors, windows = found
-                    parts.append((np.full(len(starts), k), np.full(len(starts), th), starts, counts, shift, anchors))
-                    hashes.append(windows)
-            if not parts:
-                continue
-            k, th, start, count, shift, anchors = (np.concatenate(x) for x in zip(*parts))
-            if not with_windows:
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64))], ["anchor"])
-                continue
-            data = np.concatenate(hashes).view(np.uint8).reshape(-1, 8)[:, :_BYTES]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k), pa.array(th), pa.array(start.astype(np.int32)), pa.array(shift.astype(np.int32)), pa.array(anchors.view(np.int64)), binary_column(data, np.cumsum(count) * _BYTES)],
-                ["k", "th", "start", "shift", "anchor", "windows"],
-            )
 
-    return run
+def phrases(window: int = WINDOW, anchor: int = ANCHOR):
+    """The phrases of a text as places: their anchor, and the words of all windows that select it."""
+
+    def found(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        n = len(words)
+        if n < window:
+            return None
+        at = np.arange(n - anchor + 1)
+        grams = span_hash(prefix_sums(words), at, at + anchor)
+        chosen = selected(grams, window - anchor + 1)
+        first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
+        last = np.append(first[1:], len(chosen)) - 1
+        return grams[chosen[first]], first, chosen[first], last + window
+
+    return found
+
 
+def nearest_earlier(time: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each element the nearest one before it in its group that has a smaller time, -1 if there is none."""
+    found = np.arange(len(time)) - 1
+    found[np.concatenate(([True], group[1:] != group[:-1]))] = -1
+    todo = np.flatnonzero((found >= 0) & (time[found] >= time))
+    while len(todo):
+        found[todo] = found[found[todo]]  # all between have no smaller time
+        todo = todo[found[todo] >= 0]
+        todo = todo[time[found[todo]] >= time[todo]]
+    return found
 
-def earlier_windows(table, window: int = WINDOW):
-    """Of phrases sorted by (anchor, part, k, start): the k, th, start and end (words) of factors that start earlier in
-    their part of the block, and the windows that come first in a part of a split block."""
-    k, th, start, shift = (table[c].to_numpy() for c in ("k", "th", "start", "shift"))
-    anchor, part, split = (table[c].to_numpy() for c in ("anchor", "part", "split"))
-    new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])))
-    group = np.cumsum(new) - 1
-    keep = (np.bincount(group)[group] > 1) | split
-    column = table["windows"].combine_chunks()
-    column = column.chunk(0) if hasattr(column, "chunk") and column.num_chunks else column
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    count = np.diff(offsets) // _BYTES
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, _BYTES)
-    row = np.repeat(np.arange(len(k)), count)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    take = keep[row]
-    row, inside, raw = row[take], inside[take], raw[take]
-    code = np.zeros((len(row), 8), np.uint8)
-    code[:, :_BYTES] = raw
-    # 40 bits of hash, 8 of the place in the anchor's window; the group is compared on its own
-    key = code.view(np.uint64).ravel() | ((shift[row] + inside).astype(np.int64) & 0xFF).astype(np.uint64) << np.uint64(40)
-    order = np.lexsort((key, group[row]))  # stable: by (k, start) within equal windows
-    g, q = group[row][order], key[order]
-    head = np.concatenate(([True], (g[1:] != g[:-1]) | (q[1:] != q[:-1]))) if len(order) else np.empty(0, bool)
-    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-    at = start[row] + inside
-    # the earliest of equal windows: by k, then by place; rows of the same id and place are not earlier
-    late = (k[row[order]] > k[row[first]]) | (at[order] > at[first])
-    repeated = np.zeros(len(row), bool)
-    repeated[order] = late
-    begin = repeated & np.concatenate(([True], ~repeated[:-1] | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1)))[: len(row)]
-    end = repeated & np.concatenate((~repeated[1:] | (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1), [True]))[: len(row)]
-    b, e = np.flatnonzero(begin), np.flatnonzero(end)
-    factors = k[row[b]], th[row[b]], at[b], at[e] + window
-    f = np.flatnonzero(~repeated & split[row])
-    firsts = anchor[row[f]], key[f].view(np.int64), k[row[f]], th[row[f]], at[f]
-    return factors, firsts
-
-
-def _factors(window: int):
+
+def longest_sources(block: Block, p: np.ndarray, codes: np.ndarray, l: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the ``wanted`` (indices into the places ``p``, sorted by window and words after it) the source of the longest match, and its words after the key; -1 if there is none.
+
+    Among earlier places with the same window the longest match is next to a
+    place in this order, before or after it.
+    """
+    time = block.time[p]
+    before = nearest_earlier(time, codes)
+    after = len(p) - 1 - nearest_earlier(time[::-1], codes[::-1])[::-1]
+    after[after == len(p)] = -1
+    source, reach = np.full(len(wanted), -1), np.full(len(wanted), -1)
+    for side in (before[wanted], after[wanted]):
+        has = np.flatnonzero(side >= 0)
+        own, other = p[wanted[has]], p[side[has]]
+        words = np.where(block.same_start(own, other, l), block.common_right(own, other), -1)
+        better = (words >= block.around - l) & ((words > reach[has]) | (words == reach[has]) & (block.time[other] < block.time[source[has]]))
+        source[has[better]], reach[has[better]] = other[better], words[better]
+    return source, reach
+
+
+def parsed(block: Block) -> tuple[list[tuple], list[tuple]]:
+    """Factors (place, words before the key, words after it, source place) of all phrases of a block, and the windows
+    (places, words before the key) of split blocks that are new in their part."""
+    reach = np.full(len(block.at), -1)  # words after the key that the latest factor of a phrase covers
+    rank = np.empty(len(block.at), np.int64)
+    rank[np.lexsort(block.right.T[::-1])] = np.arange(len(rank))
+    factors, new = [], []
+    for l in range(block.around, -1, -1):
+        places, codes = block.windows(l)
+        order = np.lexsort((rank[places], codes))
+        p, codes = places[order], codes[order]
+        wanted = np.flatnonzero(reach[p] < block.around - l)
+        if not len(wanted):
+            continue
+        source, words = longest_sources(block, p, codes, l, wanted)
+        has = source >= 0
+        own = p[wanted[has]]
+        reach[own] = words[has]
+        factors.append((own, np.full(len(own), l), words[has], source[has]))
+        none = p[wanted[~has]]
+        new.append((none[block.split[none]], l))
+    return factors, new
+
+
+_FACTORS = "row long, k long, start int, end int, source_id long, source_start int, code binary"
+
+
+def _parse(window: int, anchor: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for table in whole_groups(batches, ["anchor", "part"]):
-            (k, th, s, e), (a, q, fk, fth, fs) = earlier_windows(table, window)
-            n, m = len(k), len(fk)
-            if n + m:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((k, fk))), pa.array(np.concatenate((th, fth))), pa.array(np.concatenate((s, fs)).astype(np.int32)), pa.array(np.concatenate((e, fs + window)).astype(np.int32)),
-                     pa.array(np.concatenate((np.zeros(n, np.int64), a))), pa.array(np.concatenate((np.zeros(n, np.int64), q))), pa.array(np.concatenate((np.zeros(n, bool), np.ones(m, bool))))],
-                    ["k", "th", "start", "end", "anchor", "code", "open"],
-                )
+        names = [x.split()[0] for x in _FACTORS.split(", ")]
+        for block in each_block(batches, anchor, window - anchor, 65_536):
+            factors, new = parsed(block)
+            if factors:
+                place, before, after, source = (np.concatenate(x) for x in zip(*factors))
+                if len(place):
+                    start, end = block.at[place] - before, block.at[place] + anchor + after
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(block.row[place]), pa.array(block.k[place], mask=block.null[place]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
+                        pa.array(block.k[source], mask=block.null[source]), pa.array((block.at[source] - before).astype(np.int32)), pa.nulls(len(place), pa.binary()),
+                    ], names)
+            for place, l in new:
+                if len(place):
+                    start = (block.at[place] - l).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(block.row[place]), pa.array(block.k[place], mask=block.null[place]), pa.array(start), pa.array(start + np.int32(window)),
+                        pa.nulls(len(place), pa.int64()), pa.nulls(len(place), pa.int32()), pa.array(block.digests(place, l), pa.binary()),
+                    ], names)
 
     return run
 
 
-def factors(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """k, th, start, end (words) of the factors of every document of :func:`document_rows`; they may overlap."""
-    spark = rows.sparkSession
-    small_batches(spark)
-    # Frequent anchors only decide how blocks are split, never what is found.
-    frequent = stored(
-        rows.sample(1 / SAMPLE, 7).mapInArrow(_phrases(window, anchor, False), "anchor long")
-        .groupBy("anchor").count().filter(F.col("count") >= PART // SAMPLE)
-        .select("anchor", F.ceil(F.col("count") * SAMPLE / PART).cast("int").alias("parts")),
-        "frequent-anchors",
-    )
-    phrases = rows.mapInArrow(_phrases(window, anchor, True), _PHRASES).join(hinted(frequent, 200_000), "anchor", "left")
-    dealt = phrases.select(
-        "k", "th", "start", "shift", "anchor", "windows",
-        F.coalesce(F.pmod(F.xxhash64("k", "start"), F.col("parts")), F.lit(0)).cast("int").alias("part"),
-        F.col("parts").isNotNull().alias("split"),
-    ).repartition(partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part", "k", "start")
-    found = stored(dealt.mapInArrow(_factors(window), "k long, th long, start int, end int, anchor long, code long, open boolean"), "factors")
-    # Split blocks: the windows that come first in their part meet those of the other parts.
-    opened = found.filter("open")
-    first = opened.groupBy("anchor", "code").agg(F.min(F.struct("k", "start")).alias("first"))
-    late = opened.join(first, ["anchor", "code"]).filter(F.struct("k", "start") > F.col("first"))
-    return found.filter("NOT open").select("k", "th", "start", "end").unionAll(late.select("k", "th", "start", "end"))
+def factors(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, part: int = PART) -> DataFrame:
+    """row, start, end, source_id, source_start (words) of the factors of every document of :func:`document_rows`; they may overlap."""
+    found = stored(blocks(rows, phrases(window, anchor), part).mapInArrow(_parse(window, anchor), _FACTORS), "factors")
+    names = ["row", "start", "end", "source_id", "source_start"]
+    # Split blocks: windows that are new in their part meet those of the other parts.
+    opened = found.filter("code IS NOT NULL").withColumn("place", F.struct(F.col("k").isNull().alias("no"), "k", "start"))
+    firsts = stored(opened.groupBy("code").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("count")).filter("first < last"), "first-windows")
+    met = spread_join(opened.select("code", "row", "start", "end", "place"), firsts.drop("count"), ["code"], firsts.select("code", "count"), "row", part)
+    late = met.filter(F.col("place") > F.col("first")).select("row", "start", "end", F.col("first.k").alias("source_id"), F.col("first.start").alias("source_start"))
+    return found.filter("code IS NULL").select(*names).unionAll(late)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -168,25 +158,39 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
+_FACTOR = "struct<start:int,end:int,source_id:bigint,source_start:int>"
+_CUT = f"doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>, factors array<{_FACTOR}>"
+
+
+def _cut(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    unpack = unpacker()
+    for batch in batches:
         out = []
-        for t, factors in zip(p["t"], p["factors"]):
-            words = t.encode().split()
+        for z, factors in zip(batch["z"].to_pylist(), batch["factors"].to_pylist()):
+            words = unpack(z).split()
             n = len(words)
-            spans = merged(np.array([f["start"] for f in factors]), np.array([f["end"] for f in factors])) if factors is not None and len(factors) else []
+            spans = merged(np.array([f["start"] for f in factors]), np.array([f["end"] for f in factors])) if factors else []
             for s, e in reversed(spans):
                 del words[s:e]
-            out.append((n, n - len(words), b" ".join(words).decode(), [{"start": s, "end": e} for s, e in spans]))
-        yield pd.DataFrame({"doc_id": p["doc_id"], "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept_text": [x[2] for x in out], "spans": [x[3] for x in out]})
+            out.append((n, n - len(words), b" ".join(words).decode(), [{"start": s, "end": e} for s, e in spans], factors or []))
+        n, removed, kept, spans, parts = zip(*out) if out else ((),) * 5
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+        factor = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())])
+        yield pa.RecordBatch.from_arrays(
+            [batch["k"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(span)), pa.array(parts, pa.list_(factor))],
+            ["doc_id", "n_words", "n_removed", "kept_text", "spans", "factors"],
+        )
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (words joined by one space) and spans (words removed) of every document.
+def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (words joined by one space), spans (words removed) and factors of every document.
 
     A word is removed if a window of ``window`` words of its document that
     covers it also starts earlier: in a document of smaller id, or in the same
-    one further left. A null id comes after all others; rows with the same id
+    one further left. A factor names the words that it covers and where they
+    start earlier. A null id comes after all others; rows with the same id
     count as one document in this order, so that none of them is earlier at the
     same place. Null, empty and shorter texts lose nothing. An empty table
     gives no rows; other columns are ignored.
@@ -194,10 +198,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     small_batches(docs.sparkSession)
     rows = document_rows(docs, doc_id, text)
     # as many factors of a document as it has words, at most
-    of_document = factors(rows, window).groupBy("k", "th").agg(F.collect_list(F.struct("start", "end")).alias("factors"))
-    # the null id, which stands last in the order, is not to be told from the largest number
-    named = rows.withColumn("doc_id", F.nullif("k", F.lit(2**63 - 1)))
-    return named.join(of_document, ["k", "th"], "left").select("doc_id", "t", "factors").mapInPandas(_cut, "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>")
+    of_document = factors(rows, window, part=part).groupBy("row").agg(F.collect_list(F.struct("start", "end", "source_id", "source_start")).alias("factors"))
+    return rows.join(of_document, "row", "left").select("k", "z", "factors").mapInArrow(_cut, _CUT)
 
 
 def digests(docs: DataFrame) -> DataFrame:

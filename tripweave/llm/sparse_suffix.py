@@ -3,9 +3,12 @@
 Only suffixes that start at content-selected places are retained: the
 minimisers, least hashes of a few words within a sliding window, which two
 copies of a passage select alike. Suffixes that share their first words, their
-head, are sorted by the windows that hold it, once for each place of the head in
-the window, so that all equal windows become neighbours and match. Suffixes that
-share their head with no other are dropped before the sort.
+head, are sorted by the words after it and compared with their neighbours, and
+matches are extended to the left. As a passage of ``MIN_WORDS`` words can reach
+any number of words to the left of a head, this is done for each number: the
+suffixes are sorted by so many words before the head and the rest of
+``MIN_WORDS`` after it, and equal neighbours match. Suffixes that share their
+head with no other are dropped before the sort.
 """
 
 from __future__ import annotations
@@ -13,19 +16,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, WordHasher, document_rows, mix, partitions, prefix_sums, selected, small_batches, span_hash, stored, whole_groups
+from .blocks import PART, Block, blocks, each_block
+from .common import document_rows, prefix_sums, selected, small_batches, span_hash, spread_join, stored
 from .rlz import merged
 
 #: Passages of at least so many words are found.
 MIN_WORDS = 50
 #: Words of a gram, and grams of a window: a suffix is retained among so many neighbours.
 GRAM, WIDTH = 8, 27
-#: Windows of up to so many suffixes that share their head are compared in one task, of more by a shuffle; the result is the same.
-GROUP = 16_384
 
 
 def head_words(min_words: int) -> int:
@@ -33,91 +34,51 @@ def head_words(min_words: int) -> int:
     return min_words - WIDTH + 1
 
 
-def retained(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the retained suffixes of a text that have a whole head, and the hashes of their heads."""
+def retained(min_words: int = MIN_WORDS):
+    """The retained suffixes of a text that have a whole head as places: their head, and the words that a passage can reach around it."""
     head = head_words(min_words)
-    none = np.empty(0, np.int64), np.empty(0, np.uint64)
-    if len(words) < min_words:
-        return none
-    sums = prefix_sums(words)
-    at = np.arange(len(words) - GRAM + 1)
-    grams = span_hash(sums, at, at + GRAM)
-    places = np.unique(selected(grams, min(WIDTH, len(grams))))
-    places = places[places + head <= len(words)]
-    return places, span_hash(sums, places, places + head)
-
-
-def _heads(min_words: int, with_places: bool):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        hasher = WordHasher()
-        for batch in batches:
-            parts = []
-            for k, th, t in zip(batch["k"].to_pylist(), batch["th"].to_pylist(), batch["t"].to_pylist()):
-                places, heads = retained(hasher(t.encode()), min_words)
-                if len(places):
-                    parts.append((np.full(len(places), k), np.full(len(places), th), places, heads))
-            if parts:
-                k, th, at, heads = (np.concatenate(x) for x in zip(*parts))
-                found = [pa.array(heads.view(np.int64))] + ([pa.array(k), pa.array(th), pa.array(at.astype(np.int32))] if with_places else [])
-                yield pa.RecordBatch.from_arrays(found, ["head", "k", "th", "at"][: len(found)])
-
-    return run
-
-
-def _contexts(min_words: int):
-    """Each suffix with the hashes of the words around its head, as far as a match can need them."""
-    head = head_words(min_words)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher()
-        for p in batches:
-            rows = []
-            for k, th, t, suffixes in zip(p["k"], p["th"], p["t"], p["suffixes"]):
-                words = (hasher(t.encode()) >> np.uint64(32)).astype(np.uint32)
-                for x in suffixes:
-                    at = x["at"]
-                    # big-endian, so that bytes sort as the words do; the left side reads outwards
-                    right, left = words[at + head : at + head + WIDTH].astype(">u4"), words[max(0, at - WIDTH) : at][::-1].astype(">u4")
-                    rows.append((x["head"], k, th, at, right.tobytes(), left.tobytes()))
-            yield pd.DataFrame(rows, columns=["head", "k", "th", "at", "right", "left"])
-
-    return run
 
+    def found(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        n = len(words)
+        if n < min_words:
+            return None
+        sums = prefix_sums(words)
+        at = np.arange(n - GRAM + 1)
+        grams = span_hash(sums, at, at + GRAM)
+        places = np.unique(selected(grams, min(WIDTH, len(grams))))
+        places = places[places + head <= n]
+        return span_hash(sums, places, places + head), np.maximum(places - WIDTH + 1, 0), places, np.minimum(places + head + WIDTH - 1, n)
 
-def padded(column) -> np.ndarray:
-    data = [np.frombuffer(x, ">u4") for x in column]
-    out = np.zeros((len(data), WIDTH), np.uint32)
-    for i, x in enumerate(data):
-        out[i, : len(x)] = np.maximum(x, 1)
-    return out
+    return found
 
 
-def window_matches(group: np.ndarray, at: np.ndarray, right: np.ndarray, left: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, starts and ends of what suffixes share with any other of their group, in windows that hold the head.
+def matched(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Suffixes, and how many words before and after their head they share at most with others of their part; one suffix
+    for each window (places, words before the head) of split blocks.
 
-    For each place of the head in the window, suffixes are sorted by the window
-    and equal neighbours match. A row's windows all hold its head, so together
-    they are one span.
+    All windows of a suffix hold its head, so together they are one span.
     """
-    around = WIDTH - 1
-    least, most = np.full(len(at), around + 1), np.full(len(at), -1)
-    # sums[:, n] tells the first n words to either side; the powers make them depend on the order of the words
-    up, _ = POWERS(2 * around)
-    before, after = (np.concatenate((np.zeros((len(at), 1), np.uint64), np.cumsum(mix(x[:, :around].astype(np.uint64)) * p, axis=1)), axis=1) for x, p in ((left, up[:around]), (right, up[around:])))
-    whole_left, whole_right = (np.concatenate((np.ones((len(at), 1), bool), x[:, :around] != 0), axis=1) for x in (left, right))
-    own = mix(group.astype(np.uint64) + np.uint64(1))
-    for n in range(around + 1):
-        rows = np.flatnonzero(whole_left[:, n] & whole_right[:, around - n])
-        key = mix(before[rows, n] + after[rows, around - n]) ^ own[rows]
-        order = np.argsort(key)
-        same = key[order[1:]] == key[order[:-1]]
-        equal = rows[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]] if len(rows) else rows
-        least[equal] = np.minimum(least[equal], n)
-        most[equal] = n
-    rows = np.flatnonzero(most >= 0)
-    return rows, at[rows] - most[rows], at[rows] + head + around - least[rows]
+    n = len(block.at)
+    least, most, seen = np.full(n, block.around + 1), np.full(n, -1), []
+    for l in range(block.around + 1):
+        places, codes = block.windows(l)
+        if not len(places):
+            continue
+        order = np.argsort(codes, kind="stable")
+        p = places[order]
+        same = codes[order[1:]] == codes[order[:-1]]
+        # neighbours are compared word by word
+        same[same] = block.same_start(p[1:][same], p[:-1][same], l) & (block.common_right(p[1:][same], p[:-1][same]) >= block.around - l)
+        equal = p[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        least[equal] = np.minimum(least[equal], l)
+        most[equal] = l
+        first = p[np.concatenate(([True], ~same))]
+        seen.append((first[block.split[first]], l))
+    places = np.flatnonzero(most >= 0)
+    return places, most[places], block.around - least[places], seen
+
+
+_MATCHES = "row long, k long, start int, end int, code binary"
 
 
 def _matches(min_words: int):
@@ -126,85 +87,59 @@ def _matches(min_words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for table in whole_groups(batches, ["head"], 16_384):
-            h = table["head"].to_numpy()
-            group = np.cumsum(np.concatenate(([0], h[1:] != h[:-1])))
-            k, th, at = (table[c].to_numpy() for c in ("k", "th", "at"))
-            rows, starts, ends = window_matches(group, at, padded(table["right"].to_pylist()), padded(table["left"].to_pylist()), head)
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(k[rows]), pa.array(th[rows]), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], ["k", "th", "start", "end"])
+        names = [x.split()[0] for x in _MATCHES.split(", ")]
+        for block in each_block(batches, head, WIDTH - 1, 32_768):
+            places, before, after, seen = matched(block)
+            found = [(places, block.at[places] - before, block.at[places] + head + after, None)]
+            found += [(p, block.at[p] - l, block.at[p] - l + min_words, block.digests(p, l)) for p, l in seen]
+            for p, start, end, codes in found:
+                if len(p):
+                    code = pa.nulls(len(p), pa.binary()) if codes is None else pa.array(codes, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(block.row[p]), pa.array(block.k[p], mask=block.null[p]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), code], names)
 
     return run
 
 
-def _windows(min_words: int):
-    """All windows of ``min_words`` words that hold the head of a suffix, with two hashes of their content."""
-    head = head_words(min_words)
+def matches(rows: DataFrame, min_words: int = MIN_WORDS, part: int = PART) -> DataFrame:
+    """row, k, start, end (words) of matches in :func:`document_rows`; they may overlap and repeat."""
+    found = stored(blocks(rows, retained(min_words), part).mapInArrow(_matches(min_words), _MATCHES), "matches")
+    # Split blocks: each part shows every window once; those that several parts show match too. Within its part a window's equals are found.
+    shown = found.filter("code IS NOT NULL")
+    again = stored(shown.groupBy("code").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("row", "start")).alias("a"), F.max(F.struct("row", "start")).alias("z")).filter("a < z").select("code", "count"), "repeated-windows")
+    across = spread_join(shown, again.select("code"), ["code"], again, "row", part)
+    names = ["row", "k", "start", "end"]
+    return found.filter("code IS NULL").select(*names).unionAll(across.select(*names)).distinct()
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        hasher = WordHasher()
-        for batch in batches:
-            parts = []
-            for k, th, t, suffixes in zip(*(batch[c].to_pylist() for c in ("k", "th", "t", "suffixes"))):
-                words = hasher(t.encode())
-                at = np.array([x["at"] for x in suffixes], np.int64)
-                starts = np.unique((at[:, None] - np.arange(min_words - head + 1)[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts + min_words <= len(words))]
-                if len(starts):
-                    one, two = (span_hash(prefix_sums(w), starts, starts + min_words) for w in (words, words ^ np.uint64(0x5BD1E9955BD1E995)))
-                    parts.append((np.full(len(starts), k), np.full(len(starts), th), starts, one, two))
-            if parts:
-                k, th, start, one, two = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(th), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k", "th", "start", "one", "two"])
+def _merged(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        spans = [merged(np.array([x["start"] for x in m]), np.array([x["end"] for x in m])) for m in batch["found"].to_pylist()]
+        counts = [len(s) for s in spans], [sum(e - b for b, e in s) for s in spans]
+        listed = pa.array([[{"start": b, "end": e} for b, e in s] for s in spans], span)
+        yield pa.RecordBatch.from_arrays([batch["k"], *(pa.array(c, pa.int64()) for c in counts), listed], ["doc_id", "n_spans", "n_repeated_words", "spans"])
 
-    return run
 
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
+    """doc_id, n_spans, n_repeated_words and spans (start and end in words) of each row with repeated passages.
 
-def matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """k, th, start, end (words) of matches; they may overlap and repeat."""
-    spark = rows.sparkSession
-    small_batches(spark)
-    # Written out, so that both sides of the next join are shuffled for it, and Spark can split a head that is in very many documents.
-    often = stored(rows.mapInArrow(_heads(min_words, False), "head long").groupBy("head").count().filter("count > 1"), "shared-heads")
-    found = rows.mapInArrow(_heads(min_words, True), "head long, k long, th long, at int").join(often, "head")
-    shared = stored(found.select("k", "th", F.struct("at", "head").alias("suffix"), (F.col("count") > GROUP).alias("crowded")), "shared-suffixes")
-    # at most as many suffixes of a document as it has words
-    listed = lambda crowded: shared.filter(F.col("crowded") == crowded).groupBy("k", "th").agg(F.collect_list("suffix").alias("suffixes"))
-    contexts = rows.join(listed(False), ["k", "th"]).mapInPandas(_contexts(min_words), "head long, k long, th long, at int, right binary, left binary")
-    ordered = contexts.repartition(partitions(spark), "head").sortWithinPartitions("head")
-    together = ordered.mapInArrow(_matches(min_words), "k long, th long, start int, end int")
-    if shared.filter("crowded").isEmpty():
-        return together.distinct()
-    # The windows of a head that very many suffixes share are compared in many tasks: equal ones are counted.
-    # Not written out: within one plan the texts are shuffled once for all of these joins.
-    windows = rows.join(listed(True), ["k", "th"]).mapInArrow(_windows(min_words), "k long, th long, start int, one long, two long")
-    again = windows.groupBy("one", "two").count().filter("count > 1")
-    equal = windows.join(again, ["one", "two"]).select("k", "th", "start", (F.col("start") + min_words).alias("end"))
-    return together.unionAll(equal).distinct()
-
-
-def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
-        spans = [merged(np.array([x["start"] for x in m]), np.array([x["end"] for x in m])) for m in p["found"]]
-        yield pd.DataFrame({
-            "doc_id": p["doc_id"], "n_spans": [len(s) for s in spans], "n_repeated_words": [sum(e - b for b, e in s) for s in spans],
-            "spans": [[{"start": b, "end": e} for b, e in s] for s in spans],
-        })
-
-
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_spans, n_repeated_words and spans (start and end in words) of each document with repeated passages.
-
-    A passage of ``min_words`` words or more that stands twice, in two
-    documents or in one, is found at both places; overlapping matches are
-    joined. Words are separated by white space and compared as they are.
-    Documents without such a passage give no row, so null, empty and
-    shorter texts and an empty table give none; repeated rows give repeated
-    rows only if their texts differ. Other columns are ignored.
+    A passage of ``min_words`` words or more that stands twice, in two rows or
+    in one, is found at both places; overlapping matches are joined. Words are
+    separated by white space and compared as they are. Rows without such a
+    passage give no row, so null, empty and shorter texts and an empty table
+    give none. Repeated rows match each other, and each gives a row; null ids
+    are as good as others. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = document_rows(docs, doc_id, text)
-    found = matches(rows, min_words).groupBy("k", "th").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    named = found.select(F.nullif("k", F.lit(2**63 - 1)).alias("doc_id"), "found")
-    return named.mapInPandas(_merged, "doc_id long, n_spans long, n_repeated_words long, spans array<struct<start:int,end:int>>")
+    # at most as many matches of a row as it has words
+    found = matches(rows, min_words, part).groupBy("row").agg(F.first("k").alias("k"), F.collect_list(F.struct("start", "end")).alias("found"))
+    return found.select("k", "found").mapInArrow(_merged, "doc_id long, n_spans long, n_repeated_words long, spans array<struct<start:int,end:int>>")
+
+
+def listed_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_spans, n_repeated_words, and the spans as text: ``start-end`` of each, with blanks between."""
+    span = F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return repeated_passages(docs.select("doc_id", "text")).withColumn("spans", F.array_join(span, " "))
