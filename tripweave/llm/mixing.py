@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 from .rules import SPACES
 
-#: Hashed words that the classifier tells apart, and labelled rows, at most, that it learns from.
-BUCKETS, SAMPLE_ROWS = 4096, 20_000
+#: Hashed words that the classifier tells apart, and labelled ids, at most, that it learns from.
+BUCKETS, SAMPLE_IDS = 4096, 20_000
 #: How far the mean evidence of a word counts: as much for a long text as for a short one, so that mixed texts stay mixed.
 SHARPNESS = 6.0
 #: Steps at most; they end when the targets are met so well, or the squared distance falls by less than this part.
@@ -32,20 +32,23 @@ STEPS, EXACT, STALLED = 40, 1e-6, 1e-3
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 
+_ADDED = ("tokens", "posteriors", "__ids", "__e", "__x", "__row")
+
+
 def word_ids(text: str = "text") -> Column:
     words = F.filter(F.split(text_of(text), SPACES), lambda w: w != "")
     return F.transform(words, lambda w: F.pmod(F.hash(F.lower(w)), F.lit(BUCKETS)))
 
 
-def log_weights(labelled: DataFrame, domains: list[str], limit: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the hashed words in each domain, and of the domains, from at most ``limit`` labelled rows (text, domain)."""
-    rows = labelled.filter(F.col("domain").isin(domains)).limit(limit)
-    words = rows.select("domain", F.explode_outer(word_ids()).alias("id"))
-    counted = words.groupBy("domain", "id").agg(F.count("id").alias("n")).collect()  # at most BUCKETS rows a domain
+def log_weights(labelled: DataFrame, domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of the hashed words in each domain, and of the domains, from labelled rows (text, domain).
+
+    Words are counted on the executors; the driver sees BUCKETS numbers a domain at most.
+    """
+    words = labelled.filter(F.col("domain").isin(domains)).select("domain", F.explode(word_ids()).alias("id"))
     n = np.ones((len(domains), BUCKETS))
-    for r in counted:
-        if r["id"] is not None:
-            n[domains.index(r["domain"]), r["id"]] += r["n"]
+    for r in words.groupBy("domain", "id").count().collect():
+        n[domains.index(r["domain"]), r["id"]] += r["count"]
     total = n.sum(axis=1)
     return np.log(n / total[:, None]), np.log(total / total.sum())
 
@@ -111,7 +114,7 @@ def fitted_steps(members: DataFrame, targets: np.ndarray, most: float | None = N
 def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], text: str = "text") -> DataFrame:
     """``docs`` without their texts, with tokens and posteriors, written out."""
     weights, prior = log_weights(labelled, domains)
-    docs = docs.drop(*[c for c in ("tokens", "posteriors", "__ids", "__e", "__x") if c != text])
+    docs = docs.drop(*[c for c in _ADDED if c != text])
     return stored(with_posteriors(docs, weights, prior, text).drop(text), "memberships")
 
 
@@ -133,10 +136,13 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], te
     return members.withColumn("rate", rate(fitted_steps(members, share / share.sum() * total)))
 
 
-def labelled_languages(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """text and domain (the language) of at most ``limit`` documents of the labelled table, chosen by a hash of their id."""
+def labelled_languages(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_IDS) -> DataFrame:
+    """text and domain (the language) of the documents of at most ``limit`` ids of the labelled table, chosen by a hash.
+
+    Null ids are left out; all rows of a chosen id count.
+    """
     ids = labels.select("doc_id").dropna().distinct()
-    share = min(1.0, 0.97 * limit / max(1, labels.count()))  # so that the limit hardly ever cuts
+    share = min(1.0, 0.97 * limit / max(1, ids.count()))  # so that the limit hardly ever cuts
     few = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(limit)
     # ``limit`` numbers at most
     return docs.select("doc_id", "text", F.col("lang").alias("domain")).join(F.broadcast(few), "doc_id").select("text", "domain")
@@ -149,22 +155,24 @@ def mixture_rates(docs: DataFrame, labels: DataFrame, weights: Mapping[str, floa
 
 
 def thinned(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """The rows of ``docs`` that stay if each does with its rate as the chance, decided by a hash of its id.
+    """The rows of ``docs`` that stay if each does with its rate as the chance.
 
     No row comes twice, so rates are fitted between 0 and 1: the domains' kept
     tokens meet their ``weights``' shares of all tokens, or, where a domain has
     fewer, come as near as its rows allow, and no other domain loses rows for it.
+    Rows are numbered in the table that their posteriors are written to, and a
+    hash of the number decides, so null and repeated ids and equal texts are
+    drawn row by row. Null and empty texts have the prior as posteriors. All
+    columns stay, whatever their names; an empty table gives no rows.
     """
     domains = list(weights)
+    own = {c: f"__own_{c}" for c in docs.columns if c in _ADDED}
     w, prior = log_weights(labelled, domains)
-    members = stored(with_posteriors(docs.select("doc_id", "text"), w, prior).select("tokens", "posteriors"), "memberships")
+    judged = with_posteriors(docs.withColumnsRenamed(own), w, prior).withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(judged, "memberships")
+    members = rows.select("tokens", "posteriors")
     total = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = np.array([weights[d] for d in domains], float)
     steps = fitted_steps(members, share / share.sum() * total, 1.0)
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    extra = [c for c in docs.columns if c in ("tokens", "posteriors")]
-    judged = with_posteriors(docs.withColumnsRenamed({c: f"__{c}" for c in extra}), w, prior)
-    # The row number, as long as the filter reads it, keeps the filter above the posteriors: pushed below, it would repeat
-    # them for every step of the rate.
-    kept = judged.withColumn("__row", F.monotonically_increasing_id()).withColumn("__rate", rate(steps, 1.0)).filter((chance < F.col("__rate")) & (F.col("__row") >= 0))
-    return kept.drop("tokens", "posteriors", "__row", "__rate").withColumnsRenamed({f"__{c}": c for c in extra}).select(*docs.columns)
+    chance = F.pmod(F.xxhash64("__row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.filter(chance < rate(steps, 1.0)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
