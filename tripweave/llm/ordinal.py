@@ -14,11 +14,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, text_of
+from .common import small_batches, stored, text_of
 
 #: Hashed words are dealt into so many weights; a weight for each step of each measure of style follows.
 BUCKETS = 1 << 18
@@ -26,7 +26,7 @@ STEPS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 MEASURES = 6
 STYLE = MEASURES * (len(STEPS) + 1)
 #: Labelled rows, at most, that the model is fitted on.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 20_000
 #: Grades: 0 toxic, 1 poor, 2 good.
 GRADES = 3
 #: Documents are kept whose P(good) is at least this.
@@ -85,30 +85,38 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def telling(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, seen: int, z: float) -> np.ndarray:
-    """The features that at least ``seen`` rows have and some grade has z standard deviations more or less often than chance."""
-    n, share = len(rows), np.bincount(grades, minlength=n_grades) / len(rows)
-    counts = np.zeros((n_grades, BUCKETS + STYLE), np.int32)
-    for r, g in zip(rows, grades):
-        counts[g, r] += 1  # a row has a feature once
+def telling(counts: np.ndarray, rows_of: np.ndarray, seen: int = 5, z: float = 5.0) -> np.ndarray:
+    """The features that at least ``seen`` rows have and some grade has z standard deviations more or less often than
+    chance; ``counts[g, f]``: rows of grade g with feature f, ``rows_of[g]``: rows of grade g."""
+    n = rows_of.sum()
+    share = rows_of / max(1, n)
     total = counts.sum(axis=0)
     expected = share[:, None] * total[None, :]
     spread = np.sqrt(np.maximum(expected * (1 - share)[:, None], 1e-9))
     return np.flatnonzero((total >= seen) & (total < n) & (np.abs(counts - expected) >= z * spread).any(axis=0))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, seen: int = 5, z: float = 5.0, balance: float = 0.25) -> Model:
-    """Maximise the penalised likelihood by Adam over the whole sample; only telling features get a weight."""
+def counted(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES) -> np.ndarray:
+    """Rows of each grade that have each feature; a row has a feature once."""
+    counts = np.zeros((n_grades, BUCKETS + STYLE), np.int64)
+    for r, g in zip(rows, grades):
+        counts[g, r] += 1
+    return counts
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, used: np.ndarray | None = None, n_grades: int = GRADES, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, balance: float = 0.25) -> Model:
+    """Maximise the penalised likelihood by Adam over the whole sample; only the features ``used``, or the telling ones, get a weight."""
     n = len(rows)
     if not n:
         return Model(np.zeros(BUCKETS + STYLE, np.float32), np.arange(n_grades - 1, dtype=float))
-    used = telling(rows, grades, n_grades, seen, z)
+    if used is None:
+        used = telling(counted(rows, grades, n_grades), np.bincount(grades, minlength=n_grades))
+    column = np.concatenate(rows)
+    row_of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     place = np.full(BUCKETS + STYLE, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    columns = [(c := place[r])[c >= 0] for r in rows]  # few of a row's features tell anything
-    row_of = np.repeat(np.arange(n), [len(c) for c in columns])
-    column = np.concatenate(columns)
-    del columns
+    column = place[column]
+    row_of, column = row_of[column >= 0], column[column >= 0]
     # balance 0: each row counts alike; 1: each grade does
     weight = np.maximum(np.bincount(grades, minlength=n_grades), 1)[grades].astype(float) ** -balance
     weight /= weight.sum()
@@ -142,29 +150,61 @@ def grade_of_labels() -> Column:
 
 
 def graded_sample(labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id and grade of ``limit`` labelled rows at most, chosen by a hash of the id; rows without id or labels are left out."""
+    """doc_id and grade of ``limit`` labelled ids at most, chosen by a hash; rows without id or labels are left out, and of several ratings of an id the lowest counts."""
     rated = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min(grade_of_labels()).alias("grade"))
     share = min(1.0, 0.97 * limit / max(1, labels.count()))  # so that the limit hardly ever cuts
     return rated.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(limit)
 
 
 def trained(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS, text: str = "text") -> Model:
-    """The model fitted on at most ``limit`` labelled documents (whole texts); their features come to the driver."""
-    small_batches(docs.sparkSession)
+    """The model fitted on at most ``limit`` labelled rows (whole texts); a null text counts as empty.
+
+    Features are counted on the executors; the driver sees three numbers of a
+    feature, and of the rows only their telling features. Rows of an id that
+    comes more than once are all labelled alike, within ``limit``. Without
+    labelled rows all weights are 0.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def featurised(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def featurised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
-        for p in batches:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "grade": p["grade"], "ids": [features(t) for t in p["t"]]})
+        for batch in batches:
+            ids = pa.array([features(t) for t in batch["t"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], ids], ["doc_id", "grade", "ids"])
 
     rated = graded_sample(labels, limit)
     # at most ``limit`` rows of two numbers: a proven bound for the broadcast
-    rows = docs.select("doc_id", text_of(text).alias("t")).join(F.broadcast(rated), "doc_id")
-    got = rows.select("doc_id", "grade", "t").mapInPandas(featurised, "doc_id long, grade int, ids array<int>").toPandas()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")[:limit]
-    features, grades = got["ids"].to_numpy()[order].tolist(), got["grade"].to_numpy(np.int64)[order]
-    del got
-    return fit(features, grades)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("t")).join(F.broadcast(rated), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "t")
+    sample = stored(rows.mapInArrow(featurised, "doc_id long, grade int, ids array<int>").limit(limit), "graded-features")
+    rows_of, counts = np.zeros(GRADES, np.int64), np.zeros((GRADES, BUCKETS + STYLE), np.int64)
+    for r in sample.groupBy("grade").count().collect():
+        rows_of[r["grade"]] = r["count"]
+    found = sample.select("grade", F.explode("ids").alias("id")).groupBy("grade", "id").count().toArrow()  # at most GRADES rows a feature
+    counts[found["grade"].to_numpy(), found["id"].to_numpy()] = found["count"].to_numpy()
+    used = telling(counts, rows_of)
+    shared = spark.sparkContext.broadcast(used)
+
+    def narrowed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = np.zeros(BUCKETS + STYLE, bool)
+        known[shared.value] = True
+        for batch in batches:
+            ids = batch["ids"].flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch["ids"].offsets.to_numpy()))
+            ends = np.cumsum(np.bincount(row[known[ids]], minlength=batch.num_rows))
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(ids[known[ids]]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], lists], ["doc_id", "grade", "ids"])
+
+    got = sample.mapInArrow(narrowed, "doc_id long, grade int, ids array<int>").toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit([], np.empty(0, np.int64))
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    ends, ids = got["ids"].combine_chunks().offsets.to_numpy(), got["ids"].combine_chunks().values.to_numpy()
+    return fit([ids[ends[i] : ends[i + 1]] for i in order], got["grade"].to_numpy()[order].astype(np.int64), used)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -179,15 +219,19 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast((model.weights, model.thresholds))  # a fixed number of weights
     docs = docs.drop("expected_grade", "tail_probability", "__t")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = docs.columns
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         features, m = Features(), Model(*shared.value)
-        for p in batches:
-            scores = np.array([m.score(features(t)) for t in p["__t"]])
-            tail = m.tail(scores) if len(scores) else np.zeros((0, GRADES - 1))
-            yield p.drop(columns="__t").assign(expected_grade=tail.sum(axis=1), tail_probability=tail[:, -1])
+        for batch in batches:
+            scores = np.array([m.score(features(t)) for t in batch["__t"].to_pylist()], float)
+            tail = m.tail(scores)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(tail.sum(axis=1)), pa.array(tail[:, -1])], [*names, "expected_grade", "tail_probability"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", expected_grade double, tail_probability double"
-    return docs.withColumn("__t", text_of(text)).mapInPandas(run, schema)
+    schema = T.StructType(docs.schema.fields).add("expected_grade", "double").add("tail_probability", "double")
+    return docs.withColumn("__t", text_of(text)).mapInArrow(run, schema)
 
 
 def quality_grades(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, limit: int = SAMPLE_ROWS) -> DataFrame:
