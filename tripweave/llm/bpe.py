@@ -14,7 +14,6 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,12 +120,13 @@ class Codec:
             self.cache[body] = found
         return found
 
-    def repaired(self, data: bytes, starts: list[int], left: int, right: int) -> tuple[int, str, bytes]:
+    def repaired(self, data: bytes, starts: list[int], left: int, right: int) -> tuple[int, str, bytes] | None:
         """The tokens between the word starts ``left`` and ``right`` (indices into ``starts``), around a join.
 
         The piece is encoded with a word more on either side; it is right when
         these words come out as in the neighbouring chunks. If not, it is
-        encoded once more with twice as many.
+        encoded once more with twice as many; None if the whole text does not
+        agree with its words.
         """
         more = 1
         while True:
@@ -137,7 +137,7 @@ class Codec:
             if ids[: len(before)] == before and ids[len(ids) - len(after) :] == after:
                 return self.shown(ids[len(before) : len(ids) - len(after)])
             if i == 0 and j == len(starts) - 1:
-                raise ValueError("chunks do not join")
+                return None
             more *= 2
 
     def parts(self, data: bytes) -> Iterator[tuple[int, str, bytes]]:
@@ -158,11 +158,15 @@ class Codec:
             yield self.shown(self.ids(data))
             return
         at = starts.tolist()
+        joins = [self.repaired(data, at, z, f) for (_, z), (f, _) in zip(inside, inside[1:])]
+        if None in joins:
+            yield self.shown(self.ids(data))  # not by chunks, then
+            return
         if at[inside[0][0]]:
             yield self.shown(self.ids(data[: at[inside[0][0]]]))
         for n, (f, z) in enumerate(inside):
             if n:
-                yield self.repaired(data, at, inside[n - 1][1], f)
+                yield joins[n - 1]
             yield self.chunk(data[at[f] : at[z]])
         yield self.shown(self.ids(data[at[inside[-1][1]] :]))
 
@@ -201,12 +205,15 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -
     small_batches(spark)
     content = spark.sparkContext.broadcast(_content(tokenizer))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         codec = _codec(content.value)
-        for p in batches:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "ids": [codec.encode(t) for t in p["t"]]})
+        for batch in batches:
+            ids = pa.array([codec.encode(t) for t in batch["t"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], ids], ["doc_id", "ids"])
 
-    return docs.select("doc_id", text_of(text).alias("t")).mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def _content(tokenizer: str | None) -> str:
@@ -228,10 +235,13 @@ def encoded_digests(docs: DataFrame, tokenizer: str | None = None, text: str = "
     small_batches(spark)
     content = spark.sparkContext.broadcast(_content(tokenizer))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         codec = _codec(content.value)
-        for p in batches:
-            found = [codec.digest(t) for t in p["t"]]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
+        for batch in batches:
+            found = [codec.digest(t) for t in batch["t"].to_pylist()]
+            counts, *hashes = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), *(pa.array(h, pa.string()) for h in hashes)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", text_of(text).alias("t")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
