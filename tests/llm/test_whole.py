@@ -123,3 +123,41 @@ def test_null_ids_are_drawn_row_by_row(spark):
     copies = left.filter("doc_id = 7").count() / 200
     assert 0 < null < 1 and abs(null - known) < 0.2 and 0 < copies < 1
     assert left.filter("lang = 'fr'").count() > 85
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With a hash that takes all words of one length for equal, blocks are compared once more by exact words."""
+    import numpy as np
+
+    from tripweave.llm import blocks
+
+    rng = random.Random(15)
+    texts = [prose(rng, 70).split() for _ in range(6)]
+    texts += [texts[0][:40] + texts[1][30:], texts[2][10:65] + texts[3]]
+    data = b" ".join(" ".join(t).encode() for t in texts)
+    starts = blocks.word_starts(data)
+    real = blocks.words_of
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    size, around = 6, 14
+    rows = []
+    for t, words in enumerate(texts):
+        for at in range(around, len(words) - size - around, 7):
+            rows.append((t, at, first[t] + at))
+    import pyarrow as pa
+
+    def table():
+        lo = [at - around for _, at, _ in rows]
+        hi = [at + size + around for _, at, _ in rows]
+        words = [data[starts[g - around] : starts[g + size + around] - 1] for _, _, g in rows]
+        n = len(rows)
+        columns = {"key": pa.array([1] * n), "part": pa.array([0] * n, pa.int32()), "split": pa.array(np.zeros(n, bool)), "lo": pa.array(lo, pa.int32()), "at": pa.array([at for _, at, _ in rows], pa.int32()),
+                   "hi": pa.array(hi, pa.int32()), "row": pa.array([t for t, _, _ in rows]), "k": pa.array([t for t, _, _ in rows]), "words": pa.array(words, pa.binary())}
+        return pa.table(columns)
+
+    def found():
+        ((block, (factors, _)),) = blocks.each_block(iter(table().to_batches()), size, around, 1000, rlz.parsed)
+        return sorted((int(p), int(b), int(a), block.slices(np.array([p]), b, a)) for x in factors for p, b, a in zip(*x[:3]))
+
+    want = found()
+    monkeypatch.setattr(blocks, "words_of", lambda text: (np.array([len(w) for w in text.split()], np.uint64) * np.uint64(2**40), None, None))
+    assert found() == want and real is not blocks.words_of

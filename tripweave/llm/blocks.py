@@ -10,12 +10,13 @@ few windows that are new in their part.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, WordHasher, discard, mix, partitions, spread_join, stored, unpacker, whole_groups
+from .common import POWERS, discard, mix, partitions, spread_join, stored, unpacker, whole_groups, words_of
 
 #: Places, about, of a part of a block.
 PART = 4096
@@ -27,11 +28,11 @@ def _places(found: Places):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hasher, unpack = WordHasher(), unpacker()
+        unpack = unpacker()
         for batch in batches:
             parts = []
             for row, z in zip(batch["row"].to_pylist(), batch["z"].to_pylist()):
-                if (got := found(hasher(unpack(z)))) is not None:
+                if (got := found(words_of(unpack(z))[0])) is not None:
                     parts.append((np.full(len(got[0]), row), *got))
             if parts:
                 row, key, lo, at, hi = (np.concatenate(x) for x in zip(*parts))
@@ -41,6 +42,11 @@ def _places(found: Places):
     return run
 
 
+def word_starts(text: bytes) -> np.ndarray:
+    """Where the words of a text start that single spaces separate; at last, one past the space that would follow."""
+    return np.concatenate(([0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1, [len(text) + 1]))
+
+
 def _contexts(batches: Iterator) -> Iterator:
     """The words of each place's context, joined by single spaces."""
     import pyarrow as pa
@@ -53,9 +59,8 @@ def _contexts(batches: Iterator) -> Iterator:
         lo, hi = (place.field(c).to_numpy() for c in ("lo", "hi"))
         words = []
         for i, z in enumerate(batch["z"].to_pylist()):
-            split = unpack(z).split()
-            text = b" ".join(split)
-            starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1)))
+            text = b" ".join(unpack(z).split())
+            starts = word_starts(text)
             own = slice(ends[i], ends[i + 1])
             words += [text[a:b] for a, b in zip(starts[lo[own]].tolist(), (starts[hi[own]] - 1).tolist())]
         of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
@@ -86,15 +91,23 @@ def blocks(rows: DataFrame, found: Places, part: int = PART) -> DataFrame:
     return contexts.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", F.col("k").asc_nulls_last(), "at")
 
 
+class Known(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + 1
+        return number
+
+
 class Block:
-    """Whole parts of blocks as arrays, one line a place; words are numbers, equal only for equal words.
+    """Whole parts of blocks as arrays, one line a place; words are hashes, or, in a further ``attempt``, numbers of distinct words, scrambled anew.
 
     ``left`` and ``right`` are the words beside the key's, outwards, 0 where
     there are none; ``left_sums[:, n]`` and ``right_sums[:, n]`` tell the first
     n of them.
     """
 
-    def __init__(self, table, size: int, around: int, known: dict[bytes, int]):
+    def __init__(self, table, size: int, around: int, attempt: int = 0):
         self.row, self.at, lo, hi, self.split = (table[c].to_numpy() for c in ("row", "at", "lo", "hi", "split"))
         k = table["k"].combine_chunks()
         self.null = k.is_null().to_numpy(zero_copy_only=False)
@@ -108,26 +121,24 @@ class Block:
         later[1:] = new[1:] | (self.null[1:] != self.null[:-1]) | (self.k[1:] != self.k[:-1]) | (self.at[1:] != self.at[:-1])
         self.time = np.cumsum(later)  # equal for rows of one id at the same place
         self.data = b" ".join(table["words"].to_pylist())
-        words = self.data.split()
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = len(known) + 1
-        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        self.starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+        self.starts = word_starts(self.data)
+        if attempt:
+            ids = mix(np.fromiter(map(Known().__getitem__, self.data.split()), np.uint64, len(self.starts) - 1) + np.uint64(attempt))
+        else:
+            ids = words_of(self.data)[0] | np.uint64(1)  # never 0
         base = np.cumsum(hi - lo) - (hi - lo)
         self.pivot = base + self.at - lo
         self.n_left, self.n_right = self.at - lo, hi - self.at - size
-        self.gram = ids[self.pivot[:, None] + np.arange(size)]
         step = np.arange(around)
-        pick = lambda where, there: np.where(there, ids[np.clip(where, 0, len(ids) - 1)], 0)
-        self.left = pick(self.pivot[:, None] - 1 - step, step < self.n_left[:, None])
+        pick = lambda where, there: np.where(there, ids[np.clip(where, 0, len(ids) - 1)], np.uint64(0))
+        left = pick(self.pivot[:, None] - 1 - step, step < self.n_left[:, None])
         self.right = pick(self.pivot[:, None] + size + step, step < self.n_right[:, None])
-        up, _ = POWERS(2 * around + 1)
-        sums = lambda x, p: np.concatenate((np.zeros((n, 1), np.uint64), np.cumsum(mix(x.astype(np.uint64)) * p, axis=1)), axis=1)
-        self.left_sums, self.right_sums = sums(self.left, up[:around]), sums(self.right, up[around : 2 * around])
-        self.own = mix(self.group.astype(np.uint64) + np.uint64(1))
+        up, _ = POWERS(2 * around + size + 1)
+        sums = lambda x, p: np.concatenate((np.zeros((n, 1), np.uint64), np.cumsum(x * p, axis=1)), axis=1)
+        self.left_sums, self.right_sums = sums(left, up[1 : around + 1]), sums(self.right, up[around + 1 : 2 * around + 1])
+        # places meet by the words of the key, not by its hash alone
+        gram = (ids[self.pivot[:, None] + np.arange(size)] * up[:size]).sum(axis=1) if attempt else np.uint64(0)
+        self.own = mix(mix(self.group.astype(np.uint64) + np.uint64(1)) + gram)
         self.size, self.around = size, around
 
     def windows(self, l: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,24 +146,28 @@ class Block:
         rows = np.flatnonzero((self.n_left >= l) & (self.n_right >= self.around - l))
         return rows, mix(self.left_sums[rows, l] + self.right_sums[rows, self.around - l]) ^ self.own[rows]
 
-    def same_start(self, p: np.ndarray, q: np.ndarray, l: int) -> np.ndarray:
-        """Whether the words of the key and the ``l`` words before it are equal, one by one."""
-        return (self.gram[p] == self.gram[q]).all(axis=1) & (self.left[p, :l] == self.left[q, :l]).all(axis=1)
-
     def common_right(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """How many words after the key's are equal, one by one."""
+        """How many words after the key's are equal."""
         equal = (self.right[p] == self.right[q]) & (self.right[p] > 0)
         return np.where(equal.all(axis=1), self.around, (~equal).argmax(axis=1))
 
+    def slices(self, places: np.ndarray, before: np.ndarray | int, after: np.ndarray | int) -> list[bytes]:
+        """The words from so many before the key to so many after it, as bytes."""
+        first, last = self.pivot[places] - before, self.pivot[places] + self.size + after
+        return [self.data[a:b] for a, b in zip(self.starts[first].tolist(), (self.starts[last] - 1).tolist())]
+
     def digests(self, places: np.ndarray, l: int) -> list[bytes]:
         """128 bits of hash of the windows, the same in every task."""
         from xxhash import xxh3_128_digest
 
-        first = self.pivot[places] - l
-        return [xxh3_128_digest(self.data[a:b]) for a, b in zip(self.starts[first].tolist(), (self.starts[first + self.size + self.around] - 1).tolist())]
+        return list(map(xxh3_128_digest, self.slices(places, l, self.around - l)))
 
 
-def each_block(batches: Iterator, size: int, around: int, rows: int) -> Iterator[Block]:
-    known: dict[bytes, int] = {}
+def each_block(batches: Iterator, size: int, around: int, rows: int, compared: Callable[[Block], tuple | None]) -> Iterator[tuple[Block, tuple]]:
+    """Each block and what ``compared`` finds in it; None, where words that it took for equal differ, means another attempt."""
     for table in whole_groups(batches, ["key", "part"], rows):
-        yield Block(table, size, around, known)
+        for attempt in count():
+            block = Block(table, size, around, attempt)
+            if (found := compared(block)) is not None:
+                break
+        yield block, found

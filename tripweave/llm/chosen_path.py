@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, document_rows, hinted, mix, numbered, partitions, prefix_sums, small_batches, span_hash, spread_join, stored, unpacker, whole_groups
+from .common import document_rows, hinted, mix, numbered, partitions, prefix_sums, small_batches, span_hash, spread_join, stored, unpacker, whole_groups, words_of
 from .components import components
 
 #: Words of a shingle; links join sets whose similarity is NUMERATOR / DENOMINATOR or more.
@@ -65,9 +65,9 @@ def _sketches(size: int):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        hasher, unpack = WordHasher(), unpacker()
+        unpack = unpacker()
         for batch in batches:
-            sets = [shingles(hasher(unpack(z)), size) for z in batch["z"].to_pylist()]
+            sets = [shingles(words_of(unpack(z))[0], size) for z in batch["z"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["row"], batch["k"], pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
                 ["row", "k", "d", "n", "sketch"],
@@ -224,11 +224,11 @@ def _links(runs: int, size: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hasher, unpack = WordHasher(), unpacker()
+        unpack = unpacker()
         for bucket, rows in _buckets(batches, [*_ROW, "z"], runs, 2048):
             pairs = bucket.pairs()
             if (one := next(pairs, None)) is not None:
-                links, first = linked([shingles(hasher(unpack(z)), size) for z in rows["z"]], chain((one,), pairs), bucket.copies)
+                links, first = linked([shingles(words_of(unpack(z))[0], size) for z in rows["z"]], chain((one,), pairs), bucket.copies)
                 got = np.flatnonzero(links)
                 if len(got):
                     yield pa.RecordBatch.from_arrays([pa.array([bucket.d[i] for i in got], pa.binary()), pa.array(links[got]), pa.array([bucket.d[first[i]] for i in got], pa.binary())], ["d", "links", "first"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,30 +77,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """64-bit hashes of the words of texts; known words are looked up."""
-
-    def __init__(self, limit: int = 400_000):
-        from xxhash import xxh3_64_intdigest
-
-        self.known: dict[bytes, int] = {}
-        self.limit, self.hash = limit, xxh3_64_intdigest
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        """Of bytes: ``split()`` separates at exactly the characters of ``WHITE``."""
-        words = text.split()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.hash(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 class Powers:
     """Powers of BASE and of its inverse, as many as the longest text so far needs."""
 
@@ -129,6 +106,39 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powe
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+_IS_WHITE = np.isin(np.arange(256), list(WHITE.encode()))
+_OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+#: Bytes of a text that are hashed at a time.
+STRETCH = 1 << 20
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b = np.frombuffer(data, np.uint8)
+    white = np.ones(len(b) + 2, bool)
+    white[1:-1] = _IS_WHITE[b]
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    return span_hash(prefix_sums(_OF_BYTE[b]), starts, ends), starts, ends
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text, and where they start and end (bytes).
+
+    Words are what ``bytes.split()`` gives: it separates at exactly the
+    characters of ``WHITE``. A long text is hashed in stretches of whole words.
+    """
+    if len(data) <= STRETCH:
+        return _words(data)
+    parts, at, border = [], 0, re.compile(rb"[ \t\n\x0b\x0c\r]")
+    while at < len(data):
+        end = m.start() if (m := border.search(data, at + STRETCH)) else len(data)
+        hashes, starts, ends = _words(data[at:end])
+        parts.append((hashes, starts + at, ends + at))
+        at = end
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts))
+    return hashes, starts, ends
+
+
 def selected(grams: np.ndarray, width: int) -> np.ndarray:
     """For each window of ``width`` neighbouring grams the place of its least (leftmost of equals): its minimiser."""
     view = np.lib.stride_tricks.sliding_window_view(grams, width)

@@ -76,15 +76,16 @@ def longest_sources(block: Block, p: np.ndarray, codes: np.ndarray, l: int, want
     for side in (before[wanted], after[wanted]):
         has = np.flatnonzero(side >= 0)
         own, other = p[wanted[has]], p[side[has]]
-        words = np.where(block.same_start(own, other, l), block.common_right(own, other), -1)
+        words = block.common_right(own, other)
         better = (words >= block.around - l) & ((words > reach[has]) | (words == reach[has]) & (block.time[other] < block.time[source[has]]))
         source[has[better]], reach[has[better]] = other[better], words[better]
     return source, reach
 
 
-def parsed(block: Block) -> tuple[list[tuple], list[tuple]]:
+def parsed(block: Block) -> tuple[list[tuple], list[tuple]] | None:
     """Factors (place, words before the key, words after it, source place) of all phrases of a block, and the windows
-    (places, words before the key) of split blocks that are new in their part."""
+    (places, words before the key) of split blocks that are new in their part; None if some factor's words differ from
+    its source's."""
     reach = np.full(len(block.at), -1)  # words after the key that the latest factor of a phrase covers
     rank = np.empty(len(block.at), np.int64)
     rank[np.lexsort(block.right.T[::-1])] = np.arange(len(rank))
@@ -100,6 +101,8 @@ def parsed(block: Block) -> tuple[list[tuple], list[tuple]]:
         has = source >= 0
         own = p[wanted[has]]
         reach[own] = words[has]
+        if block.slices(own, l, words[has]) != block.slices(source[has], l, words[has]):
+            return None
         factors.append((own, np.full(len(own), l), words[has], source[has]))
         none = p[wanted[~has]]
         new.append((none[block.split[none]], l))
@@ -114,8 +117,7 @@ def _parse(window: int, anchor: int):
         import pyarrow as pa
 
         names = [x.split()[0] for x in _FACTORS.split(", ")]
-        for block in each_block(batches, anchor, window - anchor, 65_536):
-            factors, new = parsed(block)
+        for block, (factors, new) in each_block(batches, anchor, window - anchor, 65_536, parsed):
             if factors:
                 place, before, after, source = (np.concatenate(x) for x in zip(*factors))
                 if len(place):
@@ -162,26 +164,39 @@ _FACTOR = "struct<start:int,end:int,source_id:bigint,source_start:int>"
 _CUT = f"doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,end:int>>, factors array<{_FACTOR}>"
 
 
+def span_lists(each: list[list[tuple[int, int]]]):
+    """An Arrow column of lists of spans."""
+    import pyarrow as pa
+
+    ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+    flat = np.array([x for spans in each for x in spans], np.int32).reshape(-1, 2)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"]))
+
+
+def listed_spans(column) -> Iterator[list[tuple[int, int]]]:
+    """The union of the intervals (start, end) in each list of an Arrow column."""
+    ends = column.offsets.to_numpy()
+    found = column.flatten()
+    start, end = (found.field(c).to_numpy() for c in ("start", "end"))
+    for a, z in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist()):
+        yield merged(start[a:z], end[a:z])
+
+
 def _cut(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     unpack = unpacker()
     for batch in batches:
-        out = []
-        for z, factors in zip(batch["z"].to_pylist(), batch["factors"].to_pylist()):
+        n, removed, kept, spans = [], [], [], list(listed_spans(batch["factors"]))
+        for z, own in zip(batch["z"].to_pylist(), spans):
             words = unpack(z).split()
-            n = len(words)
-            spans = merged(np.array([f["start"] for f in factors]), np.array([f["end"] for f in factors])) if factors else []
-            for s, e in reversed(spans):
+            n.append(len(words))
+            for s, e in reversed(own):
                 del words[s:e]
-            out.append((n, n - len(words), b" ".join(words).decode(), [{"start": s, "end": e} for s, e in spans], factors or []))
-        n, removed, kept, spans, parts = zip(*out) if out else ((),) * 5
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        factor = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())])
-        yield pa.RecordBatch.from_arrays(
-            [batch["k"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(span)), pa.array(parts, pa.list_(factor))],
-            ["doc_id", "n_words", "n_removed", "kept_text", "spans", "factors"],
-        )
+            removed.append(n[-1] - len(words))
+            kept.append(b" ".join(words).decode())
+        columns = [batch["k"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), span_lists(spans), batch["factors"]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_text", "spans", "factors"])
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
@@ -199,7 +214,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     rows = document_rows(docs, doc_id, text)
     # as many factors of a document as it has words, at most
     of_document = factors(rows, window, part=part).groupBy("row").agg(F.collect_list(F.struct("start", "end", "source_id", "source_start")).alias("factors"))
-    return rows.join(of_document, "row", "left").select("k", "z", "factors").mapInArrow(_cut, _CUT)
+    found = F.coalesce("factors", F.array().cast(f"array<{_FACTOR}>")).alias("factors")
+    return rows.join(of_document, "row", "left").select("k", "z", found).mapInArrow(_cut, _CUT)
 
 
 def digests(docs: DataFrame) -> DataFrame:

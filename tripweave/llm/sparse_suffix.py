@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .blocks import PART, Block, blocks, each_block
 from .common import document_rows, prefix_sums, selected, small_batches, span_hash, spread_join, stored
-from .rlz import merged
+from .rlz import listed_spans, span_lists
 
 #: Passages of at least so many words are found.
 MIN_WORDS = 50
@@ -52,29 +52,35 @@ def retained(min_words: int = MIN_WORDS):
     return found
 
 
-def matched(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, int]]]:
+def matched(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, int]]] | None:
     """Suffixes, and how many words before and after their head they share at most with others of their part; one suffix
-    for each window (places, words before the head) of split blocks.
+    for each window (places, words before the head) of split blocks. None if words taken for equal differ.
 
-    All windows of a suffix hold its head, so together they are one span.
+    All windows of a suffix hold its head, so together they are one span; the
+    first and the last are compared word by word with the neighbour's.
     """
     n = len(block.at)
     least, most, seen = np.full(n, block.around + 1), np.full(n, -1), []
+    first_beside, last_beside = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for l in range(block.around + 1):
         places, codes = block.windows(l)
         if not len(places):
             continue
-        order = np.argsort(codes, kind="stable")
+        order = np.argsort(codes)
         p = places[order]
-        same = codes[order[1:]] == codes[order[:-1]]
-        # neighbours are compared word by word
-        same[same] = block.same_start(p[1:][same], p[:-1][same], l) & (block.common_right(p[1:][same], p[:-1][same]) >= block.around - l)
-        equal = p[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        least[equal] = np.minimum(least[equal], l)
-        most[equal] = l
-        first = p[np.concatenate(([True], ~same))]
+        same = np.flatnonzero(codes[order[1:]] == codes[order[:-1]])
+        for own, other in ((p[same], p[same + 1]), (p[same + 1], p[same])):
+            new = least[own] > block.around
+            least[own[new]] = l
+            last_beside[own[new]] = other[new]
+            most[own] = l
+            first_beside[own] = other
+        first = p[np.setdiff1d(np.arange(len(p)), same + 1, assume_unique=True)]
         seen.append((first[block.split[first]], l))
     places = np.flatnonzero(most >= 0)
+    for l, beside in ((most[places], first_beside[places]), (least[places], last_beside[places])):
+        if block.slices(places, l, block.around - l) != block.slices(beside, l, block.around - l):
+            return None
     return places, most[places], block.around - least[places], seen
 
 
@@ -88,8 +94,7 @@ def _matches(min_words: int):
         import pyarrow as pa
 
         names = [x.split()[0] for x in _MATCHES.split(", ")]
-        for block in each_block(batches, head, WIDTH - 1, 32_768):
-            places, before, after, seen = matched(block)
+        for block, (places, before, after, seen) in each_block(batches, head, WIDTH - 1, 32_768, matched):
             found = [(places, block.at[places] - before, block.at[places] + head + after, None)]
             found += [(p, block.at[p] - l, block.at[p] - l + min_words, block.digests(p, l)) for p, l in seen]
             for p, start, end, codes in found:
@@ -114,12 +119,10 @@ def matches(rows: DataFrame, min_words: int = MIN_WORDS, part: int = PART) -> Da
 def _merged(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        spans = [merged(np.array([x["start"] for x in m]), np.array([x["end"] for x in m])) for m in batch["found"].to_pylist()]
+        spans = list(listed_spans(batch["found"]))
         counts = [len(s) for s in spans], [sum(e - b for b, e in s) for s in spans]
-        listed = pa.array([[{"start": b, "end": e} for b, e in s] for s in spans], span)
-        yield pa.RecordBatch.from_arrays([batch["k"], *(pa.array(c, pa.int64()) for c in counts), listed], ["doc_id", "n_spans", "n_repeated_words", "spans"])
+        yield pa.RecordBatch.from_arrays([batch["k"], *(pa.array(c, pa.int64()) for c in counts), span_lists(spans)], ["doc_id", "n_spans", "n_repeated_words", "spans"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", part: int = PART) -> DataFrame:
