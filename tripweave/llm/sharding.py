@@ -3,8 +3,10 @@
 Every record is hashed into one of a fixed number of virtual slots (thousands),
 which never changes. A versioned table says which shard each slot belongs to;
 rebalancing writes a new version that moves a few slots, so that no record is
-ever hashed anew. Per-record work is a projection; what the rebalancing sees is
-one row a slot, however large the corpus is.
+ever hashed anew. A slot that holds far more bytes than the mean (repeated or
+null ids) is divided into pieces, which the map treats like slots. Per-record
+work is a projection; what the rebalancing sees is one row a piece, however
+large the corpus is.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from .common import stored
 SLOTS = 4096
 #: Bytes that a record takes besides its text.
 OVERHEAD = 8
+#: A slot is divided from so many times the mean bytes of all slots.
+HEAVY = 4
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,9 +34,15 @@ def with_slots(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id", text: s
     })
 
 
-def slot_totals(slotted: DataFrame) -> DataFrame:
-    """Bytes and rows of each slot that has any: at most one row a slot."""
-    return slotted.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+def pieces(weights: dict[int, int], slots: int, heavy: int = HEAVY) -> dict[int, int]:
+    """Into how many pieces each heavy slot is divided: as many as mean slots fit into it, ``slots`` more in all at most."""
+    total = sum(weights.values())
+    return {slot: w * slots // total for slot, w in weights.items() if w * slots > heavy * total}
+
+
+def piece_totals(placed: DataFrame) -> DataFrame:
+    """Bytes and rows of each piece of a slot that has any."""
+    return placed.groupBy("virtual_slot", "piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
 def even_map(slots: int, shards: int) -> list[int]:
@@ -43,7 +53,8 @@ def even_map(slots: int, shards: int) -> list[int]:
 def rebalanced(owner: list[int], weight: list[int], shards: int) -> list[int]:
     """The next version: moves, then swaps, between the fullest and the emptiest shard until neither narrows their gap.
 
-    The work depends on the number of slots alone.
+    Each edit brings the two closer, so that edits end; their number depends on
+    the number of slots alone.
     """
     owner = list(owner)
     held: list[set[int]] = [set() for _ in range(shards)]
@@ -61,7 +72,7 @@ def rebalanced(owner: list[int], weight: list[int], shards: int) -> list[int]:
         load[to] += weight[slot]
         owner[slot] = to
 
-    for _ in range(4 * len(owner)):
+    while True:
         high, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
         gap = load[high] - load[low]
         if gap < 2:
@@ -90,17 +101,17 @@ def rebalanced(owner: list[int], weight: list[int], shards: int) -> list[int]:
 
 
 MAP_SCHEMA = T.StructType([
-    T.StructField("version", T.IntegerType()), T.StructField("virtual_slot", T.IntegerType()), T.StructField("map_shard", T.IntegerType()),
+    T.StructField("version", T.IntegerType()), T.StructField("virtual_slot", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("map_shard", T.IntegerType()),
     T.StructField("bytes", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("first_position", T.LongType()),
 ])
 
 
-def map_rows(version: int, owner: list[int], totals: dict[int, tuple[int, int]], shards: int) -> list[tuple]:
-    """Rows of the map; ``first_position``: rows that the shard holds in its earlier slots."""
+def map_rows(version: int, owner: list[int], names: list[tuple[int, int]], totals: dict[tuple[int, int], tuple[int, int]], shards: int) -> list[tuple]:
+    """Rows of the map; ``first_position``: rows that the shard holds in its earlier pieces."""
     before, rows = [0] * shards, []
-    for slot, shard in enumerate(owner):
-        size, n = totals.get(slot, (0, 0))
-        rows.append((version, slot, shard, size, n, before[shard]))
+    for name, shard in zip(names, owner):
+        size, n = totals.get(name, (0, 0))
+        rows.append((version, *name, shard, size, n, before[shard]))
         before[shard] += n
     return rows
 
@@ -110,31 +121,43 @@ def write_map(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def balanced_shards(docs: DataFrame, shards: int, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` with ``shard`` and ``slot`` (their place in the shard, gapless from 0), and the versioned map.
+    """The rows of ``docs`` without text, with ``shard`` and ``slot`` (their place in the shard, gapless from 0), and the versioned map.
 
     The law is ``bytes``: shards get nearly equal numbers of bytes, as near as
-    whole slots allow. Version 1 of the map deals slots out evenly, version 2
-    is that map after rebalancing; both are stored. Null texts have no bytes.
-    Rows of the same key stay together, rows with a null key are spread by
-    their text. An empty table gives no rows; more shards than rows leaves
-    shards empty. Columns of ``docs`` named as an added one are replaced.
+    single rows and the slots allow. Version 1 of the map deals slots out
+    evenly, version 2 is that map after rebalancing; both are stored. Null
+    texts have no bytes. Rows of the same key share a slot, rows with a null
+    key are spread by their text; a slot that grows heavy by such rows is
+    divided, row by row, so that repeated and null keys are spread too. An
+    empty table gives no rows; more shards than rows leaves shards empty.
+    Columns of ``docs`` named as an added one are replaced.
     """
     spark = docs.sparkSession
-    slotted = with_slots(docs, slots, key, text)
-    totals = {r["virtual_slot"]: (r["bytes"], r["rows"]) for r in slot_totals(slotted).collect()}
-    first = even_map(slots, shards)
-    second = rebalanced(first, [totals.get(s, (0, 0))[0] for s in range(slots)], shards)
-    table = write_map(spark, map_rows(1, first, totals, shards) + map_rows(2, second, totals, shards))
-    # one row a slot: its size is fixed by ``slots``
-    current = F.broadcast(table.filter("version = 2").select("virtual_slot", "map_shard", "first_position"))
-    within = Window.partitionBy("virtual_slot").orderBy(F.col(key).asc_nulls_last(), "text_crc32", "size")
+    crc = F.crc32(F.coalesce(F.col(text), F.lit("")))
+    # One scan of the texts: everything later reads this narrow table, in which each row has its number.
+    slotted = stored(with_slots(docs, slots, key, text).withColumn("text_crc32", crc).drop(text).withColumn("__row", F.monotonically_increasing_id()), "slotted")
+    weights = {r["virtual_slot"]: r["bytes"] for r in slotted.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
+    divided = pieces(weights, slots)
+    if divided:
+        # at most ``slots / HEAVY`` rows
+        parts = F.broadcast(spark.createDataFrame(list(divided.items()), "virtual_slot int, parts int"))
+        numbered = slotted.join(parts, "virtual_slot", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("__row"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    else:
+        numbered = slotted.withColumn("piece", F.lit(0))
+    totals = {(r["virtual_slot"], r["piece"]): (r["bytes"], r["rows"]) for r in piece_totals(numbered).collect()}
+    names = [(s, p) for s in range(slots) for p in range(divided.get(s, 1))]
+    start = even_map(slots, shards)
+    first = [start[s] for s, _ in names]
+    second = rebalanced(first, [totals.get(n, (0, 0))[0] for n in names], shards)
+    table = write_map(spark, map_rows(1, first, names, totals, shards) + map_rows(2, second, names, totals, shards))
+    # one row a piece, 2 * ``slots`` at most
+    current = F.broadcast(table.filter("version = 2").select("virtual_slot", "piece", "map_shard", "first_position"))
+    within = Window.partitionBy("virtual_slot", "piece").orderBy(F.col(key).asc_nulls_last(), "text_crc32", "size", "__row")
     placed = (
-        slotted.withColumn("text_crc32", F.crc32(F.coalesce(F.col(text), F.lit(""))))
-        .drop(text)
-        .withColumn("place", F.row_number().over(within))
-        .join(current, "virtual_slot")
+        numbered.withColumn("place", F.row_number().over(within))
+        .join(current, ["virtual_slot", "piece"])
         .withColumns({"shard": F.col("map_shard"), "slot": F.col("first_position") + F.col("place") - 1})
-        .drop("map_shard", "first_position", "place")
+        .drop("map_shard", "first_position", "place", "__row")
     )
     return placed, table
 
