@@ -129,21 +129,55 @@ def test_components_of_chains_and_stars(spark):
 
 URLS = [
     (1, "http://www.cheappills.example.com/buy?x=1"), (2, "https://a.EXAMPLE.org/es/1"), (3, "https://example.org/en/12#a"), (4, "http://x.org"), (5, "http://x.org/"),
-    (6, None), (7, "no scheme"), (8, "http://b.com/de/7"), (9, "http://freebets.net/"), (10, "http://citylibrary.net/news"), (11, "http://notexample.org/es/"), (12, "http:///path"),
-    (13, "http://" + "x" * 300 + ".net/"), (14, "http://b.com/fr/a://b"), (1, "http://www.cheappills.example.com/buy?x=1"),
+    (6, None), (7, "no scheme"), (8, "http://b.com/de/7"), (9, "http://cheapbets.net/"), (10, "http://citylibrary.net/news"), (11, "http://notexample.org/es/"), (12, "http:///path"),
+    (13, "http://" + "x" * 300 + ".net/"), (14, "http://b.com/fr/a://b"), (1, "http://www.cheappills.example.com/buy?x=1"), (15, "http://caf\u00e9bleu.net/"), (None, "http://citylibrary.net/news"),
+    ((1 << 62) + 1, "http://x.org/"),
 ]
+#: Pages that a rule judges, from which the words are learned.
+TAUGHT = [
+    *[(100 + i, f"http://cheappills{'x' * (i % 2)}.com/de/bets") for i in range(6)], *[(200 + i, f"http://citylibrary.org/news/{i}") for i in range(6)], (300, "http://freebets.com/de/cheap"), (301, "http://lib.org/city"),
+]
+HTML = "<p>Cheap pills and free bets; the city library. Caf\u00e9 bleu.</p><script>var casino = 1;</script>"
+
+
+def url_pages(spark, rows):
+    data = [(i, u, HTML if n % 2 else None, 1, "x") for n, (i, u) in enumerate(rows)]
+    return spark.createDataFrame(data, "page_id long, url string, html string, count int, words string").repartition(3)
 
 
 def test_urls_meet_rules_and_words(spark):
-    html = "<p>Cheap pills and free bets; the city library.</p><script>var casino = 1;</script>"
-    pages = spark.createDataFrame([(i, u, html if i % 2 else None) for i, u in URLS], "page_id long, url string, html string")
-    got = {r.page_id: r for r in url_filter.judged_urls(pages).collect()}
-    assert url_filter.judged_urls(pages).count() == len(URLS)
+    pages = url_pages(spark, URLS + TAUGHT)
+    rows = url_filter.judged_urls(pages).collect()
+    got = {r.page_id: r for r in rows}
+    assert Counter(r.page_id for r in rows) == Counter(i for i, _ in URLS + TAUGHT)
     assert (got[2].host, got[2].path, got[2].rule, got[2].verdict) == ("a.example.org", "/es/1", "example.org/es/", "block")
     assert (got[3].rule, got[3].verdict) == ("example.org/en/1", "block") and got[4].rule is None and got[5].rule == "org/"
-    assert (got[6].host, got[6].path, got[7].host) == ("", "", "") and got[6].verdict == "allow"
+    assert (got[6].host, got[6].path, got[7].host) == ("", "", "") and got[6].words == []
     assert got[8].rule == "com/de/" and got[11].rule == "org/" and (got[12].host, got[12].path) == ("", "/path") and got[14].rule == "com/fr/"
-    assert got[1].words[:3] == ["www", "cheap", "pills"] and got[1].verdict == "block" and got[9].verdict == "block" and got[10].verdict == "allow"
+    assert got[1].words[:3] == ["www", "cheap", "pills"] and got[15].words == ["caf\u00e9", "bleu", "net"] and got[13].words[0].startswith("x")
+    assert got[9].rule is None and got[9].verdict == "block" and got[10].rule is None and got[10].verdict == "allow"
+
+
+def test_bayes_equals_brute_force(spark):
+    """The score from the counts of words of all pages that a rule judges, added up anew."""
+    rows = url_filter.judged_urls(url_pages(spark, URLS + TAUGHT)).collect()
+    taught = [r for r in rows if r.rule is not None]
+    words = {v: Counter(w for r in taught if r.verdict == v for w in r.words) for v in ("block", "allow")}
+    known = set(words["block"]) | set(words["allow"])
+    n = {v: sum(c.values()) + len(known) for v, c in words.items()}
+    prior = math.log((sum(r.verdict == "block" for r in taught) + 1) / (sum(r.verdict == "allow" for r in taught) + 1))
+    for r in rows:
+        want = prior + sum(math.log((words["block"][w] + 1) / n["block"]) - math.log((words["allow"][w] + 1) / n["allow"]) for w in r.words if w in known)
+        assert r.score == pytest.approx(want, abs=2e-6)
+        assert r.rule is not None or r.verdict == ("block" if want > 1e-9 else "allow")
+
+
+def test_urls_of_odd_tables(spark):
+    assert url_filter.judged_urls(url_pages(spark, URLS).limit(0)).count() == 0
+    unruled = url_filter.judged_urls(url_pages(spark, URLS), ()).collect()
+    assert {(r.rule, r.verdict, r.score) for r in unruled} == {(None, "allow", 0.0)}
+    hot = url_filter.judged_urls(url_pages(spark, [(i, "http://citylibrary.org/a") for i in range(5000)] + URLS)).groupBy("verdict").count().collect()
+    assert sum(r["count"] for r in hot) == 5000 + len(URLS)
 
 
 def test_viterbi_finds_the_likeliest_split():
@@ -151,13 +185,14 @@ def test_viterbi_finds_the_likeliest_split():
     total = 200
 
     def cost(w):
-        return -math.log(counts[w] / total) if w in counts else math.log(total) + (len(w) - 1) * math.log(10)
+        return -math.log(counts[w] / (total + 1)) if w in counts else math.log(total + 1) + (len(w) - 1) * math.log(10)
 
     def splits(x):
         return [[x]] + [[x[:i], *r] for i in range(1, len(x)) for r in splits(x[i:])]
 
-    for label in ("cheappills", "heapills", "acheap", "zzz"):
-        assert sum(map(cost, url_filter.segmented(label, counts, total))) == pytest.approx(min(sum(map(cost, s)) for s in splits(label)))
+    for label in ("cheappills", "heapills", "acheap", "zzz", "qcheapqq"):
+        got = url_filter.segmented(label, counts, total)
+        assert "".join(got) == label and sum(map(cost, got)) == pytest.approx(min(sum(map(cost, s)) for s in splits(label)))
 
 
 def test_ordinal_gradient_finds_ordered_grades():

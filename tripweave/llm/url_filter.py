@@ -1,25 +1,25 @@
 """URL filter: rules first, then words found in host names.
 
 Host names often run words together. A unigram model, counted over the text of
-all pages, splits each label of a host into its likeliest words (Viterbi); a
-multinomial naive Bayes model scores these words and the words of the path.
-Labels meet their possible words in a join, so neither the vocabulary nor the
-hosts have to fit anywhere.
+all pages, splits each label of a host into its likeliest words (Viterbi). A
+multinomial naive Bayes model scores these words and the words of the path; it
+learns from the pages that the rules judge, so the rules' verdicts are its
+labels and no list of sites is written down anywhere. Labels meet their
+possible words in a join, so neither the vocabulary nor the hosts have to fit
+anywhere.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import discard, small_batches, spread_join, stored
 
 
 class Rule(NamedTuple):
@@ -36,18 +36,10 @@ RULES = (
     Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
     Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"),
 )
-#: Words longer than this, and labels longer than DNS allows, are not split.
-LONGEST_WORD, LONGEST_LABEL = 20, 63
-#: Labelled word lists of sites, from which naive Bayes learns.
-SITES = (
-    ("block", "casino win jackpot slots poker"), ("block", "free bets betting odds bonus"), ("block", "cheap pills pharmacy viagra discount"),
-    ("block", "ads track tracker click banner popup"), ("block", "spam farm links seo"), ("block", "adult porn sex cam xxx"),
-    ("block", "crack warez keygen torrent"), ("block", "payday loan cash fast"), ("block", "replica watches cheap sale"), ("block", "hot singles dating"),
-    ("allow", "news daily times herald"), ("allow", "university college school library"), ("allow", "science research journal"),
-    ("allow", "wiki docs help manual guide"), ("allow", "city council government public"), ("allow", "health hospital clinic"),
-    ("allow", "music art museum history"), ("allow", "garden kitchen recipes food"), ("allow", "travel maps weather"), ("allow", "blog forum community"),
-    *((v, "www m blog example com net org en fr de es html index") for v in ("block", "allow")),
-)
+#: Letters, at most, of a word of the unigram model: no label of a valid host is longer, so no label has a longer word.
+LONGEST_WORD = 63
+#: Distinct words, at most, that naive Bayes knows: those that most labelled pages have.
+VOCABULARY = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,40 +62,53 @@ def ruled(rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def letters_of(column: str) -> Column:
+    """The runs of letters, of any script, in lower case."""
+    return F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}]+"), lambda x: x != "")
+
+
 def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """word, n: how often each word of a to z stands in the text of all pages, mark-up aside."""
+    """word, n: how often each word of 2 to LONGEST_WORD letters stands in the text of all pages, mark-up aside."""
     small_batches(pages.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark_up, word = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I), re.compile(f"(?<![a-z])[a-z]{{2,{LONGEST_WORD}}}(?![a-z])")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import regex
+
+        mark_up = regex.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", regex.S | regex.I)
+        word = regex.compile(rf"(?<!\p{{L}})\p{{L}}{{2,{LONGEST_WORD}}}(?!\p{{L}})")
         counts: Counter[str] = Counter()
-        for p in batches:
-            for t in p["t"]:
+        shown = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        for batch in batches:
+            for t in batch["t"].to_pylist():
                 counts.update(word.findall(mark_up.sub(" ", t).lower()))
-            if len(counts) > 500_000:
-                yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
-                counts.clear()
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"word": "object", "n": "int64"})
+                if len(counts) > 500_000:
+                    yield shown()
+                    counts.clear()
+        yield shown()
 
-    found = pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("t")).mapInPandas(run, "word string, n long")
+    found = pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("t")).mapInArrow(run, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def seed_counts() -> Counter:
-    return Counter(w for _, words in SITES for w in words.split())
-
-
 def segmented(label: str, count_of: dict[str, int], total: int) -> list[str]:
-    """The likeliest split of ``label``: known words by their frequency, unknown ones ever less likely with each letter."""
+    """The likeliest split of ``label``: known words by their frequency, unknown ones ever less likely with each letter.
+
+    Of equally likely splits the one with the longer last words counts.
+    """
     n = len(label)
+    longest = max(map(len, count_of), default=1)
+    unknown, letter = math.log(total + 1), math.log(10)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    # an unknown piece costs the same whatever its letters, so the best start of one is kept from step to step
+    start_of_unknown = (math.inf, 0)
     for end in range(1, n + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            piece = label[start:end]
-            known = count_of.get(piece)
-            cost = -math.log(known / total) if known else math.log(total) + (len(piece) - 1) * math.log(10)
-            options.append((best[start][0] + cost, start))
+        begun = best[end - 1][0] - (end - 1) * letter, end - 1
+        start_of_unknown = min(start_of_unknown, begun)
+        options = [(start_of_unknown[0] + unknown + (end - 1) * letter, start_of_unknown[1])]
+        for start in range(max(0, end - longest), end):
+            if known := count_of.get(label[start:end]):
+                options.append((best[start][0] - math.log(known / (total + 1)), start))
         best.append(min(options))
     words, end = [], n
     while end:
@@ -112,87 +117,112 @@ def segmented(label: str, count_of: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
-class NaiveBayes:
-    """Multinomial, with one count added to every word; words without training say nothing."""
+class NaiveBayes(NamedTuple):
+    """Multinomial, with one count added to every word; words that no labelled page has say nothing."""
 
-    def __init__(self, sites: tuple[tuple[str, str], ...] = SITES):
-        counts = {v: Counter(w for x, words in sites if x == v for w in words.split()) for v in ("block", "allow")}
-        vocabulary = set().union(*counts.values())
-        n = {v: sum(c.values()) + len(vocabulary) for v, c in counts.items()}
-        self.weight = {w: math.log((counts["block"][w] + 1) / n["block"]) - math.log((counts["allow"][w] + 1) / n["allow"]) for w in vocabulary}
-        rows = Counter(v for v, _ in sites)
-        self.prior = math.log(rows["block"] / rows["allow"])
+    prior: float
+    weight: dict[str, float]
+
+    @classmethod
+    def fitted(cls, counts: dict[str, tuple[int, int]], totals: tuple[int, int], pages: tuple[int, int]) -> NaiveBayes:
+        """``counts``: of each word, how often blocked and allowed pages have it; ``totals``: of all words; one page is added to either side."""
+        n = [t + len(counts) for t in totals]
+        weight = {w: math.log((b + 1) / n[0]) - math.log((a + 1) / n[1]) for w, (b, a) in counts.items()}
+        return cls(math.log((pages[0] + 1) / (pages[1] + 1)), weight)
 
     def score(self, words: list[str]) -> float:
-        return sum(self.weight.get(w, 0.0) for w in words)
+        return math.fsum(self.weight.get(w, 0.0) for w in words)
 
 
 def host_words(hosts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """label, words: the split of every distinct label (runs of a to z) of the column ``host``."""
+    """label, words: the split of every distinct label (run of letters) of the column ``host``."""
     small_batches(hosts.sparkSession)
-    labels = hosts.select(F.explode(F.array_distinct(F.filter(F.split("host", "[^a-z]+"), lambda x: x != ""))).alias("label")).distinct()
-    short = labels.filter(F.length("label") <= LONGEST_LABEL)
-    starts = F.sequence(F.lit(1), F.greatest(F.length("label") - 1, F.lit(1)))
+    labels = hosts.select(F.explode(F.array_distinct(letters_of("host"))).alias("label")).distinct()
     pieces = (
-        short.select("label", F.explode(starts).alias("start"))
+        labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("start"))
         .select("label", "start", F.explode(F.sequence(F.lit(2), F.lit(LONGEST_WORD))).alias("n"))
         .filter("start + n - 1 <= length(label)")
         .select("label", F.expr("substring(label, start, n)").alias("word"))
         .distinct()
     )
-    # at most LONGEST_LABEL * LONGEST_WORD pieces of a label meet here
+    # at most LONGEST_WORD pieces of a letter of a label meet here
     known = pieces.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    seeds, n = seed_counts(), total + 2 * LONGEST_LABEL
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
             split = []
-            for label, found in zip(p["label"], p["known"]):
-                count_of = {w: c * max(1, n // 10_000) for w, c in seeds.items()}
-                for x in found if found is not None else ():
-                    count_of[x["word"]] = count_of.get(x["word"], 0) + int(x["n"])
-                split.append(segmented(label, count_of, n) if len(label) <= LONGEST_LABEL else [label])
-            yield pd.DataFrame({"label": p["label"], "words": split})
+            for label, found in zip(batch["label"].to_pylist(), batch["known"].to_pylist()):
+                split.append(segmented(label, {x["word"]: x["n"] for x in found or ()}, total))
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(split, pa.list_(pa.string()))], ["label", "words"])
+
+    return labels.join(known, "label", "left").mapInArrow(run, "label string, words array<string>")
+
 
-    return labels.join(known, "label", "left").mapInPandas(run, "label string, words array<string>")
+def trained(tokens: DataFrame, vocabulary: int = VOCABULARY) -> NaiveBayes:
+    """The model of all labelled pages: rows with ``given`` (block or allow) and ``words``.
+
+    The ``vocabulary`` words that stand most often in them (ties: the smaller
+    word) get a weight; their counts are all that the driver sees. Without
+    labelled pages all weights and the prior are 0.
+    """
+    labelled = tokens.filter(F.col("given").isNotNull())
+    blocked = F.col("given") == "block"
+    both = lambda of: (F.count(F.when(blocked, of)), F.count(F.when(~blocked, of)))
+    pages = labelled.agg(*both(F.lit(1))).first()
+    each = labelled.select("given", F.explode("words").alias("word"))
+    totals = each.agg(*both(F.lit(1))).first()
+    b, a = both(F.lit(1))
+    found = each.groupBy("word").agg(b.alias("b"), a.alias("a")).orderBy(F.desc(F.col("b") + F.col("a")), "word").limit(vocabulary).toArrow()
+    counts = dict(zip(found["word"].to_pylist(), zip(found["b"].to_pylist(), found["a"].to_pylist())))
+    return NaiveBayes.fitted(counts, tuple(totals), tuple(pages))
 
 
 def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict, words, score of every page.
 
     The verdict is that of the longest rule that fits, else ``block`` where
-    naive Bayes finds the words of host and path likelier on blocked sites
-    (``score`` above 0; a tie is allowed). A null url has an empty host and
-    path, no words, and is allowed; a null page text adds no words to the
-    unigram model. Repeated rows give repeated rows; an empty table none; other
-    columns are ignored.
+    naive Bayes, learned from all pages that a rule judges, finds the words of
+    host and path likelier on blocked pages (``score`` above 0; a tie is
+    allowed). A null url has an empty host and path, no words, and the prior
+    alone decides; a null page text adds no words to the unigram model. Repeated
+    rows count and come out as often; an empty table gives none; other columns
+    are ignored.
     """
     spark = pages.sparkSession
     small_batches(spark)
     rule, verdict = ruled(rules)
-    parts = parsed(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))).select("page_id", "host", "path")
-    counts = word_counts(pages, html)
-    hosts = parts.select("host").distinct()
-    total = sum(seed_counts().values()) + pages.filter(F.col(html).isNotNull()).agg(F.coalesce(F.sum(F.length(html)), F.lit(0))).first()[0] // 6
-    bayes = NaiveBayes()
-    words = host_words(hosts, counts, total)
+    named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.monotonically_increasing_id().alias("row"))
+    parts = stored(parsed(named).select("row", "page_id", "host", "path", rule.alias("rule"), verdict.alias("given")), "urls")
+    hosts = stored(parts.groupBy("host").count(), "hosts")
+    counts = stored(word_counts(pages, html), "unigrams")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # labels come back to their hosts in the order in which they stand
-    placed = hosts.select("host", F.posexplode(F.filter(F.split("host", "[^a-z]+"), lambda x: x != "")).alias("place", "label"))
+    placed = hosts.select("host", F.posexplode(letters_of("host")).alias("place", "label"))
     of_host = (
-        placed.join(words, "label")
+        placed.join(host_words(hosts, counts, total), "label")
         .groupBy("host")
         .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("host_words"))
     )
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            tokens = [list(h if h is not None else ()) + re.findall("[a-z]+", t.lower()) for h, t in zip(p["host_words"], p["path"])]
-            yield p.drop(columns="host_words").assign(words=tokens, score=[round(bayes.prior + bayes.score(t), 6) for t in tokens])
-
-    # a host may have a large share of the pages: Spark splits such a key of this join
-    joined = parts.join(of_host, "host", "left").select("page_id", "host", "path", "host_words")
-    scored = joined.mapInPandas(score, "page_id long, host string, path string, words array<string>, score double")
+    none = F.array().cast("array<string>")
+    split = hosts.select("host").join(of_host, "host", "left").select("host", F.coalesce("host_words", none).alias("host_words"))
+    # a host may have a third of the pages: its rows are dealt to several tasks
+    met = spread_join(parts, split, ["host"], hosts, "row")
+    tokens = stored(met.select("page_id", "host", "path", "rule", "given", F.concat("host_words", letters_of("path")).alias("words")), "url-words")
+    discard(parts)
+    model = trained(tokens)
+    shared = spark.sparkContext.broadcast(tuple(model))  # VOCABULARY words at most
+
+    def score(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        bayes = NaiveBayes(*shared.value)
+        for batch in batches:
+            found = [round(bayes.prior + bayes.score(words), 6) for words in batch["words"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
+
+    scored = tokens.mapInArrow(score, "page_id long, host string, path string, rule string, given string, words array<string>, score double")
     return scored.select(
-        "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score",
+        "page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score",
     )
