@@ -223,6 +223,19 @@ def test_grades_on_held_out_documents(spark):
     assert right >= 0.97 * len(got)
 
 
+def test_only_telling_features_come_to_the_driver(spark):
+    """The model from executors' counts is that of all rows at once; of a labelled id that comes often all rows count, within the limit."""
+    rng = random.Random(6)
+    data = [(i, prose(rng, 60) + (" vilword" if i % 3 == 0 else ""), 1, int(i % 3 == 0)) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, quality int, toxic int").repartition(3)
+    features = ordinal.Features()
+    want = ordinal.fit([features(t) for _, t, *_ in data], np.array([0 if toxic else 2 for *_, toxic in data]))
+    got = ordinal.trained(df, df)
+    assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.thresholds, want.thresholds, atol=1e-4)
+    often = df.unionAll(df.filter("doc_id = 3").crossJoin(spark.range(300)).drop("id"))
+    assert len(ordinal.trained(often, df, limit=450).thresholds) == ordinal.GRADES - 1
+
+
 def test_classifier_on_odd_tables(spark, docs, empty, clashing, rows):
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 0), (7, 1, 1), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
     got = ordinal.quality_grades(docs, labels)
@@ -233,6 +246,16 @@ def test_classifier_on_odd_tables(spark, docs, empty, clashing, rows):
     assert scored.count() == len(rows) and set(scored.columns) == {*clashing.columns, "expected_grade", "tail_probability"}
 
 
+def test_encoding_of_odd_tables(spark, clashing, rows, monkeypatch):
+    assert bpe.encoded_digests(clashing).count() == len(rows)
+    large = spark.createDataFrame([((1 << 62) + 1, "text"), (None, "text")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in bpe.encoded_digests(large).collect()} == {(1 << 62) + 1, None}
+    codec = bpe.Codec(bpe._content(None), border_bits=5)
+    monkeypatch.setattr(bpe.Codec, "repaired", lambda *a: None)  # a text whose chunks do not join is encoded whole
+    text = prose(random.Random(8), 300)
+    assert codec.encode(text) == codec.library.encode(text, add_special_tokens=False).ids
+
+
 def test_encoding_equals_the_library(docs, rows, empty):
     from tokenizers import Tokenizer
 

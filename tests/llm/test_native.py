@@ -103,9 +103,53 @@ def test_rules_are_one_projection_without_python(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_every_threshold_decides():
-    names = [t.name for t in rules.THRESHOLDS]
-    assert len(set(names)) == len(names)
+#: For each threshold a text that fails it alone, and one beside it that passes all.
+DECIDED = {
+    "length": ("ein Wort das " * 333_334, None),
+    "word_length": (" ".join(f"{'x' * 24}{i:03d}" for i in range(30)), " ".join(f"{'x' * 15}{i:03d}" for i in range(30))),
+    "symbols": (" ".join(f"word{i} #" for i in range(20)), " ".join(f"word{i}" + " #" * (i % 4 == 0) for i in range(20))),
+    "stop_words": (" ".join(f"word{i}" for i in range(60)), " ".join(f"word{i}" for i in range(58)) + " the and"),
+    "duplicate_lines": ("\n".join(["one"] * 5 + [f"three{i} four{i} five{i}" for i in range(2)]), "\n".join(["one"] * 3 + [f"three{i} four{i} five{i}" for i in range(3)])),
+    "ellipsis_lines": ("\n".join(f"a{i} b{i} c{i} ..." for i in range(4)), "\n".join(f"a{i} b{i} c{i}" + " ..." * (i % 2) for i in range(4))),
+    "bullet_lines": ("\n".join(f"- alpha{i} beta{i} gamma{i}" for i in range(10)), "\n".join(f"{'-' * (i > 0)} alpha{i} beta{i} gamma{i}" for i in range(10))),
+}
+
+
+@pytest.mark.parametrize("name", [t.name for t in rules.THRESHOLDS])
+def test_every_threshold_decides(spark, name):
+    bad, good = DECIDED[name]
+    if name == "length":  # without windows of five that come again
+        bad = " ".join(f"w{i:x} the" for i in range(500_001))
+        good = " ".join(f"w{i:x} the" for i in range(500_000))
+    docs = spark.createDataFrame([(1, bad), (2, good)], "doc_id long, text string")
+    without = tuple(t for t in rules.THRESHOLDS if t.name != name)
+    got = {r.doc_id: r for r in rules.judged(docs).collect()}
+    assert not got[1].base_failed and not got[1].kept and got[2].kept
+    assert {r.doc_id: r.kept for r in rules.judged(docs, without).collect()} == {1: True, 2: True}
+
+
+def test_repeated_and_null_ids_are_spread(spark):
+    text = "some words " * 7
+    rows = [(i, text) for i in range(10_000)] + [(None, text)] * 12_000 + [(5, text)] * 8_000 + [(7, text + str(i)) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed, table = sharding.balanced_shards(docs, 24)
+    by = placed.groupBy("shard").agg(F.sum("size").alias("b"), F.count("slot").alias("n"), F.min("slot").alias("least"), F.max("slot").alias("most")).collect()
+    assert len(by) == 24 and max(r.b for r in by) - min(r.b for r in by) < 0.01 * sum(r.b for r in by) / 24
+    assert all((r.least, r.most) == (0, r.n - 1) for r in by) and sum(r.n for r in by) == len(rows)
+    largest = placed.groupBy("virtual_slot", "piece").count().agg(F.max("count")).first()[0]
+    assert largest < len(rows) / 500  # no task of the window has a large part of the rows
+    assert table.filter("version = 2").count() < 2 * sharding.SLOTS
+
+
+def test_copies_with_one_id_are_split(spark):
+    rows = [(None, "one text for all")] * 20_000 + [(i, f"text {i}") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = content_sort.frequent_texts(docs.select(F.xxhash64(content_sort.normalised()).alias("norm_hash")), len(rows)).collect()
+    assert len(hot) == 1 and hot[0].parts > 500
+    got = content_sort.content_groups(docs)
+    assert got.filter("kept").count() == 20_001
+    assert [tuple(r) for r in got.filter("doc_id IS NULL").select("keep_id", "group_size").distinct().collect()] == [(None, 20_000)]
+    assert content_sort.without_copies(docs).count() == 20_001
 
 
 def brute_rates(p, t, targets):
@@ -144,6 +188,25 @@ def test_rates_come_as_near_as_they_can(docs, rows):
     assert distance(x) <= distance(best) + 0.05 * distance(np.ones(len(t)))
 
 
+def test_posteriors_equal_brute_force(spark, docs, rows):
+    labelled = docs.filter("lang IS NOT NULL").select("text", F.col("lang").alias("domain"))
+    domains = ["en", "fr", "de", "es"]
+    weights, prior = mixing.log_weights(labelled, domains)
+    got = {r.doc_id: r for r in mixing.with_posteriors(docs.select("doc_id", "text"), weights, prior).collect()}
+    bucket = {r.w: r.id for r in docs.select(F.explode(F.filter(F.split(F.coalesce("text", F.lit("")), rules.SPACES), lambda w: w != "")).alias("w")).distinct().select("w", F.pmod(F.hash(F.lower("w")), F.lit(mixing.BUCKETS)).alias("id")).collect()}
+    counts = np.ones((4, mixing.BUCKETS))
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+    for i, t, lang, *_ in rows:
+        for w in split(t) if lang else ():
+            counts[domains.index(lang), bucket[w]] += 1
+    logs, start = np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(counts.sum(axis=1) / counts.sum())
+    for i, t, *_ in rows:
+        words = split(t)
+        e = start + mixing.SHARPNESS * (logs[:, [bucket[w] for w in words]].mean(axis=1) if words else 0)
+        want = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        assert got[i].tokens == len(words) and np.allclose(got[i].posteriors, want, atol=1e-4)
+
+
 def test_mixing_of_odd_tables(empty, docs, clashing, rows):
     labelled = docs.select("text", F.col("lang").alias("domain"))
     weights = {"en": 0.5, "fr": 0.5}
