@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, duck, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns and len(got) == len(want) > 0
     for frame in (got, want):
-        frame[columns] = frame[columns].astype(str)
+        frame[columns] = frame[columns].astype(object).where(frame[columns].notna(), None).astype(str)
     assert got[columns].sort_values(columns).values.tolist() == want[columns].sort_values(columns).values.tolist()
 
 

@@ -39,6 +39,15 @@ def test_files_are_joined_by_name(spark, files):
         ridership.normalised(ridership.read_csv_files(spark, [str(files / "a.csv")]), -1)
 
 
+def test_patterns_and_folders_are_joined_by_name_too(spark, files):
+    want = sorted(map(tuple, ridership.normalised(ridership.read_csv_files(spark, [str(files / "a.csv"), str(files / "b.csv")])).collect()))
+    (files / "in").mkdir()
+    for name in ("a.csv", "b.csv"):
+        (files / "in" / name).write_text((files / name).read_text())
+    for paths in ([str(files / "[ab].csv")], [str(files / "in")], [str(files / "a.csv"), str(files / "{a,b}.csv")]):
+        assert sorted(map(tuple, ridership.normalised(ridership.read_csv_files(spark, paths)).collect())) == want
+
+
 def test_rounding_goes_away_from_zero(spark):
     df = spark.sql("SELECT CAST(v AS DECIMAL(12,6)) AS v FROM VALUES (2.5), (-2.5), (0.125) AS t(v)")
     assert [r[0] for r in df.select(ridership.ridership_value(df.v, 0)).collect()] == [3, -3, 0]
@@ -119,9 +128,8 @@ def test_boundary_rule(spark):
 
 
 def index():
-    complexes = [{"complex_id": i, "name": n} for i, n in ((1, "Middle"), (2, "North"), (3, "South"), (5, "72 St"), (6, "72 St"))]
     platforms = [(1, "East", "Middle", "A"), (1, "West", "Middle", "BD"), (2, "East", "North", "A"), (3, "East", "South", "AB"), (5, "Way", "72 St", "A"), (6, "Way", "72 St", "B")]
-    return scenarios.StationIndex(complexes, [dict(zip(("complex_id", "line", "name", "routes"), p)) for p in platforms])
+    return scenarios.StationIndex([dict(zip(("complex_id", "line", "name", "routes"), p)) for p in platforms])
 
 
 def entry(name="One", groups=(), own=("A", "B", "D")):
@@ -159,7 +167,7 @@ def test_good_scenarios_combine():
     found = load({"X": [entry("One", [("East", ["Middle", "Middle"], ["A", "B"], []), ("East", ["North"], [], [])])], "Y": [entry("Two", [("West", ["Middle"], [], ["D"])])]})
     names_of = [s.name for s in scenarios.all_combinations(found)]
     assert names_of == ["Current", "Two", "One", "One + Two"]
-    assert scenarios.all_combinations(found)[3].overrides[1, "West"] == scenarios.Delta(frozenset(), frozenset("D"))
+    assert scenarios.all_combinations(found)[3].moves == {(1, "East", "A", 1), (1, "East", "B", 1), (1, "West", "D", -1)}
     clash = load({"X": [entry("One", [("East", ["South"], ["B"], [])])], "Y": [entry("Two", [("East", ["South"], [], ["B"])])]})
     with pytest.raises(scenarios.ScenarioError, match="can't be combined"):
         scenarios.all_combinations(clash)
@@ -184,7 +192,7 @@ def test_schema_lists_what_there_is():
 def test_stranded_pairs_are_far(spark, files):
     """A scenario takes an origin's only route; its destination is off the universe: nothing can be measured."""
     complexes, platforms = ridership.read_complexes(spark, str(files / "stations.csv")), ridership.read_platforms(spark, str(files / "platforms.csv"))
-    s = [scenarios.Scenario(n, n, n, frozenset("A"), o) for n, o in (("Current", {}), ("None", {(2, "East"): scenarios.Delta(frozenset(), frozenset("A"))}))]
+    s = [scenarios.Scenario(n, n, n, frozenset("A"), o) for n, o in (("Current", frozenset()), ("None", frozenset({scenarios.Move(2, "East", "A", -1)})))]
     table, overrides = scenarios.frames(spark, s)
     at = walks.platform_routes(platforms, overrides, table, routes.literal_set("A"))
     stations = walks.complex_routes(complexes, at, overrides, table, routes.literal_set("A"))
@@ -197,10 +205,16 @@ def test_stranded_pairs_are_far(spark, files):
 
 
 def test_commands(spark, files):
-    say = lambda *a: cli.run(spark, list(map(str, a)))
+    run = lambda *a: cli.run(spark, list(map(str, a)))
+    say = lambda *a: run(*a).report
     out = files / "trips.parquet"
-    assert say("prepare", files / "a.csv", files / "b.csv", "--out", out).startswith("4 rows")
-    assert "already" in say("prepare", files / "a.csv", "--out", out)
+    tables = ("--stations-url", (files / "stations.csv").as_uri(), "--stations-individual-url", (files / "platforms.csv").as_uri(), "--stations-out", files / "got" / "s.csv", "--stations-individual-out", files / "got" / "i.csv")
+    assert "4 rows" in run("prepare", files / "[ab].csv", "--out", out, *tables).summary
+    assert run("prepare", files / "a.csv", "--out", out, *tables).summary.count("already") == 3
+    assert run("prepare", "--stations-only", *tables).summary.count("wrote") == 2
+    assert (files / "got" / "s.csv").read_text() == (files / "stations.csv").read_text()
+    with pytest.raises(ridership.IngestError):
+        run("prepare", "--csv", files / "none*.csv", "--out", files / "other.parquet", *tables)
     base = ("--parquet", out, "--stations", files / "stations.csv")
     text = say("regional-flow", *base, "--csv-out", files / "flow.csv", "--markdown-out", files / "flow.md")
     assert "| Inside→Inside | 617 |" in text and (files / "flow.md").read_text() == text
@@ -212,10 +226,17 @@ def test_commands(spark, files):
     (files / "s.json5").write_text("{X: [{name: 'No A', routes: ['A', 'B'], overrides: [{line: 'East', remove: ['A'], stations: ['Middle']},]}]}")
     text = say("deinterlining", *more, "--scenario-file", files / "s.json5", "--category", "X", "--csv-out", files / "d.csv")
     assert "### What Changed, against Current" in text and "- Lost:" in text and "## No A" in text
+    stations = text[text.index("### Biggest Changes by Station") :]
+    assert "Middle (A,B→B)" in stations or "Middle (A→B)" in stations or "→" in stations  # named by what the scenario does there
     columns = spark.read.option("header", True).csv(str(files / "d_no_a.csv")).columns
     assert columns == "origin_id origin_station origin_routes destination_id destination_station destination_routes riders both_ends one_seat walk_close walk_dist_m walk_station walk_at_origin".split()
     say("scenario-schema", "--stations", files / "stations.csv", "--stations-individual", files / "platforms.csv", "--out", files / "schema.json")
     assert json.loads((files / "schema.json").read_text())["type"] == "object"
+    one = run("one-seat-rides", *more, "--boundary-complex-id", 1, "--routes", "A,B", "--origin-side", "either", "--origin-corridor-a-routes", "X", "--origin-corridor-b-routes", "Y", "--trunk-a", "A", "--trunk-b", "B")
+    assert "## Headline Numbers" in one.report and "## Scenario Comparison" not in one.report and "## Notes on Reading These Tables" in one.report
+    assert "warning" not in one.summary and "one-seat=" in one.summary
+    moved = run("one-seat-rides", *more, "--boundary-complex-id", 1, "--routes", "A,B", "--origin-side", "either", "--origin-corridor-a-routes", "X", "--origin-corridor-b-routes", "Y", "--corridor-a-assigned", "A", "--corridor-b-assigned", "B")
+    assert "on neither corridor" in moved.summary
     with pytest.raises(ValueError):
         say("one-seat-rides", *more, "--boundary-complex-id", 1, "--corridor-a-assigned", "A")
     with pytest.raises(pairs.UnknownStationError):
@@ -226,10 +247,10 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "year int, month int, day_of_week string, hour int, origin_id int, dest_id int, ridership decimal(9,4)"
     trips = spark.createDataFrame([(2025, 1, d, 1, o, 2, Decimal(o)) for d in ("Monday", "Sunday") for o in (1, 2, 1)], schema)
     trips.repartition(3).write.parquet(str(tmp_path / "in"))
-    q = running_pairs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), pairs.WEEKDAYS, "live_pairs", str(tmp_path / "c"))
+    q = running_pairs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), pairs.WEEKDAYS, str(tmp_path / "out"), str(tmp_path / "c"))
     q.awaitTermination()
     order = lambda df: sorted(tuple(r) for r in df.collect())
-    assert order(spark.table("live_pairs")) == order(pairs.pair_sums(trips, pairs.WEEKDAYS))
+    assert order(spark.read.parquet(str(tmp_path / "out"))) == order(pairs.pair_sums(trips, pairs.WEEKDAYS))
 
 
 def test_fetch_keeps_what_is_there(files):

@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +15,7 @@ from .operators.boundary import swap_scenarios
 from .plans import analyses
 from .plans.reports import csv_of
 from .sources import ridership, scenarios
+from .sources.fetch import CSV_PATTERN, STATIONS_INDIVIDUAL_URL, STATIONS_URL, fetch_csv
 
 
 def routes(text: str) -> frozenset[str]:
@@ -24,10 +26,17 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tripweave")
     commands = top.add_subparsers(dest="command", required=True)
     prepare = commands.add_parser("prepare", help="CSV extracts to one clustered Parquet table")
-    prepare.add_argument("csv", nargs="+")
+    prepare.add_argument("csv", nargs="*", default=[], help="files, folders or patterns")
+    prepare.add_argument("--csv", dest="more_csv", action="append", default=[])
     prepare.add_argument("--out", default="data/ridership.parquet")
     prepare.add_argument("--force", action="store_true")
     prepare.add_argument("--ridership-decimals", type=int)
+    prepare.add_argument("--stations-out", default="data/stations.csv")
+    prepare.add_argument("--stations-individual-out", default="data/stations_individual.csv")
+    prepare.add_argument("--stations-url", default=STATIONS_URL)
+    prepare.add_argument("--stations-individual-url", default=STATIONS_INDIVIDUAL_URL)
+    prepare.add_argument("--force-stations", action="store_true")
+    prepare.add_argument("--stations-only", action="store_true", help="only fetch the station tables, anew")
 
     def common(name: str, text: str) -> argparse.ArgumentParser:
         p = commands.add_parser(name, help=text)
@@ -70,21 +79,41 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def run(spark: SparkSession, argv: list[str]) -> str:
-    """Carries a command out; returns its report or a summary."""
+class Said(NamedTuple):
+    """What a command prints, and its report if it writes one."""
+
+    summary: str
+    report: str = ""
+
+
+def prepared(spark: SparkSession, args: argparse.Namespace) -> Said:
+    """Fetches the station tables that are not there yet, then writes the ridership table."""
+    said = []
+    for url, out in ((args.stations_url, args.stations_out), (args.stations_individual_url, args.stations_individual_out)):
+        rows = fetch_csv(url, out, args.force_stations or args.stations_only)
+        said.append(f"{out} is there already; use --force-stations to fetch it anew" if rows is None else f"wrote {out} ({rows} rows)")
+    if not args.stations_only:
+        if not args.force and ridership.is_there(spark, args.out):
+            said.append(f"{args.out} is there already; use --force to write it anew")
+        else:
+            raw = ridership.read_csv_files(spark, args.csv + args.more_csv or [CSV_PATTERN])
+            ridership.write_ridership(ridership.normalised(raw, args.ridership_decimals), args.out, True)
+            found = ridership.summary(spark.read.parquet(args.out))
+            said.append(f"wrote {args.out}: {found.rows:,} rows, {found.first_month} to {found.last_month}")
+    return Said("\n".join(said))
+
+
+def run(spark: SparkSession, argv: list[str]) -> Said:
+    """Carries a command out."""
     args = parser().parse_args(argv)
     command = "tripweave " + " ".join(argv)
     if args.command == "prepare":
-        table = ridership.normalised(ridership.read_csv_files(spark, args.csv), args.ridership_decimals)
-        if not ridership.write_ridership(table, args.out, args.force):
-            return f"{args.out} is there already; use --force to write it anew"
-        found = ridership.summary(spark.read.parquet(args.out))
-        return f"{found.rows:,} rows, {found.first_month} to {found.last_month}"
+        return prepared(spark, args)
     complexes = ridership.read_complexes(spark, args.stations).cache()
     if args.command == "scenario-schema":
-        index = scenarios.StationIndex.of(complexes, ridership.read_platforms(spark, args.stations_individual))
+        index = scenarios.StationIndex.of(ridership.read_platforms(spark, args.stations_individual))
         Path(args.out).write_text(json.dumps(scenarios.json_schema(index), indent=2, ensure_ascii=False) + "\n")
-        return f"wrote {args.out}"
+        return Said(f"wrote {args.out}")
     trips, days = spark.read.parquet(args.parquet), pairs.chosen_days(args.day_type, args.days)
     label = analyses.day_label(args.day_type, days, args.days is not None)
     if args.command == "regional-flow":
@@ -96,16 +125,19 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         if args.command == "one-seat-rides":
             result = analyses.one_seat_rides(trips, complexes, platforms, junction(args), assignments(args), days, label, command, args.close_threshold_m, args.top_n)
         else:
-            index = scenarios.StationIndex.of(complexes, platforms)
+            index = scenarios.StationIndex.of(platforms)
             catalogue = scenarios.chosen(scenarios.load(Path(args.scenario_file).read_text(), index), args.category)
             result = analyses.deinterlining(trips, complexes, platforms, scenarios.all_combinations(catalogue), days, label, command, args.close_threshold_m, args.top_n)
+    said = [result.summary]
     if args.csv_out:
         path = Path(args.csv_out)
         for suffix, rows in result.rows.items():
-            csv_of(rows, str(path.with_name(f"{path.stem}{suffix}{path.suffix}")))
+            csv_of(rows, str(out := path.with_name(f"{path.stem}{suffix}{path.suffix}")))
+            said.append(f"wrote {out}")
     if args.markdown_out:
         Path(args.markdown_out).write_text(result.markdown)
-    return result.markdown
+        said.append(f"wrote {args.markdown_out}")
+    return Said("\n".join(said), result.markdown)
 
 
 def junction(args: argparse.Namespace) -> analyses.Junction:
@@ -131,7 +163,7 @@ def assignments(args: argparse.Namespace) -> list[tuple[str, bool, list[str], li
 def main() -> None:
     spark = SparkSession.builder.appName("tripweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        print(run(spark, sys.argv[1:]))
+        print(run(spark, sys.argv[1:]).summary)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         raise SystemExit(1) from e

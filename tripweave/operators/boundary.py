@@ -44,6 +44,11 @@ def effective_routes(starts: DataFrame, scenarios: DataFrame, primary: Column, c
     return each.select("scenario", "complex_id", "name", "routes", F.when(F.col("active"), given).otherwise(F.col("routes")).alias("effective"))
 
 
+def off_corridors(starts: DataFrame, corridor_a: Column, corridor_b: Column) -> DataFrame:
+    """The origins on neither corridor, which keep their routes whatever is assigned."""
+    return starts.filter(~any_of(F.col("routes"), corridor_a) & ~any_of(F.col("routes"), corridor_b)).select("complex_id", "name", "routes")
+
+
 def swap_scenarios(trunk_a: set[str], trunk_b: set[str], primary: set[str]) -> list[tuple[str, bool, list[str], list[str]]]:
     """Rows (scenario, active, to_a, to_b): actual routing, and the two ways to give a trunk to a corridor."""
     a, b = sorted(trunk_a & primary), sorted(trunk_b & primary)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.names import changed_label, outcome
 from ..functions.routes import any_of
 from .pairs import average
-from .walks import shorter_walk
+from .walks import if_small, shorter_walk
 
 CLOSE_M = 300.0
 OUTCOMES = ("direct", "close", "far")
@@ -23,11 +23,13 @@ def scope(stations: DataFrame) -> DataFrame:
 def classified(pairs: DataFrame, ends: DataFrame, in_scope: DataFrame, close_m: float = CLOSE_M) -> DataFrame:
     """Every pair under every scenario: both_ends, one_seat, walk, outcome, and the names of its ends.
 
-    Two broadcast joins with the station table: pairs are not shuffled.
+    Two joins with the station table, broadcast as long as it is small: pairs are not shuffled then.
     """
     hit = in_scope.withColumn("hit", F.lit(True))
     table = ends.join(F.broadcast(hit), "complex_id", "left").select("scenario", "complex_id", "station", "routes", "near", F.coalesce("hit", F.lit(False)).alias("hit"))
-    end = lambda p: F.broadcast(table.select("scenario", *[F.col(c).alias(f"{p}_{c}") for c in ("station", "routes", "near", "hit")], F.col("complex_id").alias(f"{p}_id")))
+    small = if_small(ends) is not ends  # it grows with the stations and the product of the scenarios
+    hint = F.broadcast if small else lambda df: df
+    end = lambda p: hint(table.select("scenario", *[F.col(c).alias(f"{p}_{c}") for c in ("station", "routes", "near", "hit")], F.col("complex_id").alias(f"{p}_id")))
     joined = pairs.join(end("origin"), "origin_id").join(end("dest"), ["scenario", "dest_id"])
     one_seat = any_of(F.col("origin_routes"), F.col("dest_routes"))
     walk = F.when(~one_seat, shorter_walk(F.col("origin_routes"), F.col("origin_near"), F.col("dest_routes"), F.col("dest_near")))
@@ -124,3 +126,10 @@ def station_changes(changes: DataFrame, n_days: int) -> DataFrame:
     net = F.sum(F.when((F.col("before") == "far"), r).when(F.col("after") == "far", -r).otherwise(F.lit(0)))
     out = ends.groupBy("scenario", "complex_id").agg(average(F.sum(r), n_days).alias("total"), average(net, n_days).alias("net"))
     return out.withColumn("magnitude", F.abs("net"))
+
+
+def changed_stations(ends: DataFrame, baseline: str) -> DataFrame:
+    """scenario, complex_id, name: the station as the baseline names it, with what the scenario does to it."""
+    was = ends.filter(F.col("scenario") == baseline).select("complex_id", F.col("station").alias("was"), F.col("routes").alias("had"))
+    label = changed_label(F.col("was"), F.col("had"), F.col("station"), F.col("routes"))
+    return ends.filter(F.col("scenario") != baseline).join(F.broadcast(was), "complex_id").select("scenario", "complex_id", label.alias("name"))

@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_m
 from ..functions.routes import any_of, common, with_delta
 
+#: Rows, at most, of a table of stations that is broadcast.
+BROADCAST_ROWS = 100_000
 NEAR = "array<struct<route:string,dist_m:double,point:int,platform:int,to_complex:int>>"
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``rows`` rows; else Spark may choose another join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def walk_points(complexes: DataFrame, platforms: DataFrame) -> DataFrame:
     """complex_id, point, platform_id, lat, lon: the platforms of a complex, or its centre if it has none.
 
@@ -65,18 +72,20 @@ def nearest(points: DataFrame, at_platforms: DataFrame, stations: DataFrame) ->
     its points if none does. Equal distances go by point and platform.
     """
     served = at_platforms.filter(F.size("routes") > 0)
-    standing = stations.select("scenario", "complex_id").join(F.broadcast(points), "complex_id")
-    marked = standing.join(F.broadcast(served.select("scenario", "platform_id", F.lit(True).alias("serves"))), ["scenario", "platform_id"], "left")
-    per = marked.groupBy("scenario", "complex_id").agg(
-        F.collect_list(F.struct("point", "lat", "lon")).alias("every"),
-        F.collect_list(F.when(F.col("serves"), F.struct("point", "lat", "lon"))).alias("serving"),
+    standing = stations.select("scenario", "complex_id").join(points, "complex_id")
+    marked = standing.join(served.select("scenario", "platform_id", F.lit(True).alias("serves")), ["scenario", "platform_id"], "left")
+    # Of points at one place the first counts, so what is compared grows with the places, not with the platforms.
+    spots = marked.groupBy("scenario", "complex_id", "lat", "lon").agg(F.min("point").alias("any"), F.min(F.when(F.col("serves"), F.col("point"))).alias("serving"))
+    some = spots.groupBy("scenario", "complex_id").agg(F.count("serving").alias("n"))
+    stand = spots.join(some, ["scenario", "complex_id"]).filter("serving IS NOT NULL OR n = 0").select("scenario", "complex_id", "lat", "lon", F.coalesce("serving", "any").alias("point"))
+    goal = (
+        served.select("scenario", "platform_id", F.col("complex_id").alias("to_complex"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), F.explode("routes").alias("route"))
+        .groupBy("scenario", "route", "to_lat", "to_lon")
+        .agg(F.min(F.struct(F.col("platform_id").alias("platform"), "to_complex")).alias("to"))
     )
-    stand = per.select("scenario", "complex_id", F.explode(F.when(F.size("serving") > 0, F.col("serving")).otherwise(F.col("every"))).alias("s"))
-    goal = served.select("scenario", "platform_id", F.col("complex_id").alias("to_complex"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), "routes")
-    dist = haversine_m(F.col("s.lat"), F.col("s.lon"), F.col("to_lat"), F.col("to_lon"))
-    met = stand.join(F.broadcast(goal), "scenario").withColumn("dist_m", dist)
-    reach = met.select("scenario", "complex_id", "dist_m", "s.point", F.col("platform_id").alias("platform"), "to_complex", F.explode("routes").alias("route"))
-    return reach.groupBy("scenario", "complex_id", "route").agg(F.min(F.struct("dist_m", "point", "platform", "to_complex")).alias("best"))
+    dist = haversine_m(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
+    reach = stand.join(if_small(goal), "scenario").select("scenario", "complex_id", "route", F.struct(dist.alias("dist_m"), "point", "to.platform", "to.to_complex").alias("reach"))
+    return reach.groupBy("scenario", "complex_id", "route").agg(F.min("reach").alias("best"))
 
 
 def station_ends(stations: DataFrame, near: DataFrame, platforms: DataFrame) -> DataFrame:
@@ -115,9 +124,13 @@ def nearest_to_sets(points: DataFrame, platforms: DataFrame, sets: DataFrame, se
     goal = served.join(F.broadcast(platforms.select("complex_id", "platform_id", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))), "complex_id")
     wanted = goal.join(F.broadcast(sets), "scenario").filter(any_of(F.col("serves"), F.col("wanted")))
     target = wanted.select("scenario", "routes_key", "platform_id", F.col("complex_id").alias("to_complex"), "to_lat", "to_lon")
+    # of platforms and of points at one place the first counts
+    goals = target.groupBy("scenario", "routes_key", "to_lat", "to_lon").agg(F.min(F.struct(F.col("platform_id").alias("platform"), "to_complex")).alias("to"))
+    spots = points.groupBy("complex_id", "lat", "lon").agg(F.min("point").alias("point"))
     dist = haversine_m(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
-    # stations only: a few hundred points by a few hundred platforms
-    reach = target.crossJoin(F.broadcast(points.select("complex_id", "point", "lat", "lon")))
-    return reach.groupBy("scenario", "routes_key", "complex_id").agg(F.min(F.struct(dist.alias("dist_m"), "point", F.col("platform_id").alias("platform"), "to_complex")).alias("best"))
+    # a stated set of stations against all: each complex is asked about each scenario's sets
+    asked = sets.select("scenario", "routes_key").distinct().crossJoin(if_small(spots))
+    reach = asked.join(if_small(goals), ["scenario", "routes_key"])
+    return reach.groupBy("scenario", "routes_key", "complex_id").agg(F.min(F.struct(dist.alias("dist_m"), "point", "to.platform", "to.to_complex")).alias("best"))
 
 

@@ -20,6 +20,7 @@ class Analysis:
 
     markdown: str
     rows: dict[str, DataFrame]
+    summary: str = ""
 
 
 class EmptyError(ValueError):
@@ -41,7 +42,7 @@ def regional_flow(trips: DataFrame, complexes: DataFrame, region: tuple[str, Col
     top = regional.top_pairs(flows, cover.n_days, top_n).collect()
     intro = f"Average {label} ridership ({cover.n_days} distinct days in the data, {cover.label()}): every station pair by whether its ends lie in {name}."
     rows = flows.select("origin_id", "origin_name", "dest_id", "dest_name", pairs.average(F.col("ridership"), cover.n_days).alias("riders"), "origin_in", "dest_in")
-    return Analysis(reports.document(f"Regional Flow: {name}", intro, command, [reports.regional(total, top, label, top_n)]), {"": rows})
+    return Analysis(reports.document(f"Regional Flow: {name}", intro, command, [reports.regional(total, top, label, top_n)]), {"": rows}, reports.regional_summary(total, label))
 
 
 @dataclass(frozen=True)
@@ -87,16 +88,25 @@ def one_seat_rides(
         raise EmptyError("no trip crosses the boundary")
     with_riders = rows.withColumn("riders", pairs.average(F.col("ridership"), cover.n_days))
     dests = boundary.dest_stats(rows, cover.n_days)
-    parts = [reports.corridor_comparison(totals, labels, label)]
-    for t in sorted(totals, key=lambda t: list(labels).index(t.scenario)):
+    totals.sort(key=lambda t: list(labels).index(t.scenario))
+    alone = len(totals) == 1
+    parts = [] if alone else [reports.corridor_comparison(totals, labels, label)]
+    busiest = {}
+    for t in totals:
         of = lambda df, t=t: df.filter(F.col("scenario") == t.scenario)
         top = reports.largest(of(with_riders), top_n, F.desc("riders"), "origin_id", "dest_id")
         best = reports.largest(of(dests), top_n, F.desc("one_seat"), "dest_id")
-        parts.append(reports.corridor(t, top, best, labels[t.scenario], top_n))
+        busiest[t.scenario] = reports.largest(of(dests), top_n, F.desc("total"), "dest_id")
+        parts.append(reports.corridor(t, top, best, labels[t.scenario], top_n, reports.corridor_headline(t, label, close_m) if alone else None))
+    parts.append(reports.corridor_notes(close_m))
+    assigned = any(active for _, active, _, _ in assignments)
+    stray = boundary.off_corridors(starts, literal_set(j.corridor_a), literal_set(j.corridor_b)).orderBy("complex_id").collect() if assigned else []  # stations
+    warnings = [f"warning: {r.name} ({','.join(r.routes)}) is on neither corridor and keeps its routes" for r in stray]
     fields = ["origin_id", "origin_name", "origin_routes", "dest_id", "dest_name", "dest_routes", "riders", "one_seat", "close", "dist_m", "near_station"]
     intro = f"Average {label} ridership ({cover.n_days} distinct days in the data, {cover.label()}) from stations on the {j.origin_side} side of {spot.name} to those on the {j.dest_side} side."
     csv = {("_" + n if len(assignments) > 1 else ""): with_riders.filter(F.col("scenario") == n).select(*fields) for n in labels}
-    return Analysis(reports.document(f"One Seat Rides at {spot.name} ({','.join(sorted(j.universe))})", intro, command, parts), csv)
+    summary = "\n".join([*warnings, reports.corridor_summary(totals, busiest, labels, label)])
+    return Analysis(reports.document(f"One Seat Rides at {spot.name} ({','.join(sorted(j.universe))})", intro, command, parts), csv, summary)
 
 
 def deinterlining(
@@ -104,7 +114,7 @@ def deinterlining(
     days: tuple[str, ...] | None, label: str, command: str, close_m: float = systemwide.CLOSE_M, top_n: int = 25,
 ) -> Analysis:
     spark, names = trips.sparkSession, [s.name for s in compared]
-    if compared[0].overrides:
+    if compared[0].moves:
         raise files.ScenarioError("the first scenario has to be today's routing")
     routes = literal_set(compared[0].routes)
     scenarios, overrides = files.frames(spark, compared)
@@ -123,19 +133,24 @@ def deinterlining(
     if len(both) < len(names):
         raise EmptyError("no ridership between stations that are both in scope")
     listed = ",".join(sorted(compared[0].routes))
-    parts = [["## Scenario Comparison", "", "### Both Ends on the Comparison's Routes", "", *reports.levels(both, names), "### Either End on the Comparison's Routes", "", *reports.levels(wider, names)]]
+    by_name = lambda stats: {x.scenario: x for x in stats}
+    titles = "Both Ends on the Comparison's Routes", "Either End on the Comparison's Routes"
+    if len(names) > 1:
+        parts = [[f"## {reports.COMPARISON}", f"### {titles[0]}", reports.levels(both, names), f"### {titles[1]}", reports.levels(wider, names)]]
+    else:
+        parts = [reports.levels_headline(both[0], wider[0], close_m)]
     moves = systemwide.compared(rows, names[0]).cache()
     changes = systemwide.changed_pairs(moves, n).cache()
     cells, gains = systemwide.transition_matrix(moves, n).collect(), {g.scenario: g for g in systemwide.gained_lost(moves, n).collect()}
     top_changes = systemwide.top_changes(changes, top_n).collect()
-    by_station = systemwide.station_changes(changes, n).join(F.broadcast(ends.select("scenario", "complex_id", shown(F.col("station"), F.col("routes")).alias("name"))), ["scenario", "complex_id"])
+    by_station = systemwide.station_changes(changes, n).join(F.broadcast(systemwide.changed_stations(ends, names[0])), ["scenario", "complex_id"])
     full = systemwide.with_walk_station(rows, ends).withColumns({"riders": pairs.average(F.col("ridership"), n), "dist_m": F.col("walk.dist_m"), "at_origin": F.col("walk.at_origin"), "origin_name": shown(F.col("origin_station"), F.col("origin_routes")), "dest_name": shown(F.col("dest_station"), F.col("dest_routes"))})
     folded = systemwide.symmetric(full.filter("both_ends"), n, carried=("outcome", "dist_m", "at_origin", "walk_station", "origin_name", "dest_name"))
     origin, dest = (systemwide.station_stats(rows, side, n).join(F.broadcast(ends.select("scenario", "complex_id", shown(F.col("station"), F.col("routes")).alias("name"))), ["scenario", "complex_id"]) for side in ("origin", "dest"))
     for name in names:
         of = lambda df, name=name: df.filter(F.col("scenario") == name)
         total = next(s.total for s in both if s.scenario == name)
-        part = [f"## {name}", ""]
+        part = [f"## {name}"]
         if name != names[0]:
             stations_moved = reports.largest(of(by_station), top_n, F.desc("magnitude"), F.desc("total"), "complex_id")
             part += reports.transitions([c for c in cells if c.scenario == name], gains.get(name), [c for c in top_changes if c.scenario == name], stations_moved, names[0], total)
@@ -145,5 +160,7 @@ def deinterlining(
         "scenario", "origin_id", "origin_station", "origin_routes", F.col("dest_id").alias("destination_id"), F.col("dest_station").alias("destination_station"), F.col("dest_routes").alias("destination_routes"), "riders", "both_ends", "one_seat",
         F.col("close").alias("walk_close"), F.coalesce("dist_m", F.lit(0.0)).alias("walk_dist_m"), "walk_station", F.coalesce("at_origin", F.lit(False)).alias("walk_at_origin"),
     )
+    ordered = {title: [by_name(stats)[s] for s in names] for title, stats in zip(titles, (both, wider))}
+    summary = reports.levels_summary(ordered, (gains[s] for s in names if s in gains), names[0])
     intro = f"Average {label} ridership ({n} distinct days in the data, {cover.label()}) over every station pair with an end served by {listed} under any scenario."
-    return Analysis(reports.document(f"Deinterlining Scenario Comparison: {listed}", intro, command, parts), {"_" + slug(s): flat.filter(F.col("scenario") == s).drop("scenario") for s in names})
+    return Analysis(reports.document(f"Deinterlining Scenario Comparison: {listed}", intro, command, parts), {("_" + slug(s) if len(names) > 1 else ""): flat.filter(F.col("scenario") == s).drop("scenario") for s in names}, summary)

@@ -123,11 +123,32 @@ class Model:
         return boundary.classified(self.scoped, self.effective, self.complexes, self.platforms, self.points, self.partners, UNIVERSE, PRIMARY, CLOSE_M).cache()
 
 
-_models: dict[tuple[str, str], Model] = {}
+    def forget(self) -> None:
+        """Gives back what is cached."""
+        for value in vars(self).values():
+            if isinstance(value, DataFrame):
+                value.unpersist()
+
+
+_latest: dict[tuple, Model] = {}
 
 
 def model(spark: SparkSession, folder: str) -> Model:
-    key = spark.sparkContext.applicationId, folder
-    if key not in _models:
-        _models[key] = Model(spark, folder)
-    return _models[key]
+    """The latest model, as long as session, folder and its files are the same; another one takes its place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    key = spark.sparkContext.applicationId, folder, tuple((f.getPath().getName(), f.getModificationTime()) for f in files)
+    if key not in _latest:
+        for old, held in _latest.items():
+            if old[0] == key[0]:
+                held.forget()
+        _latest.clear()
+        _latest[key] = Model(spark, folder)
+    return _latest[key]
+
+
+def forget() -> None:
+    """The next query builds its model anew."""
+    for held in _latest.values():
+        held.forget()
+    _latest.clear()

@@ -38,9 +38,9 @@ def _given(assigned: str) -> str:
 
 CHAIN = f"""WITH platforms AS (
   SELECT CAST(s_suppkey AS INTEGER) AS platform_id, s_nationkey AS complex_id, s_name AS name, 'L' || (s_suppkey % 5) AS line, r_name AS borough,
-    list_sort(list_distinct([substr('ABCDEFGH', CAST(s_suppkey % 8 + 1 AS INTEGER), 1), substr('ABCDEFGH', CAST(s_suppkey * 3 % 8 + 1 AS INTEGER), 1)])) AS routes,
+    list_sort(list_distinct(list_filter([substr('ABCDEFGH', CAST((s_nationkey * 3 + s_suppkey % 5) % 16 + 1 AS INTEGER), 1), substr('ABCDEFGH', CAST((s_nationkey * 5 + s_suppkey % 5 * 2) % 24 + 1 AS INTEGER), 1)], lambda x: x <> ''))) AS routes,
     CAST(40.5 AS DOUBLE) + (s_suppkey * 41 % 100) * CAST(0.004 AS DOUBLE) AS lat, CAST(-74.2 AS DOUBLE) + (s_suppkey * 59 % 100) * CAST(0.005 AS DOUBLE) AS lon
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey < 60),
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 complexes AS (
   SELECT n_nationkey AS complex_id, n_name AS name, r_name AS borough, n_nationkey % 3 = 0 AS cbd, coalesce(r.routes, CAST([] AS VARCHAR[])) AS routes,
     CAST(40.5 AS DOUBLE) + (n_nationkey * 37 % 100) * CAST(0.004 AS DOUBLE) AS lat, CAST(-74.2 AS DOUBLE) + (n_nationkey * 53 % 100) * CAST(0.005 AS DOUBLE) AS lon
@@ -174,11 +174,21 @@ FROM pairs JOIN complexes a ON a.complex_id = origin_id JOIN complexes b ON b.co
     "platform_narrowed_name": f"SELECT scenario, complex_id, station, {_list('routes')} AS routes FROM ends",
     "walk_points": "SELECT complex_id, point, coalesce(platform_id, -1) AS platform_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM points",
     "scenario_routes": f"SELECT scenario, platform_id, complex_id, line, {_list('real_routes')} AS real_routes, {_list('routes')} AS routes FROM pr",
-    "scenario_product": """SELECT a, b, coalesce(nullif(concat_ws(' + ', nullif(a, 'Current'), nullif(b, 'Current')), ''), 'Current') AS name
-FROM (SELECT unnest(['Current', 'Swap']) AS a) CROSS JOIN (SELECT unnest(['Current', 'Shift', 'Drop']) AS b)""",
+    "scenario_product": """SELECT coalesce(nullif(concat_ws(' + ', a, b), ''), 'Current') AS name, coalesce(nullif(concat_ws(' + ', a || ' of X', b || ' of Y'), ''), 'today''s routes') AS description,
+  coalesce(nullif(concat_ws(' + ', CASE WHEN a IS NOT NULL THEN 'X' END, CASE WHEN b IS NOT NULL THEN 'Y' END), ''), 'Current') AS category
+FROM (SELECT unnest([NULL, 'Swap']) AS a) CROSS JOIN (SELECT unnest([NULL, 'Shift', 'Drop']) AS b)""",
+    "station_lookup": "SELECT DISTINCT name, line, complex_id FROM platforms",
+    "scenario_moves": """SELECT scenario, complex_id, line, won AS add, lost AS remove FROM (
+  SELECT DISTINCT complex_id, line, r.lost, r.won, r.scenario FROM platforms p JOIN (VALUES ('L1', 'A', 'C', 'C for A'), ('L1', 'A', 'C', 'C for A + D for B'), ('L2', 'B', 'D', 'D for B'), ('L2', 'B', 'D', 'C for A + D for B')) r(l, lost, won, scenario)
+    ON p.line = r.l AND list_contains(p.routes, r.lost))""",
+    "abbreviated_names": """SELECT complex_id, 'Park Pl ' || name || ' Atlantic Av, PABT' AS name, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM complexes""",
+    "month_labels": "SELECT printf('%d-%02d', year, month) AS month, count(*) AS trips FROM trips GROUP BY year, month",
+    "changed_stations": f"""SELECT scenario, complex_id, {_label('was', 'had', 'station', 'routes')} AS name
+FROM ends JOIN (SELECT complex_id, station AS was, routes AS had FROM ends WHERE scenario = 'Current') USING (complex_id) WHERE scenario <> 'Current'""",
+    "off_corridors": f"SELECT complex_id, name, {_list('routes')} AS routes FROM starts WHERE len(list_intersect(routes, {TA})) = 0 AND len(list_intersect(routes, ['D'])) = 0",
     "one_seat_systemwide": "SELECT scenario, origin_id, dest_id, both_ends, one_seat FROM rows",
     "nearest_platform": "SELECT scenario, complex_id, route, round(dist_m, 3) AS dist_m, platform AS platform_id, to_complex FROM near",
-    "shortest_walk": "SELECT r.scenario, origin_id, dest_id, round(dist_m, 3) AS dist_m, at_origin, close, e.station AS walk_station FROM rows r LEFT JOIN ends e ON e.scenario = r.scenario AND e.complex_id = r.to_complex WHERE NOT one_seat",
+    "shortest_walk": "SELECT r.scenario, origin_id, dest_id, coalesce(round(dist_m, 3), -1) AS dist_m, coalesce(at_origin, FALSE) AS at_origin, close, e.station AS walk_station FROM rows r LEFT JOIN ends e ON e.scenario = r.scenario AND e.complex_id = r.to_complex WHERE NOT one_seat",
     "outcomes": f"SELECT scenario, both_ends, outcome, count(*) AS pairs, {_avg('sum(ridership)')} AS riders FROM rows GROUP BY 1, 2, 3",
     "rider_stats_both_ends": f"SELECT scenario, {_STATS} FROM both_rows GROUP BY 1",
     "rider_stats_either_end": f"SELECT scenario, {_STATS} FROM rows GROUP BY 1",

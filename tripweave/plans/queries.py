@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.names import outcome
+from ..functions.names import abbreviated, month_label, outcome, slug
+from ..functions.routes import literal_set
 from ..operators import boundary, pairs, regional, systemwide
-from ..sources import ridership
-from .model import Model, model
+from ..sources import ridership, scenarios
+from .model import TRUNK_A, UNIVERSE, Model, model
 
 Query = Callable[[SparkSession, str], DataFrame]
 BOROUGHS = ["ASIA", "EUROPE"]
@@ -86,12 +88,49 @@ def scenario_routes(m: Model) -> DataFrame:
 
 
 def scenario_product(m: Model) -> DataFrame:
-    """Every choice of one scenario a category, ``Current`` among them; only changes are named."""
-    first = m.spark.createDataFrame([("Current",), ("Swap",)], "a string")
-    second = m.spark.createDataFrame([("Current",), ("Shift",), ("Drop",)], "b string")
-    changed = F.filter(F.array("a", "b"), lambda x: x != "Current")
-    name = F.when(F.size(changed) > 0, F.array_join(changed, " + ")).otherwise("Current")
-    return first.crossJoin(F.broadcast(second)).select("a", "b", name.alias("name"))
+    """Every choice of one scenario a category, none among them; only changes are named."""
+    plan = lambda category, *names: [scenarios.Scenario(n, f"{n} of {category}", category, frozenset("AB")) for n in names]
+    found = scenarios.all_combinations({"X": plan("X", "Swap"), "Y": plan("Y", "Shift", "Drop")})
+    return m.spark.createDataFrame([(s.name, s.description, s.category) for s in found], "name string, description string, category string")
+
+
+def station_lookup(m: Model) -> DataFrame:
+    """What scenario files may call stations: name and line of every platform, and the complexes that they mean."""
+    named = scenarios.StationIndex.of(m.platforms).named
+    return m.spark.createDataFrame([(name, line, c) for (name, line), ids in named.items() for c in ids], "name string, line string, complex_id int")
+
+
+def scenario_moves(m: Model) -> DataFrame:
+    """A scenario file read, checked and combined: C takes the place of A, and D of B, on two lines wherever these run."""
+    index = scenarios.StationIndex.of(m.platforms)
+
+    def entry(name: str, line: str, lost: str, won: str) -> dict:
+        at = sorted(n for (n, x), ids in index.named.items() if x == line and len(ids) == 1 and lost in index.on_line[next(iter(ids)), line])
+        return {"name": name, "routes": sorted(UNIVERSE), "overrides": [{"line": line, "stations": at, "add": [won], "remove": [lost]}] if at else []}
+
+    text = json.dumps({"One": [entry("C for A", "L1", "A", "C")], "Two": [entry("D for B", "L2", "B", "D")]})
+    _, moves = scenarios.frames(m.spark, scenarios.all_combinations(scenarios.chosen(scenarios.load(text, index), ["One", "Two"])))
+    return moves.select("scenario", "complex_id", "line", _joined("add").alias("add"), _joined("remove").alias("remove"))
+
+
+def abbreviated_names(m: Model) -> DataFrame:
+    """Long forms in names of stations, and the names as part of a file name."""
+    long = F.concat(F.lit("Park Place "), "name", F.lit(" Atlantic Av-Barclays Ctr, Port Authority Bus Terminal"))
+    slugs = m.spark.createDataFrame([(r.complex_id, slug(r.name)) for r in m.complexes.select("complex_id", "name").collect()], "complex_id int, slug string")  # 25 nations
+    return m.complexes.join(F.broadcast(slugs), "complex_id").select("complex_id", abbreviated(long).alias("name"), "slug")
+
+
+def month_labels(m: Model) -> DataFrame:
+    return m.trips.groupBy((F.col("year") * 100 + F.col("month")).alias("m")).agg(F.count(F.lit(1)).alias("trips")).select(month_label(F.col("m")).alias("month"), "trips")
+
+
+def changed_stations(m: Model) -> DataFrame:
+    """What each scenario calls a station, beside the baseline's name."""
+    return systemwide.changed_stations(m.ends, "Current")
+
+
+def off_corridors(m: Model) -> DataFrame:
+    return boundary.off_corridors(m.origins, literal_set(TRUNK_A), literal_set({"D"})).select("complex_id", "name", _joined("routes").alias("routes"))
 
 
 def one_seat_systemwide(m: Model) -> DataFrame:
@@ -103,8 +142,9 @@ def nearest_platform(m: Model) -> DataFrame:
 
 
 def shortest_walk(m: Model) -> DataFrame:
+    """Where no walk can be measured, the distance is -1."""
     rows = systemwide.with_walk_station(m.rows.filter(~F.col("one_seat")), m.ends)
-    return rows.select("scenario", "origin_id", "dest_id", F.round("walk.dist_m", 3).alias("dist_m"), F.col("walk.at_origin").alias("at_origin"), "close", "walk_station")
+    return rows.select("scenario", "origin_id", "dest_id", F.coalesce(F.round("walk.dist_m", 3), F.lit(-1.0)).alias("dist_m"), F.coalesce("walk.at_origin", F.lit(False)).alias("at_origin"), "close", "walk_station")
 
 
 def outcomes(m: Model) -> DataFrame:
@@ -184,7 +224,7 @@ QUERIES: tuple[Callable[[Model], DataFrame], ...] = (
     regional_top_pairs, route_sets, platform_narrowed_name, walk_points, scenario_routes, scenario_product, one_seat_systemwide, nearest_platform, shortest_walk,
     outcomes, rider_stats_both_ends, rider_stats_either_end, symmetric_pairs, origin_stats, destination_stats, transition_matrix, gained_lost_net,
     changed_pairs_topk, station_changes, boundary_scope, express_partners, effective_origin_routes, one_seat_boundary, walk_boundary, boundary_dest_stats,
-    boundary_origin_stats, corridor_swap_comparison,
+    boundary_origin_stats, corridor_swap_comparison, station_lookup, scenario_moves, abbreviated_names, month_labels, changed_stations, off_corridors,
 )
 
 

@@ -6,6 +6,11 @@ import csv
 from pathlib import Path
 from urllib.request import urlopen
 
+#: Where the publisher offers the station tables, and what its extracts are called.
+STATIONS_URL = "https://data.ny.gov/resource/5f5g-n3cz.csv?$limit=1000"
+STATIONS_INDIVIDUAL_URL = "https://data.ny.gov/resource/39hk-dx4f.csv?$limit=1000"
+CSV_PATTERN = "data/*_Subway_Origin-Destination_Ridership_Estimate__2025_*.csv"
+
 
 def fetch_csv(url: str, out: str, force: bool = False) -> int | None:
     """Store the CSV file of ``url`` at ``out``; returns its number of rows, or None if it was kept."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,14 +32,33 @@ class Summary(NamedTuple):
 
 
 def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files as strings, columns matched by name: each file is read with its own header."""
-    if not paths:
-        raise IngestError("no input files")
-    frames = [spark.read.option("header", True).option("escape", '"').csv(p) for p in paths]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame, allowMissingColumns=True)
-    return result
+    """All files of paths, folders and patterns as strings, columns matched by name.
+
+    Files are grouped by their header: one read for each order of columns, then
+    a union by name.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    reader = spark.read.option("header", True).option("escape", '"')
+    for file in listed_files(spark, paths):
+        by_header.setdefault(tuple(reader.csv(file).columns), []).append(file)
+    if not by_header:
+        raise IngestError(f"no input files: {paths}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [reader.csv(files) for files in by_header.values()])
+
+
+def listed_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that paths, folders and patterns (``*``, ``?``, ``[]``, ``{}``) stand for, in any file system of Spark's; each once."""
+    conf, found = spark._jsc.hadoopConfiguration(), {}
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        system = path.getFileSystem(conf)
+        hits = list(system.globStatus(path) or [])
+        if not hits:
+            raise IngestError(f"no input files: {text}")
+        for hit in hits:
+            inside = system.listStatus(hit.getPath()) if hit.isDirectory() else [hit]
+            found |= {f.getPath().toString(): None for f in inside if f.isFile() and f.getPath().getName()[0] not in "._"}
+    return sorted(found)
 
 
 def number(column: Column) -> Column:
@@ -64,14 +84,17 @@ def normalised(raw: DataFrame, decimals: int | None = None) -> DataFrame:
     return raw.select(*[c.alias(n) for n, c in typed.items()], value.alias("ridership"))
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_ridership(df: DataFrame, path: str, force: bool = False, partitions: int | None = None) -> bool:
     """Write the table sorted by station pair, so that readers skip row groups; leave an existing one unless forced.
 
     Returns whether it was written.
     """
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not force and target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    if not force and is_there(df.sparkSession, path):
         return False
     order = ["origin_id", "dest_id", "day_of_week", "hour"]
     placed = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)

@@ -1,6 +1,7 @@
 """The ridership model over the standard tables: a view of suppliers, customers and line items as stations and trips.
 
-Station tables have a few dozen rows and stay in one partition, so that nothing about stations is ever shuffled.
+Every supplier is a platform, every nation a complex. Which routes stop at a platform goes by its nation and line, and
+at many there is none, so that complexes keep few routes however many suppliers there are.
 """
 
 from __future__ import annotations
@@ -8,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Suppliers that count as platforms.
-PLATFORMS = 60
+from ..functions.routes import route_set
+
+#: A nation's line has the letters at these places, multiples of nation and line within a cycle; past the last letter there is none.
+LETTERS, CYCLES = "ABCDEFGH", ((3, 1, 16), (5, 2, 24))
 DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
@@ -18,21 +21,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def platforms(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "supplier").filter(F.col("s_suppkey") < PLATFORMS)
+    s = table(spark, folder, "supplier")
     n = table(spark, folder, "nation").join(F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("s_suppkey")
-    letter = lambda k: F.substring(F.lit("ABCDEFGH"), (k % 8 + 1).cast("int"), F.lit(1))
+    letter = lambda a, b, n: F.substring(F.lit(LETTERS), ((F.col("s_nationkey") * a + key % 5 * b) % n + 1).cast("int"), F.lit(1))
+    listed = F.array_join(F.array_remove(F.array(*[letter(*c) for c in CYCLES]), ""), " ")
     return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(
         key.cast("int").alias("platform_id"), F.col("s_nationkey").alias("complex_id"), F.col("s_name").alias("name"),
-        F.concat(F.lit("L"), (key % 5).cast("string")).alias("line"), F.array_sort(F.array_distinct(F.array(letter(key), letter(key * 3)))).alias("routes"),
+        F.concat(F.lit("L"), (key % 5).cast("string")).alias("line"), route_set(listed).alias("routes"),
         (F.lit(40.5) + (key * 41 % 100) * F.lit(0.004)).cast("double").alias("lat"), (F.lit(-74.2) + (key * 59 % 100) * F.lit(0.005)).cast("double").alias("lon"),
         F.col("r_name").alias("borough"),
-    ).coalesce(1)
+    )
 
 
 def complexes(spark: SparkSession, folder: str) -> DataFrame:
     n = table(spark, folder, "nation").join(F.broadcast(table(spark, folder, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    routes = platforms(spark, folder).groupBy(F.col("complex_id").alias("c")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("routes")))).alias("routes"))
+    routes = platforms(spark, folder).groupBy(F.col("complex_id").alias("c")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("routes")))).alias("routes"))
     key = F.col("n_nationkey")
     return n.join(F.broadcast(routes), key == F.col("c"), "left").select(
         key.alias("complex_id"), F.col("n_name").alias("name"), F.coalesce("routes", F.array().cast("array<string>")).alias("routes"),

@@ -8,14 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.pairs import pair_sums
 
 
-def running_pairs(trips: DataFrame, days: tuple[str, ...] | None, name: str, checkpoint: str) -> StreamingQuery:
-    """Starts a query that keeps exact sums of all pairs under ``name``. State is one row a station pair, so no watermark is needed."""
-    return (
-        pair_sums(trips, days)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def running_pairs(trips: DataFrame, days: tuple[str, ...] | None, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query that keeps exact sums of all pairs as Parquet at ``path``.
+
+    State is one row a station pair, so no watermark is needed; executors write
+    each new state, and nothing is held in the driver.
+    """
+
+    def write(found: DataFrame, batch: int) -> None:
+        found.write.mode("overwrite").parquet(path)
+
+    return pair_sums(trips, days).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
