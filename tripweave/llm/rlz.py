@@ -117,7 +117,7 @@ def _parse(window: int, anchor: int):
         import pyarrow as pa
 
         names = [x.split()[0] for x in _FACTORS.split(", ")]
-        for block, (factors, new) in each_block(batches, anchor, window - anchor, 65_536, parsed):
+        for block, (factors, new) in each_block(batches, anchor, window - anchor, 32_768, parsed):
             if factors:
                 place, before, after, source = (np.concatenate(x) for x in zip(*factors))
                 if len(place):
