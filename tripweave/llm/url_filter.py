@@ -4,7 +4,8 @@ Host names often run words together. A unigram model, counted over the text of
 all pages, splits each label of a host into its likeliest words (Viterbi). A
 multinomial naive Bayes model scores these words and the words of the path; it
 learns from the pages that the rules judge, so the rules' verdicts are its
-labels and no list of sites is written down anywhere. Labels meet their
+labels and no list of sites is written down anywhere; the rules' own words, which
+decide these labels, are no features. Labels meet their
 possible words in a join, so neither the vocabulary nor the hosts have to fit
 anywhere.
 """
@@ -12,6 +13,7 @@ anywhere.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -160,9 +162,16 @@ def host_words(hosts: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     return labels.join(known, "label", "left").mapInArrow(run, "label string, words array<string>")
 
 
-def trained(tokens: DataFrame, vocabulary: int = VOCABULARY) -> NaiveBayes:
+def words_of_rules(rules: tuple[Rule, ...]) -> list[str]:
+    """The words that the rules themselves are made of, in their hosts and paths."""
+    return sorted({w for r in rules for w in re.findall(r"[^\W\d_]+", r.name.lower())})
+
+
+def trained(tokens: DataFrame, rules: tuple[Rule, ...] = RULES, vocabulary: int = VOCABULARY) -> NaiveBayes:
     """The model of all labelled pages: rows with ``given`` (block or allow) and ``words``.
 
+    Words that the rules are made of are left out: they decide the labels, so
+    what they seem to tell would not hold where no rule fits.
     The ``vocabulary`` words that stand most often in them (ties: the smaller
     word) get a weight; their counts are all that the driver sees. Without
     labelled pages all weights and the prior are 0.
@@ -171,7 +180,7 @@ def trained(tokens: DataFrame, vocabulary: int = VOCABULARY) -> NaiveBayes:
     blocked = F.col("given") == "block"
     both = lambda of: (F.count(F.when(blocked, of)), F.count(F.when(~blocked, of)))
     pages = labelled.agg(*both(F.lit(1))).first()
-    each = labelled.select("given", F.explode("words").alias("word"))
+    each = labelled.select("given", F.explode("words").alias("word")).filter(~F.col("word").isin(words_of_rules(rules)))
     totals = each.agg(*both(F.lit(1))).first()
     b, a = both(F.lit(1))
     found = each.groupBy("word").agg(b.alias("b"), a.alias("a")).orderBy(F.desc(F.col("b") + F.col("a")), "word").limit(vocabulary).toArrow()
@@ -211,7 +220,7 @@ def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "u
     met = spread_join(parts, split, ["host"], hosts, "row")
     tokens = stored(met.select("page_id", "host", "path", "rule", "given", F.concat("host_words", letters_of("path")).alias("words")), "url-words")
     discard(parts)
-    model = trained(tokens)
+    model = trained(tokens, rules)
     shared = spark.sparkContext.broadcast(tuple(model))  # VOCABULARY words at most
 
     def score(batches: Iterator) -> Iterator:
