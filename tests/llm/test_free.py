@@ -98,9 +98,10 @@ def brute_classes(rows):
     return links, label
 
 
-@pytest.mark.parametrize("leaf", [4096, 3])
-def test_chosen_paths_lose_no_link(docs, rows, monkeypatch, leaf):
+@pytest.mark.parametrize(("leaf", "weight"), [(4096, 8_000_000), (3, 8_000_000), (4096, 400)])
+def test_chosen_paths_lose_no_link(docs, rows, monkeypatch, leaf, weight):
     monkeypatch.setattr(chosen_path, "LEAF", leaf)  # 3: buckets are split along paths, and at last into pairs of parts
+    monkeypatch.setattr(chosen_path, "WEIGHT", weight)  # 400: buckets of long texts are dealt into pairs of parts
     monkeypatch.setattr(chosen_path.all_leaves, "__defaults__", (leaf,))
     links, label = brute_classes(rows)
     want = Counter((i, None if label[p] == math.inf else label[p], len(links[p])) for p, (i, *_) in enumerate(rows))

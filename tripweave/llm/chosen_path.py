@@ -27,8 +27,8 @@ from .components import components
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Coordinates of a sketch, and how many two linked sets share at least (fewer: once in a million).
 COORDINATES, SHARED = 64, 36
-#: A bucket is compared by brute force up to so many sets.
-LEAF = 4096
+#: A bucket is compared by brute force up to so many sets, and so many shingles of all its sets (about 64 MB).
+LEAF, WEIGHT = 4096, 8_000_000
 #: Runs at first; tokens of a path at most; part of the linked pairs to be found.
 RUNS, DEPTH, RECALL = 12, 6, 0.9995
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -81,12 +81,12 @@ def _token(run: int, depth: int) -> Column:
 
 
 def leaves(sets: DataFrame, runs: range, leaf: int = LEAF) -> tuple[DataFrame, int, DataFrame | None]:
-    """d, run, key, count of the sets' buckets with company after splitting; the longest path; the sets on long paths."""
+    """d, run, key, count, weight (shingles) of the sets' buckets with company after splitting; the longest path; the sets on long paths."""
     first = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), _token(r, 0)).alias("key")) for r in runs])
-    current = sets.select("d", "sketch", F.explode(first).alias("x")).select("d", "sketch", "x.run", "x.key")
+    current = sets.select("d", "n", "sketch", F.explode(first).alias("x")).select("d", "n", "sketch", "x.run", "x.key")
     found, deep, depth = None, None, 1
     while True:
-        counts = stored(current.groupBy("run", "key").count().filter("count > 1"), "buckets")
+        counts = stored(current.groupBy("run", "key").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("weight")).filter("count > 1"), "buckets")
         large = counts.filter(F.col("count") > leaf)
         more = large.count() if depth < DEPTH else 0
         here = current.select("d", "run", "key").join(counts if not more else counts.filter(F.col("count") <= leaf), ["run", "key"])
@@ -94,10 +94,10 @@ def leaves(sets: DataFrame, runs: range, leaf: int = LEAF) -> tuple[DataFrame, i
         if not more:
             return found, depth, deep
         token = F.coalesce(*[F.when(F.col("run") == r, _token(r, depth)) for r in runs])
-        current = stored(current.join(hinted(large.select("run", "key"), 200_000), ["run", "key"]).select("d", "sketch", "run", F.xxhash64("key", token).alias("key")), "split")
+        current = stored(current.join(hinted(large.select("run", "key"), 200_000), ["run", "key"]).select("d", "n", "sketch", "run", F.xxhash64("key", token).alias("key")), "split")
         depth += 1
         if depth == 3:
-            deep = current.select("d", "sketch").distinct()
+            deep = current.select("d", "n", "sketch").distinct()
 
 
 def runs_for(depth: int, recall: float = RECALL) -> int:
@@ -237,11 +237,11 @@ def _links(runs: int, size: int):
 
 
 def with_paths(found: DataFrame, sets: DataFrame, runs: int) -> DataFrame:
-    """Each bucket's sets with their sketches and the keys of all their paths; a bucket that stayed large is dealt into pairs of parts."""
-    keys = found.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("run", "key"))).alias("keys"), F.collect_list(F.struct("run", "key", "count")).alias("buckets"))
+    """Each bucket's sets with their sketches and the keys of all their paths; a bucket that stayed large, or has very long texts, is dealt into pairs of parts."""
+    keys = found.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("run", "key"))).alias("keys"), F.collect_list(F.struct("run", "key", "count", "weight")).alias("buckets"))
     hexed = F.concat(*[F.coalesce(F.reverse(F.unhex(F.lpad(F.hex(F.col("keys")[r]), 16, "0"))), F.unhex(F.lit("00" * 8))) for r in range(runs)])
     each = sets.join(keys, "d").select("d", "n", "copies", "sketch", hexed.alias("paths"), F.explode("buckets").alias("b"))
-    parts = F.ceil(F.col("b.count") / LEAF).cast("int")
+    parts = F.ceil(F.greatest(F.col("b.count") / LEAF, F.col("b.weight") / WEIGHT)).cast("int")
     own = F.pmod(F.xxhash64("d"), parts).cast("int")
     others = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, own).alias("a"), F.greatest(p, own).alias("z")))
     dealt = each.withColumn("pair", F.explode(others)).withColumn("side", own)
@@ -273,7 +273,7 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_
     all_sets = stored(rows.mapInArrow(_sketches(size), "row long, k long, d binary, n int, sketch binary"), "sketches")
     first_of = F.min(F.struct(F.col("k").isNull().alias("no"), "k", "row"))
     sets = stored(all_sets.groupBy("d").agg(first_of.alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
-    found, runs = all_leaves(sets.filter("n > 0").select("d", "sketch"))
+    found, runs = all_leaves(sets.filter("n > 0").select("d", "n", "sketch"))
     deal = lambda df: df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "d")
     members = with_paths(found, sets.select("d", "n", "copies", "sketch"), runs)
     wanted = stored(deal(members).mapInArrow(_candidates(runs), "d binary, bucket long, run int, side int, cross boolean"), "candidates")
