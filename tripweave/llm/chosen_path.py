@@ -27,8 +27,8 @@ from .components import components
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Coordinates of a sketch, and how many two linked sets share at least (fewer: once in a million).
 COORDINATES, SHARED = 64, 36
-#: A bucket is compared by brute force up to so many sets, and so many shingles of all its sets (about 64 MB).
-LEAF, WEIGHT = 4096, 8_000_000
+#: A bucket is compared by brute force up to so many sets, and so many shingles of all its sets (about 60 MB).
+LEAF, WEIGHT = 4096, 2_000_000
 #: Runs at first; tokens of a path at most; part of the linked pairs to be found.
 RUNS, DEPTH, RECALL = 12, 6, 0.9995
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -148,8 +148,8 @@ class Bucket:
         return owned_pairs(self.sketches, self.paths, self.sizes, self.run, self.side, self.cross)
 
 
-def _buckets(batches: Iterator, columns: list[str], runs: int, rows: int) -> Iterator[tuple[Bucket, dict]]:
-    for table in whole_groups(batches, ["bucket"], rows):
+def _buckets(batches: Iterator, columns: list[str], runs: int, rows: int, size: int = 16 << 20) -> Iterator[tuple[Bucket, dict]]:
+    for table in whole_groups(batches, ["bucket"], rows, size):
         key = table["bucket"].to_numpy()
         names = table["d"].to_pylist()
         once = [i for i, d in enumerate(names) if not i or d != names[i - 1] or key[i] != key[i - 1]]  # repeated rows come once
@@ -191,9 +191,13 @@ def linked(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]], copi
     """Number of linked documents of each set, and the first set of its component within the bucket, from exact similarities."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    values = np.unique(np.concatenate(sets))
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    mark = np.zeros(len(values), np.int64)
+    ids = np.empty(starts[-1], np.int32)
+    for i, own in enumerate(sets):
+        ids[starts[i] : starts[i + 1]] = np.searchsorted(values, own)
+    del sets
+    mark = np.zeros(len(values), np.int32)
     links, parent = np.zeros(n, np.int64), np.arange(n)
 
     def root(x: int) -> int:
@@ -225,7 +229,7 @@ def _links(runs: int, size: int):
         import pyarrow as pa
 
         unpack = unpacker()
-        for bucket, rows in _buckets(batches, [*_ROW, "z"], runs, 2048):
+        for bucket, rows in _buckets(batches, [*_ROW, "z"], runs, 2048, 8 << 20):
             pairs = bucket.pairs()
             if (one := next(pairs, None)) is not None:
                 links, first = linked([shingles(words_of(unpack(z))[0], size) for z in rows["z"]], chain((one,), pairs), bucket.copies)
@@ -241,7 +245,8 @@ def with_paths(found: DataFrame, sets: DataFrame, runs: int) -> DataFrame:
     keys = found.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("run", "key"))).alias("keys"), F.collect_list(F.struct("run", "key", "count", "weight")).alias("buckets"))
     hexed = F.concat(*[F.coalesce(F.reverse(F.unhex(F.lpad(F.hex(F.col("keys")[r]), 16, "0"))), F.unhex(F.lit("00" * 8))) for r in range(runs)])
     each = sets.join(keys, "d").select("d", "n", "copies", "sketch", hexed.alias("paths"), F.explode("buckets").alias("b"))
-    parts = F.ceil(F.greatest(F.col("b.count") / LEAF, F.col("b.weight") / WEIGHT)).cast("int")
+    # a pair of parts weighs no more than an undivided bucket
+    parts = F.ceil(F.greatest(F.col("b.count") / LEAF, F.when(F.col("b.weight") > WEIGHT, F.col("b.weight") * 2 / WEIGHT).otherwise(1))).cast("int")
     own = F.pmod(F.xxhash64("d"), parts).cast("int")
     others = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, own).alias("a"), F.greatest(p, own).alias("z")))
     dealt = each.withColumn("pair", F.explode(others)).withColumn("side", own)

@@ -216,15 +216,16 @@ def binary_column(data: np.ndarray, ends: np.ndarray):
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def whole_groups(batches, keys: list[str], rows: int = 65_536):
-    """Arrow tables from a partition sorted by ``keys``, of about ``rows`` rows, such that no group of equal keys is cut."""
+def whole_groups(batches, keys: list[str], rows: int = 65_536, size: int = 64 << 20):
+    """Arrow tables from a partition sorted by ``keys``, of about ``rows`` rows or ``size`` bytes, such that no group of equal keys is cut."""
     import pyarrow as pa
 
-    held, n, wanted = [], 0, rows
+    held, n, taken, wanted, room = [], 0, 0, rows, size
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n < wanted:
+        taken += batch.nbytes
+        if n < wanted and taken < room:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         last = np.ones(n, bool)
@@ -234,8 +235,9 @@ def whole_groups(batches, keys: list[str], rows: int = 65_536):
         cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
         if cut:
             yield table.slice(0, cut)
-            held, n, wanted = table.slice(cut).to_batches(), n - cut, rows
+            held, n, wanted, room = table.slice(cut).to_batches(), n - cut, rows, size
+            taken = sum(b.nbytes for b in held)
         else:
-            held, wanted = table.to_batches(), 2 * n
+            held, wanted, room = table.to_batches(), 2 * n, 2 * taken
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
