@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_rows, hinted, mix, numbered, partitions, prefix_sums, small_batches, span_hash, spread_join, stored, unpacker, whole_groups, words_of
+from .common import document_rows, hinted, mix, numbered, prefix_sums, small_batches, span_hash, spread_join, stored, unpacker, whole_groups, words_of
 from .components import components
 
 #: Words of a shingle; links join sets whose similarity is NUMERATOR / DENOMINATOR or more.
@@ -279,7 +279,8 @@ def similarity_classes(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_
     first_of = F.min(F.struct(F.col("k").isNull().alias("no"), "k", "row"))
     sets = stored(all_sets.groupBy("d").agg(first_of.alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sets")
     found, runs = all_leaves(sets.filter("n > 0").select("d", "n", "sketch"))
-    deal = lambda df: df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "d")
+    # adaptive execution sizes the partitions, so that small tables are not written as many tiny files
+    deal = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "d")
     members = with_paths(found, sets.select("d", "n", "copies", "sketch"), runs)
     wanted = stored(deal(members).mapInArrow(_candidates(runs), "d binary, bucket long, run int, side int, cross boolean"), "candidates")
     # Only sets with a candidate partner travel with their text, to each bucket that has to compare them.
