@@ -73,6 +73,12 @@ def op10_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded_digests(table(spark, folder, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -129,6 +135,29 @@ SELECT l.a AS doc_id, class_id, coalesce(n_links, 0) AS n_links, l.a = class_id
 """
 
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+x AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE len(words) > 0),
+g AS (SELECT lang, words[i] AS phrase, 1 AS size FROM x
+      UNION ALL SELECT lang, array_to_string(words[i:i+1], ' '), 2 FROM x WHERE i + 1 <= len(words)
+      UNION ALL SELECT lang, array_to_string(words[i:i+2], ' '), 3 FROM x WHERE i + 2 <= len(words)),
+f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+h AS MATERIALIZED (SELECT lang, size, phrase, lang || chr(10) || phrase AS key, f FROM f WHERE f >= 10),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM h WHERE size > 1),
+k AS MATERIALIZED (SELECT lang, size, phrase, a, k, lang || chr(10) || array_to_string(words[1:k], ' ') AS k1, lang || chr(10) || array_to_string(words[k+1:], ' ') AS k2
+      FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT k.lang, k.size, k.phrase, k.a, k.k, x.f AS l, y.f AS r, (1000000 * k.a * k.a) // (x.f * y.f) AS score FROM k JOIN h x ON x.key = k.k1 JOIN h y ON y.key = k.k2),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+e AS MATERIALIZED (SELECT key, max(a) AS longer FROM (
+      SELECT lang || chr(10) || array_to_string(words[1:size-1], ' ') AS key, a FROM c UNION ALL SELECT lang || chr(10) || array_to_string(words[2:], ' '), a FROM c) GROUP BY key),
+d AS (SELECT b.*, lang || chr(10) || phrase AS key FROM b),
+o AS (SELECT d.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase) ASC) AS rank FROM d LEFT JOIN e ON e.key = d.key WHERE 100 * coalesce(longer, 0) < 50 * a)
+SELECT o.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+
 def sql_of_rules() -> str:
     """The measures and the table of thresholds, once more, as SQL."""
     from .rules import STOP_WORDS, SYMBOLS, THRESHOLDS
@@ -167,4 +196,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_substrings": OP3_SQL, "op8_sparse_suffixes": OP8_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules()}
+    return {"op3_rlz_substrings": OP3_SQL, "op8_sparse_suffixes": OP8_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules(), "op11_phrase_collocations": OP11_SQL}
