@@ -79,6 +79,12 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
 
 
+def op13_annulus_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from .centroids import clustered
+
+    return clustered(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -195,5 +201,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def sql_of_clusters(rounds: int = 3) -> str:
+    """Every vector compared with every centroid, round after round."""
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""
+a{turn} AS MATERIALIZED (SELECT vec_id, q, c, d FROM (
+  SELECT v.vec_id, v.q, c, list_sum(list_transform(list_zip(v.q, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v CROSS JOIN c{turn})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if turn < rounds:
+            steps.append(f"""
+u{turn} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(64)) AS i FROM a{turn}) GROUP BY c, i) GROUP BY c),
+c{turn + 1} AS MATERIALIZED (SELECT o.c, coalesce(u.m, o.m) AS m FROM c{turn} o LEFT JOIN u{turn} u ON u.c = o.c)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q AS m FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 16)),{",".join(steps)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(m, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_substrings": OP3_SQL, "op8_sparse_suffixes": OP8_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules(), "op11_phrase_collocations": OP11_SQL}
+    return {"op3_rlz_substrings": OP3_SQL, "op8_sparse_suffixes": OP8_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules(), "op11_phrase_collocations": OP11_SQL, "op13_annulus_clusters": sql_of_clusters()}
