@@ -85,6 +85,12 @@ def op13_annulus_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clustered(table(spark, folder, "embeddings"))
 
 
+def op12_fast_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    from .fast_sketch import near_components
+
+    return near_components(table(spark, folder, "documents")).drop("row")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -164,6 +170,19 @@ SELECT o.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAS
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[p:p+4], ' ') AS g
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS p FROM w WHERE len(words) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+l AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT l.a AS doc_id, coalesce(c.n, 0) AS n_shingles, component_id, l.a = component_id AS kept FROM l LEFT JOIN c ON c.doc_id = l.a
+"""
+
+
 def sql_of_rules() -> str:
     """The measures and the table of thresholds, once more, as SQL."""
     from .rules import STOP_WORDS, SYMBOLS, THRESHOLDS
@@ -225,4 +244,4 @@ FROM a{rounds} a JOIN c{rounds} k ON k.c = a.c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_substrings": OP3_SQL, "op8_sparse_suffixes": OP8_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules(), "op11_phrase_collocations": OP11_SQL, "op13_annulus_clusters": sql_of_clusters()}
+    return {"op3_rlz_substrings": OP3_SQL, "op8_sparse_suffixes": OP8_SQL, "op9_chosen_path": OP9_SQL, "op6_content_sort": OP6_SQL, "op7_threshold_rules": sql_of_rules(), "op11_phrase_collocations": OP11_SQL, "op12_fast_sketch": OP12_SQL, "op13_annulus_clusters": sql_of_clusters()}
