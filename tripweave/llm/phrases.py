@@ -8,11 +8,13 @@ and dropped where a frequent phrase of one word more takes their place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, text_of
+from .common import discard, stored, text_of
 
 #: Longest phrases in words; occurrences that make a candidate; part (in 100) of a phrase that an extension takes to replace it; phrases of a language.
 MAX_N, LEAST, COVERED, TOP = 3, 10, 50, 2000
@@ -20,6 +22,8 @@ MAX_N, LEAST, COVERED, TOP = 3, 10, 50, 2000
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 #: Parts of a language whose best phrases are found apart before the best of all.
 PARTS = 64
+#: Frequent phrases of a word less, at most, that are broadcast as 64-bit hashes to rule longer ones out.
+KNOWN = 2_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _COUNT = "decimal(16,0)"
 
@@ -38,28 +42,48 @@ def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     return known.select("lang", F.split(single, " ").alias("words"), "times")
 
 
-def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
+def _gram(n: int, after: int = 0) -> Column:
+    """The ``n`` words from ``after`` words past a position on; null where the piece ends before."""
+    words = [F.get("words", F.col("at") + (after + i)) for i in range(n)]
+    return F.concat(*[x for w in words for x in (F.lit(" "), w)][1:])
+
+
+def _summed(rows: DataFrame, least: int) -> DataFrame:
+    # Most phrases are rare. Keys of bytes keep the aggregate from trying its small first-level table in vain.
+    named = rows.filter("phrase IS NOT NULL").select("lang", F.col("phrase").cast("binary").alias("phrase"), "times")
+    counts = named.groupBy("lang", "phrase").agg(F.sum("times").alias("f")).filter((F.col("f") >= least) | (F.octet_length("phrase") == 0))
+    phrase = F.col("phrase").cast("string")
+    size = F.when(phrase == "", 0).otherwise(1 + F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))))
+    return counts.select("lang", phrase.alias("phrase"), size.alias("size"), "f")
+
+
+def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, text: str = "text", lang: str = "lang", known: int = KNOWN) -> DataFrame:
     """lang, phrase, size, f of the phrases of 1 to ``max_n`` words that occur ``least`` times or more; all words of a language count as size 0, phrase ''.
 
     Rows are made one position at a time, so a long piece without a break is
     never held as a list of its phrases, and summed in each task before the
-    shuffle, so a frequent phrase is one row of each task.
+    shuffle, so a frequent phrase is one row of each task. From three words on
+    a phrase can only be frequent if the phrases of a word less in it are; as
+    long as these are few enough to broadcast (``known``, checked each time),
+    rows that this rules out are left out before they are summed. Beyond that
+    all are summed. The result is the same.
     """
-    words, at = F.col("words"), F.col("at")
-    placed = pieces(docs, text, lang).select("lang", "words", "times", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-    phrase, grams = F.get(words, at), []
-    for n in range(1, max_n + 1):
-        if n > 1:
-            phrase = F.concat(phrase, F.lit(" "), F.get(words, at + (n - 1)))
-        grams.append(F.struct(phrase.alias("phrase"), F.col("times").alias("times")))
+    apart = stored(pieces(docs, text, lang), "pieces")
+    placed = apart.select("lang", "words", "times", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
     # the first word of a piece also tells how many words the piece has
-    total = F.struct(F.when(at == 0, "").alias("phrase"), (F.size("words") * F.col("times")).alias("times"))
-    rows = placed.select("lang", F.explode(F.array(total, *grams)).alias("g")).select("lang", F.col("g.phrase").cast("binary").alias("phrase"), "g.times").filter("phrase IS NOT NULL")
-    # Most phrases are rare. Keys of bytes keep the aggregate from trying its small first-level table in vain.
-    counts = rows.groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
-    phrase = F.col("phrase").cast("string")
-    size = F.when(phrase == "", 0).otherwise(1 + F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))))
-    return counts.filter((F.col("f") >= least) | (F.octet_length("phrase") == 0)).select("lang", phrase.alias("phrase"), size.alias("size"), "f")
+    total = F.struct(F.when(F.col("at") == 0, "").alias("phrase"), (F.size("words") * F.col("times")).alias("times"))
+    short = [F.struct(_gram(n).alias("phrase"), F.col("times").alias("times")) for n in range(1, min(max_n, 2) + 1)]
+    rows = placed.select("lang", F.explode(F.array(total, *short)).alias("g")).select("lang", "g.phrase", "g.times")
+    found = [stored(_summed(rows, least), "phrases")]
+    for n in range(3, max_n + 1):
+        shorter = found[-1].filter(F.col("size") == n - 1).select(F.xxhash64("lang", "phrase").alias("key")).distinct()
+        here = placed.filter(F.size("words") - F.col("at") >= n)
+        if shorter.count() <= known:
+            for side in (0, 1):
+                here = here.withColumn("key", F.xxhash64("lang", _gram(n - 1, side))).join(F.broadcast(shorter), "key", "left_semi").drop("key")
+        found.append(stored(_summed(here.select("lang", _gram(n).alias("phrase"), "times"), least), "phrases"))
+    discard(apart)
+    return reduce(DataFrame.unionAll, found)
 
 
 def best_of_each(rows: DataFrame, top: int) -> DataFrame:
@@ -87,7 +111,7 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, covere
     """
     if least < 1 or covered < 0:
         raise ValueError("phrases need one occurrence at least, and a share")
-    counts = stored(phrase_counts(docs, max_n, least, text, lang), "phrases")
+    counts = phrase_counts(docs, max_n, least, text, lang)
     candidates = counts.filter((F.col("size") > 1) & (F.col("f") >= least)).withColumnRenamed("f", "a")
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).withColumn("first", F.expr("substring_index(phrase, ' ', k)")).withColumn("rest", F.expr("substring(phrase, length(first) + 2)"))
     part = lambda p, f: counts.filter("size > 0").select("lang", F.col("phrase").alias(p), F.col("f").alias(f))
