@@ -13,13 +13,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert numbers == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
+    assert numbers == list(range(1, 14)) and set(queries.oracle_sql()) <= set(queries.queries())
 
 
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for name_of_table in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {name_of_table} AS SELECT * FROM '{FOLDER}/{name_of_table}.parquet'")
     got, want = queries.queries()[name](spark, FOLDER).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns and len(got) == len(want) > 0
