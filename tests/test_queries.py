@@ -56,11 +56,22 @@ def test_walks_are_symmetric(spark):
             assert r.outcome == back.outcome and (r.walk and r.walk.dist_m) == (back.walk and back.walk.dist_m)
 
 
-def test_pairs_are_aggregated_under_a_pushed_filter(spark):
+def test_no_station_is_compared_with_all_others_and_pairs_meet_as_masks(spark):
+    m = model(spark, FOLDER)
+    assert m.rows.filter("NOT evaluated").count() > 0  # some pairs take today's outcome
+    from tripweave.operators import systemwide, walks
+
+    near = walks.nearest(m.points, m.at_platforms, m.stations)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in near and "Cartesian" not in near
+    fresh = systemwide.evaluated(m.pairs, m.table, m.known)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f in fresh for f in ("array_intersect", "array_contains", "transform(", "filter(", "lambda"))
+
+
+def test_pairs_are_aggregated_under_a_pushed_filter(spark, tmp_path):
     from tripweave.operators import pairs
 
     trips = spark.range(0).selectExpr("2024 AS year", "1 AS month", "'Monday' AS day_of_week", "1 AS hour", "1 AS origin_id", "2 AS dest_id", "cast(1 AS decimal(9,4)) AS ridership")
-    path = "/tmp/tripweave-pushed"
+    path = str(tmp_path / "trips")
     trips.write.mode("overwrite").parquet(path)
     plan = pairs.pair_sums(spark.read.parquet(path), pairs.WEEKDAYS)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(day_of_week" in plan and "ReadSchema: struct<day_of_week:string,origin_id:int,dest_id:int,ridership:decimal(9,4)>" in plan

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bitmaps
 from ..functions.names import changed_label, outcome
-from ..functions.routes import any_of
+from .grid import if_small
 from .pairs import average
-from .walks import if_small, shorter_walk
 
 CLOSE_M = 300.0
 OUTCOMES = ("direct", "close", "far")
@@ -20,25 +22,76 @@ def scope(stations: DataFrame) -> DataFrame:
     return stations.filter(F.size("routes") > 0).select("complex_id").distinct()
 
 
-def classified(pairs: DataFrame, ends: DataFrame, in_scope: DataFrame, close_m: float = CLOSE_M) -> DataFrame:
-    """Every pair under every scenario: both_ends, one_seat, walk, outcome, and the names of its ends.
+ROW = ("scenario", "origin_id", "dest_id", "ridership", "origin_station", "origin_routes", "dest_station", "dest_routes", "both_ends", "one_seat", "walk", "close", "outcome", "evaluated")
 
-    Two joins with the station table, broadcast as long as it is small: pairs are not shuffled then.
-    """
+
+def station_table(ends: DataFrame, in_scope: DataFrame, known: list[str]) -> DataFrame:
+    """``ends`` with ``hit`` (in scope), the routes as a mask, and a column ``near_<bit>`` with the nearest platform of each route of the dictionary."""
     hit = in_scope.withColumn("hit", F.lit(True))
-    table = ends.join(F.broadcast(hit), "complex_id", "left").select("scenario", "complex_id", "station", "routes", "near", F.coalesce("hit", F.lit(False)).alias("hit"))
-    small = if_small(ends) is not ends  # it grows with the stations and the product of the scenarios
+    nearest_of = lambda route: F.get(F.filter("near", lambda x: x["route"] == route), F.lit(0))
+    nearest = [nearest_of(r).alias(f"near_{i}") for i, r in enumerate(known)]
+    return ends.join(if_small(hit), "complex_id", "left").select("scenario", "complex_id", "station", "routes", F.coalesce("hit", F.lit(False)).alias("hit"), bitmaps.mask(F.col("routes"), known).alias("mask"), *nearest)
+
+
+def evaluated(pairs: DataFrame, table: DataFrame, known: list[str], close_m: float = CLOSE_M) -> DataFrame:
+    """Pairs under every scenario of ``table``, or under their own if they name one: both_ends, one_seat, walk, outcome, and the names of the ends.
+
+    Two joins with the station table, broadcast as long as it is small: pairs
+    are not shuffled then. Of routes only masks and the near columns are read.
+    """
+    small = if_small(table) is not table  # it grows with the stations and the product of the scenarios
     hint = F.broadcast if small else lambda df: df
-    end = lambda p: hint(table.select("scenario", *[F.col(c).alias(f"{p}_{c}") for c in ("station", "routes", "near", "hit")], F.col("complex_id").alias(f"{p}_id")))
-    joined = pairs.join(end("origin"), "origin_id").join(end("dest"), ["scenario", "dest_id"])
-    one_seat = any_of(F.col("origin_routes"), F.col("dest_routes"))
-    walk = F.when(~one_seat, shorter_walk(F.col("origin_routes"), F.col("origin_near"), F.col("dest_routes"), F.col("dest_near")))
-    rows = joined.select(
-        "scenario", "origin_id", "dest_id", "ridership", "origin_station", "origin_routes", "dest_station", "dest_routes",
-        (F.col("origin_hit") & F.col("dest_hit")).alias("both_ends"), one_seat.alias("one_seat"), walk.alias("walk"),
-    )
+    columns = ["station", "routes", "hit", "mask", *[f"near_{i}" for i in range(len(known))]]
+    end = lambda p: hint(table.select("scenario", F.col("complex_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in columns]))
+    own = ["scenario"] if "scenario" in pairs.columns else []
+    joined = pairs.join(end("origin"), [*own, "origin_id"]).join(end("dest"), ["scenario", "dest_id"])
+    one_seat = bitmaps.meet(F.col("origin_mask"), F.col("dest_mask"))
+
+    def walk(at: str, other: str) -> list[Column]:
+        near = lambda i: F.col(f"{at}_near_{i}")
+        to = lambda i: F.struct(near(i)["dist_m"].alias("dist_m"), F.lit(at == "origin").alias("at_origin"), *[near(i)[c].alias(c) for c in ("route", "point", "platform", "to_complex")])
+        return [F.when(near(i).isNotNull() & bitmaps.has(F.col(f"{other}_mask"), i), to(i)) for i in range(len(known))]
+
+    # ties: the walk at the destination, then route, point and platform in order
+    walks = [*walk("dest", "origin"), *walk("origin", "dest")]
+    shortest = F.least(*walks) if walks else F.lit(None).cast("struct<dist_m:double,at_origin:boolean,route:string,point:int,platform:int,to_complex:int>")
+    rows = joined.withColumns({"both_ends": F.col("origin_hit") & F.col("dest_hit"), "one_seat": one_seat, "walk": F.when(~one_seat, shortest), "evaluated": F.lit(True)})
     close = F.coalesce(F.col("walk.dist_m") <= close_m, F.lit(False))
-    return rows.withColumns({"close": close, "outcome": outcome(F.col("one_seat"), close)})
+    return rows.withColumns({"close": close, "outcome": outcome(F.col("one_seat"), close)}).select(*ROW, "origin_mask", "dest_mask")
+
+
+def touched(table: DataFrame, baseline: str, known: list[str]) -> DataFrame:
+    """scenario, complex_id, moved, moved_near: stations that a scenario changes, in name or routes, or (a mask) in the nearest platform of a route."""
+    was = table.filter(F.col("scenario") == baseline).select("complex_id", F.struct("station", "mask", *[f"near_{i}" for i in range(len(known))]).alias("was"))
+    pair = table.filter(F.col("scenario") != baseline).join(if_small(was), "complex_id")
+    moved = (F.col("station") != F.col("was.station")) | (F.col("mask") != F.col("was.mask"))
+    near = [F.when(~F.col(f"near_{i}").eqNullSafe(F.col(f"was.near_{i}")), bitmaps.bit(i)).otherwise(F.lit(0).cast("long")) for i in range(len(known))]
+    return pair.select("scenario", "complex_id", moved.alias("moved"), reduce(lambda a, b: a.bitwiseOR(b), near, F.lit(0).cast("long")).alias("moved_near")).filter("moved OR moved_near <> 0")
+
+
+def with_differences(base: DataFrame, table: DataFrame, changed: DataFrame, baseline: str, known: list[str], close_m: float = CLOSE_M) -> DataFrame:
+    """The baseline's rows, and every other scenario's: pairs that it cannot change take the baseline's outcome, the others are evaluated.
+
+    A scenario can change a pair if it changes the name or routes of an end, or
+    the nearest platform, from one end, of a route of the other's. ``changed``
+    is :func:`touched`; it and ``base`` are read several times: cache them.
+    """
+    others = table.filter(F.col("scenario") != baseline).select("scenario").distinct()
+    hint = F.broadcast if if_small(changed) is not changed else lambda df: df
+    end = lambda p: hint(changed.select("scenario", F.col("complex_id").alias(f"{p}_id"), F.col("moved").alias(f"{p}_moved"), F.col("moved_near").alias(f"{p}_near")))
+    each = base.drop("scenario").crossJoin(F.broadcast(others))  # a handful of scenarios
+    marked = each.join(end("origin"), ["scenario", "origin_id"], "left").join(end("dest"), ["scenario", "dest_id"], "left")
+    reached = F.coalesce(bitmaps.meet(F.col("origin_near"), F.col("dest_mask")), F.lit(False)) | F.coalesce(bitmaps.meet(F.col("dest_near"), F.col("origin_mask")), F.lit(False))
+    again = F.coalesce("origin_moved", F.lit(False)) | F.coalesce("dest_moved", F.lit(False)) | reached
+    same = marked.filter(~again).withColumn("evaluated", F.lit(False)).select(*ROW)
+    redone = evaluated(marked.filter(again).select("scenario", "origin_id", "dest_id", "ridership"), table, known, close_m)
+    return base.select(*ROW).unionByName(same).unionByName(redone.select(*ROW))
+
+
+def classified(pairs: DataFrame, ends: DataFrame, in_scope: DataFrame, close_m: float = CLOSE_M) -> DataFrame:
+    """Every pair evaluated under every scenario."""
+    known = bitmaps.dictionary(ends)
+    return evaluated(pairs, station_table(ends, in_scope, known), known, close_m).select(*ROW)
 
 
 def with_walk_station(rows: DataFrame, ends: DataFrame) -> DataFrame:

@@ -9,19 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
 from ..functions.routes import any_of, common, with_delta
+from .grid import if_small, nearest_goals
 
-#: Rows, at most, of a table of stations that is broadcast.
-BROADCAST_ROWS = 100_000
 NEAR = "array<struct<route:string,dist_m:double,point:int,platform:int,to_complex:int>>"
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``rows`` rows; else Spark may choose another join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def walk_points(complexes: DataFrame, platforms: DataFrame) -> DataFrame:
     """complex_id, point, platform_id, lat, lon: the platforms of a complex, or its centre if it has none.
 
@@ -83,9 +76,9 @@ def nearest(points: DataFrame, at_platforms: DataFrame, stations: DataFrame) ->
         .groupBy("scenario", "route", "to_lat", "to_lon")
         .agg(F.min(F.struct(F.col("platform_id").alias("platform"), "to_complex")).alias("to"))
     )
-    dist = haversine_m(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
-    reach = stand.join(if_small(goal), "scenario").select("scenario", "complex_id", "route", F.struct(dist.alias("dist_m"), "point", "to.platform", "to.to_complex").alias("reach"))
-    return reach.groupBy("scenario", "complex_id", "route").agg(F.min("reach").alias("best"))
+    goals = goal.select("scenario", "route", "to_lat", "to_lon", "to.platform", "to.to_complex")
+    found = nearest_goals(stand, goals, ["scenario", "route"], ["point", "platform", "to_complex"])
+    return found.groupBy("scenario", "complex_id", "route").agg(F.min("best").alias("best"))
 
 
 def station_ends(stations: DataFrame, near: DataFrame, platforms: DataFrame) -> DataFrame:
@@ -95,20 +88,6 @@ def station_ends(stations: DataFrame, near: DataFrame, platforms: DataFrame) ->
     return named.join(F.broadcast(listed), ["scenario", "complex_id"], "left").withColumn("near", F.coalesce("near", F.array().cast(NEAR)))
 
 
-def shorter_walk(origin_routes: Column, origin_near: Column, dest_routes: Column, dest_near: Column) -> Column:
-    """The shorter of the walks at the destination, to a route of the origin's, and at the origin, to one of the destination's.
-
-    Null if nothing can be measured. Ties: the walk at the destination, then
-    route, point and platform in order.
-    """
-
-    def best(near: Column, routes: Column, at_origin: bool) -> Column:
-        reach = F.filter(near, lambda x: F.array_contains(routes, x["route"]))
-        return F.array_min(F.transform(reach, lambda x: F.struct(x["dist_m"].alias("dist_m"), F.lit(at_origin).alias("at_origin"), x["route"].alias("route"), x["point"].alias("point"), x["platform"].alias("platform"), x["to_complex"].alias("to_complex"))))
-
-    return F.least(best(dest_near, origin_routes, False), best(origin_near, dest_routes, True))
-
-
 def line_partners(platforms: DataFrame, primary: Column) -> DataFrame:
     """complex_id, partners: the primary routes on the lines, within the borough, that a complex's platforms are on."""
     on_line = platforms.groupBy("line", "borough").agg(F.array_distinct(F.flatten(F.collect_list("routes"))).alias("on_line"))
@@ -127,10 +106,5 @@ def nearest_to_sets(points: DataFrame, platforms: DataFrame, sets: DataFrame, se
     # of platforms and of points at one place the first counts
     goals = target.groupBy("scenario", "routes_key", "to_lat", "to_lon").agg(F.min(F.struct(F.col("platform_id").alias("platform"), "to_complex")).alias("to"))
     spots = points.groupBy("complex_id", "lat", "lon").agg(F.min("point").alias("point"))
-    dist = haversine_m(F.col("lat"), F.col("lon"), F.col("to_lat"), F.col("to_lon"))
-    # a stated set of stations against all: each complex is asked about each scenario's sets
-    asked = sets.select("scenario", "routes_key").distinct().crossJoin(if_small(spots))
-    reach = asked.join(if_small(goals), ["scenario", "routes_key"])
-    return reach.groupBy("scenario", "routes_key", "complex_id").agg(F.min(F.struct(dist.alias("dist_m"), "point", "to.platform", "to.to_complex")).alias("best"))
-
-
+    found = nearest_goals(spots, goals.select("scenario", "routes_key", "to_lat", "to_lon", "to.platform", "to.to_complex"), ["scenario", "routes_key"], ["point", "platform", "to_complex"])
+    return found.groupBy("scenario", "routes_key", "complex_id").agg(F.min("best").alias("best"))

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bitmaps
 from ..functions.names import shown, slug
 from ..functions.routes import literal_set
 from ..operators import boundary, pairs, regional, systemwide, walks
 from ..sources import scenarios as files
+from ..sources.settled import settled
 from . import reports
 
 
@@ -118,15 +120,20 @@ def deinterlining(
         raise files.ScenarioError("the first scenario has to be today's routing")
     routes = literal_set(compared[0].routes)
     scenarios, overrides = files.frames(spark, compared)
-    at = walks.platform_routes(platforms, overrides, scenarios, routes).cache()
-    stations = walks.complex_routes(complexes, at, overrides, scenarios, routes).cache()
-    ends = walks.station_ends(stations, walks.nearest(walks.walk_points(complexes, platforms), at, stations), platforms).cache()
+    at = settled(walks.platform_routes(platforms, overrides, scenarios, routes), "platforms")
+    stations = settled(walks.complex_routes(complexes, at, overrides, scenarios, routes).coalesce(1), "stations")
+    near = settled(walks.nearest(walks.walk_points(complexes, platforms), at, stations), "near")
+    ends = settled(walks.station_ends(stations, near, platforms).coalesce(1), "ends")
     scope = systemwide.scope(stations)
     cover = pairs.coverage(trips, days)
     n = cover.n_days
     found = pairs.pair_sums(trips, days, pairs.either_end_in([r[0] for r in scope.collect()])).cache()
     pairs.check_ends(found, complexes)
-    rows = systemwide.classified(found, ends, scope, close_m).cache()
+    known = bitmaps.dictionary(ends)
+    table = settled(systemwide.station_table(ends, scope, known).coalesce(1), "table")
+    base = settled(systemwide.evaluated(found, table.filter(F.col("scenario") == names[0]), known, close_m), "base")
+    changed = settled(systemwide.touched(table, names[0], known).coalesce(1), "touched")
+    rows = systemwide.with_differences(base, table, changed, names[0], known, close_m).cache()
     both, wider = systemwide.rider_stats(rows.filter("both_ends"), n).collect(), systemwide.rider_stats(rows, n).collect()
     if len(wider) < len(names) or not all(s.total for s in wider):
         raise EmptyError("no ridership among the station pairs in scope")

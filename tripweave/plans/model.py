@@ -7,9 +7,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bitmaps
 from ..functions.routes import literal_set
 from ..operators import boundary, pairs, systemwide, walks
 from ..sources import standard
+from ..sources.settled import discard, settled
 
 UNIVERSE = {"A", "B", "C", "D"}
 PRIMARY = {"A", "B", "C"}
@@ -21,7 +23,7 @@ BOUNDARY_LAT = 40.5 + (BOUNDARY_ID * 37 % 100) * 0.004
 
 
 class Model:
-    """Tables of stations are small and cached; trips are aggregated once and the pairs cached."""
+    """Tables of stations are small and settled; trips are aggregated once and the pairs cached."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -64,29 +66,46 @@ class Model:
 
     @cached_property
     def at_platforms(self) -> DataFrame:
-        return walks.platform_routes(self.platforms, self.overrides, self.scenarios, literal_set(UNIVERSE)).cache()
+        return settled(walks.platform_routes(self.platforms, self.overrides, self.scenarios, literal_set(UNIVERSE)), "platforms")
 
     @cached_property
     def stations(self) -> DataFrame:
-        return walks.complex_routes(self.complexes, self.at_platforms, self.overrides, self.scenarios, literal_set(UNIVERSE)).cache()
+        return settled(walks.complex_routes(self.complexes, self.at_platforms, self.overrides, self.scenarios, literal_set(UNIVERSE)).coalesce(1), "stations")
 
     @cached_property
     def near(self) -> DataFrame:
-        return walks.nearest(self.points, self.at_platforms, self.stations).cache()
+        return settled(walks.nearest(self.points, self.at_platforms, self.stations).coalesce(1), "near")  # a row for each station and route
 
     @cached_property
     def ends(self) -> DataFrame:
-        return walks.station_ends(self.stations, self.near, self.platforms).cache()
+        return settled(walks.station_ends(self.stations, self.near, self.platforms).coalesce(1), "ends")
 
     @cached_property
     def in_scope(self) -> DataFrame:
         return systemwide.scope(self.stations)
 
     @cached_property
-    def rows(self) -> DataFrame:
+    def known(self) -> list[str]:
+        return bitmaps.dictionary(self.ends)
+
+    @cached_property
+    def table(self) -> DataFrame:
+        return settled(systemwide.station_table(self.ends, self.in_scope, self.known).coalesce(1), "table")
+
+    @cached_property
+    def touched(self) -> DataFrame:
+        return settled(systemwide.touched(self.table, "Current", self.known).coalesce(1), "touched")
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """The pairs under today's routing."""
         ids = [r[0] for r in self.in_scope.collect()]  # stations
         kept = self.pairs.filter(pairs.either_end_in(ids))
-        return systemwide.classified(kept, self.ends, self.in_scope, CLOSE_M).cache()
+        return settled(systemwide.evaluated(kept, self.table.filter(F.col("scenario") == "Current"), self.known, CLOSE_M), "base")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return systemwide.with_differences(self.base, self.table, self.touched, "Current", self.known, CLOSE_M).cache()
 
     @cached_property
     def moves(self) -> DataFrame:
@@ -128,6 +147,7 @@ class Model:
         for value in vars(self).values():
             if isinstance(value, DataFrame):
                 value.unpersist()
+                discard(value)
 
 
 _latest: dict[tuple, Model] = {}

@@ -74,6 +74,8 @@ marked AS (
 stand AS (SELECT * FROM marked QUALIFY serves OR NOT bool_or(serves) OVER (PARTITION BY scenario, complex_id)),
 reach AS (SELECT a.scenario, a.complex_id, unnest(b.routes) AS route, {_DIST.format(a="a", b="b")} AS dist_m, a.point, b.platform_id AS platform, b.complex_id AS to_complex FROM stand a JOIN pr b ON a.scenario = b.scenario),
 near AS (SELECT * FROM reach QUALIFY row_number() OVER (PARTITION BY scenario, complex_id, route ORDER BY dist_m, point, platform) = 1),
+nd AS (SELECT complex_id, route FROM near GROUP BY 1, 2 HAVING count(*) < 2 OR count(DISTINCT (dist_m, point, platform, to_complex)) > 1),
+es AS (SELECT a.complex_id, a.station <> b.station OR a.routes <> b.routes AS moved FROM ends a JOIN ends b USING (complex_id) WHERE a.scenario = 'Swap' AND b.scenario = 'Current'),
 scope AS (SELECT DISTINCT complex_id FROM sr WHERE len(routes) > 0),
 base AS (
   SELECT o.scenario, p.origin_id, p.dest_id, p.ridership, o.station AS o_station, o.routes AS o_routes, d.station AS d_station, d.routes AS d_routes,
@@ -190,6 +192,10 @@ FROM ends JOIN (SELECT complex_id, station AS was, routes AS had FROM ends WHERE
     "nearest_platform": "SELECT scenario, complex_id, route, round(dist_m, 3) AS dist_m, platform AS platform_id, to_complex FROM near",
     "shortest_walk": "SELECT r.scenario, origin_id, dest_id, coalesce(round(dist_m, 3), -1) AS dist_m, coalesce(at_origin, FALSE) AS at_origin, close, e.station AS walk_station FROM rows r LEFT JOIN ends e ON e.scenario = r.scenario AND e.complex_id = r.to_complex WHERE NOT one_seat",
     "outcomes": f"SELECT scenario, both_ends, outcome, count(*) AS pairs, {_avg('sum(ridership)')} AS riders FROM rows GROUP BY 1, 2, 3",
+    "evaluated_pairs": """SELECT scenario, evaluated, count(*) AS pairs FROM (
+  SELECT r.scenario, r.scenario = 'Current' OR o.moved OR d.moved
+    OR EXISTS (SELECT 1 FROM nd WHERE nd.complex_id = origin_id AND list_contains(r.d_routes, route)) OR EXISTS (SELECT 1 FROM nd WHERE nd.complex_id = dest_id AND list_contains(r.o_routes, route)) AS evaluated
+  FROM rows r JOIN es o ON o.complex_id = origin_id JOIN es d ON d.complex_id = dest_id) GROUP BY 1, 2""",
     "rider_stats_both_ends": f"SELECT scenario, {_STATS} FROM both_rows GROUP BY 1",
     "rider_stats_either_end": f"SELECT scenario, {_STATS} FROM rows GROUP BY 1",
     "symmetric_pairs": f"""SELECT scenario, origin_id, dest_id, {_avg('ridership')} AS forward, {_avg('total - ridership')} AS reverse, {_avg('total')} AS riders, outcome

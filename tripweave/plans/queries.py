@@ -151,6 +151,11 @@ def outcomes(m: Model) -> DataFrame:
     return m.rows.groupBy("scenario", "both_ends", outcome(F.col("one_seat"), F.col("close")).alias("outcome")).agg(F.count(F.lit(1)).alias("pairs"), pairs.average(F.sum("ridership"), m.n_days).alias("riders"))
 
 
+def evaluated_pairs(m: Model) -> DataFrame:
+    """How many pairs a scenario had to be worked out for; the others take today's outcome."""
+    return m.rows.groupBy("scenario", "evaluated").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def rider_stats_both_ends(m: Model) -> DataFrame:
     return systemwide.rider_stats(m.rows.filter("both_ends"), m.n_days)
 
@@ -222,7 +227,7 @@ def corridor_swap_comparison(m: Model) -> DataFrame:
 QUERIES: tuple[Callable[[Model], DataFrame], ...] = (
     ingest_normalize, day_coverage, od_pairs, od_pairs_scoped, od_pairs_origin_semi, region_cbd_quadrants, region_borough_quadrants, region_bbox_quadrants,
     regional_top_pairs, route_sets, platform_narrowed_name, walk_points, scenario_routes, scenario_product, one_seat_systemwide, nearest_platform, shortest_walk,
-    outcomes, rider_stats_both_ends, rider_stats_either_end, symmetric_pairs, origin_stats, destination_stats, transition_matrix, gained_lost_net,
+    outcomes, evaluated_pairs, rider_stats_both_ends, rider_stats_either_end, symmetric_pairs, origin_stats, destination_stats, transition_matrix, gained_lost_net,
     changed_pairs_topk, station_changes, boundary_scope, express_partners, effective_origin_routes, one_seat_boundary, walk_boundary, boundary_dest_stats,
     boundary_origin_stats, corridor_swap_comparison, station_lookup, scenario_moves, abbreviated_names, month_labels, changed_stations, off_corridors,
 )
