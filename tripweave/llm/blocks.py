@@ -20,24 +20,58 @@ from .common import POWERS, discard, mix, partitions, spread_join, stored, unpac
 
 #: Places, about, of a part of a block.
 PART = 4096
+#: A loop repeats words up to so many words on, and so often at least.
+PERIOD, LOOP = 14, 256
+#: Bytes, about, of the contexts that go on at a time.
+CONTEXTS = 16 << 20
+_PLACE = ["row", "key", "lo", "at", "hi"]
 #: Word hashes of a text to the keys of its places, the first and one past the last word of their contexts, and where the key's words start.
 Places = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]
 
 
+def loops(words: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+    """Stretches (start, end, period) of a text in which every word stands again ``period`` words on, LOOP times or more one after the other.
+
+    Short periods only, which would make places of most words of a text.
+    """
+    found: list[tuple[int, int, int]] = []
+    for period in range(1, PERIOD + 1):
+        if len(words) < LOOP + period:
+            break
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], words[period:] == words[:-period], [False])).astype(np.int8)))
+        for a, z in zip(edges[::2].tolist(), (edges[1::2] + period).tolist()):
+            if z - period - a < LOOP or any(s <= a and z <= e for s, e, _ in found):
+                continue
+            own = [data[i:j] for i, j in zip(starts[a:z].tolist(), ends[a:z].tolist())]
+            if own[period:] == own[:-period]:  # not by hashes alone
+                found.append((a, z, period))
+    return found
+
+
 def _places(found: Places):
+    """The places of each text; of a loop only those with words of its first period, or from outside it, and the loop itself: no key, ``at`` its period."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         unpack = unpacker()
         for batch in batches:
-            parts = []
+            parts, again = [], []
             for row, z in zip(batch["row"].to_pylist(), batch["z"].to_pylist()):
-                if (got := found(words_of(unpack(z))[0])) is not None:
-                    parts.append((np.full(len(got[0]), row), *got))
+                words, starts, ends = words_of(data := unpack(z))
+                if (got := found(words)) is not None:
+                    inside = np.zeros(len(got[0]), bool)
+                    for a, b, period in loops(words, data, starts, ends):
+                        inside |= (got[1] >= a + period) & (got[3] <= b)
+                        again.append((row, a, period, b))
+                    parts.append((np.full(len(got[0]), row)[~inside], *(x[~inside] for x in got)))
             if parts:
                 row, key, lo, at, hi = (np.concatenate(x) for x in zip(*parts))
                 numbers = [pa.array(x.astype(np.int32)) for x in (lo, at, hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(key.view(np.int64)), *numbers], ["row", "key", "lo", "at", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(key.view(np.int64)), *numbers], _PLACE)
+            if again:
+                row, *numbers = np.array(again, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), *(pa.array(x.astype(np.int32)) for x in numbers)], _PLACE)
 
     return run
 
@@ -57,25 +91,40 @@ def _contexts(batches: Iterator) -> Iterator:
         ends = ends - ends[0]
         place = batch["places"].flatten()
         lo, hi = (place.field(c).to_numpy() for c in ("lo", "hi"))
-        words = []
+        of, words, held, begun = [], [], 0, 0
+        names = ["key", "part", "split", "lo", "at", "hi"]
+
+        def contexts(upto: int):
+            own, rows = place.slice(begun, upto - begun), pa.array(of, pa.int64())
+            return pa.RecordBatch.from_arrays([*(own.field(c) for c in names), batch["row"].take(rows), batch["k"].take(rows), pa.array(words, pa.binary())], [*names, "row", "k", "words"])
+
         for i, z in enumerate(batch["z"].to_pylist()):
             text = b" ".join(unpack(z).split())
             starts = word_starts(text)
-            own = slice(ends[i], ends[i + 1])
-            words += [text[a:b] for a, b in zip(starts[lo[own]].tolist(), (starts[hi[own]] - 1).tolist())]
-        of = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-        names = ["key", "part", "split", "lo", "at", "hi"]
-        yield pa.RecordBatch.from_arrays([*(place.field(c) for c in names), batch["row"].take(pa.array(of)), batch["k"].take(pa.array(of)), pa.array(words, pa.binary())], [*names, "row", "k", "words"])
+            for n in range(ends[i], ends[i + 1]):
+                words.append(text[starts[lo[n]] : starts[hi[n]] - 1])
+                of.append(i)
+                held += len(words[-1])
+                if held > CONTEXTS:
+                    yield contexts(n + 1)
+                    of, words, held, begun = [], [], 0, n + 1
+        yield contexts(len(place))
+
 
+def blocks(rows: DataFrame, found: Places, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """The shared places of all blocks, and the loops (row, k, start, period, end) of the texts, in which every window stands again a period on.
 
-def blocks(rows: DataFrame, found: Places, part: int = PART) -> DataFrame:
-    """key, part, split, lo, at, hi, row, k, words: shared places of :func:`document_rows`, each part in one partition, sorted.
+    The first has key, part, split, lo, at, hi, row, k, words: shared places of :func:`document_rows`, each part in one partition, sorted.
 
     Within a part places are in the order of the ids (null last), then of
-    ``at``. ``split`` says that a block has several parts.
+    ``at``. ``split`` says that a block has several parts. A text that repeats
+    a few words on and on has few places, however long it is: those of a loop
+    stand for all that follow.
     """
     spark = rows.sparkSession
-    places = stored(rows.mapInArrow(_places(found), "row long, key long, lo int, at int, hi int"), "places")
+    every = stored(rows.mapInArrow(_places(found), "row long, key long, lo int, at int, hi int"), "places")
+    places = every.filter("key IS NOT NULL")
+    again = stored(every.filter("key IS NULL").join(rows.select("row", "k"), "row").select("row", "k", F.col("lo").alias("start"), F.col("at").alias("period"), F.col("hi").alias("end")), "loops")
     often = stored(places.groupBy("key").count().filter("count > 1"), "shared-keys")
     met = spread_join(places, often, ["key"], often, "row", part)
     parts = F.ceil(F.col("count") / part).cast("int")
@@ -85,10 +134,10 @@ def blocks(rows: DataFrame, found: Places, part: int = PART) -> DataFrame:
         .groupBy("row").agg(F.collect_list("place").alias("places")),
         "shared-places",
     )
-    discard(places)
+    discard(every)
     discard(often)
     contexts = rows.join(listed, "row").select("row", "k", "z", "places").mapInArrow(_contexts, "key long, part int, split boolean, lo int, at int, hi int, row long, k long, words binary")
-    return contexts.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", F.col("k").asc_nulls_last(), "at")
+    return contexts.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", F.col("k").asc_nulls_last(), "at"), again
 
 
 class Known(dict):

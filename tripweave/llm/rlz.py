@@ -139,14 +139,17 @@ def _parse(window: int, anchor: int):
 
 def factors(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, part: int = PART) -> DataFrame:
     """row, start, end, source_id, source_start (words) of the factors of every document of :func:`document_rows`; they may overlap."""
-    found = stored(blocks(rows, phrases(window, anchor), part).mapInArrow(_parse(window, anchor), _FACTORS), "factors")
+    shared, looped = blocks(rows, phrases(window, anchor), part)
+    found = stored(shared.mapInArrow(_parse(window, anchor), _FACTORS), "factors")
     names = ["row", "start", "end", "source_id", "source_start"]
     # Split blocks: windows that are new in their part meet those of the other parts.
     opened = found.filter("code IS NOT NULL").withColumn("place", F.struct(F.col("k").isNull().alias("no"), "k", "start"))
     firsts = stored(opened.groupBy("code").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("count")).filter("first < last"), "first-windows")
     met = spread_join(opened.select("code", "row", "start", "end", "place"), firsts.drop("count"), ["code"], firsts.select("code", "count"), "row", part)
     late = met.filter(F.col("place") > F.col("first")).select("row", "start", "end", F.col("first.k").alias("source_id"), F.col("first.start").alias("source_start"))
-    return found.filter("code IS NULL").select(*names).unionAll(late)
+    # a loop is one factor: its source is the text itself, a period before
+    own = looped.filter(F.col("end") - F.col("start") - F.col("period") >= window).select("row", (F.col("start") + F.col("period")).cast("int").alias("start"), "end", F.col("k").alias("source_id"), F.col("start").alias("source_start"))
+    return found.filter("code IS NULL").select(*names).unionAll(late).unionAll(own)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
