@@ -9,7 +9,8 @@ from tripweave import cli
 from tripweave.functions import names, routes
 from tripweave.operators import boundary, pairs, regional, systemwide, walks
 from tripweave.sources import ridership, scenarios
-from tripweave.streaming.pairs import running_pairs
+from tripweave.streaming import pairs as streamed
+from tripweave.streaming.pairs import current_pairs, running_pairs
 
 HEAD = "Year,Month,Day of Week,Hour of Day,Origin Station Complex ID,Destination Station Complex ID,Estimated Average Ridership"
 
@@ -247,10 +248,37 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "year int, month int, day_of_week string, hour int, origin_id int, dest_id int, ridership decimal(9,4)"
     trips = spark.createDataFrame([(2025, 1, d, 1, o, 2, Decimal(o)) for d in ("Monday", "Sunday") for o in (1, 2, 1)], schema)
     trips.repartition(3).write.parquet(str(tmp_path / "in"))
-    q = running_pairs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), pairs.WEEKDAYS, str(tmp_path / "out"), str(tmp_path / "c"))
-    q.awaitTermination()
+    out = str(tmp_path / "out")
+    stream = lambda: running_pairs(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), pairs.WEEKDAYS, out, str(tmp_path / "c"))
+    stream().awaitTermination()
     order = lambda df: sorted(tuple(r) for r in df.collect())
-    assert order(spark.read.parquet(str(tmp_path / "out"))) == order(pairs.pair_sums(trips, pairs.WEEKDAYS))
+    assert order(current_pairs(spark, out)) == order(pairs.pair_sums(trips, pairs.WEEKDAYS))
+    trips.filter("origin_id = 1").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream().awaitTermination()  # goes on where it was
+    assert order(current_pairs(spark, out)) == order(pairs.pair_sums(trips.unionAll(trips.filter("origin_id = 1")), pairs.WEEKDAYS))
+
+
+def test_versions_are_whole_and_batches_count_once(spark, tmp_path, monkeypatch):
+    out, order = str(tmp_path / "out"), lambda df: sorted((r.origin_id, r.dest_id, int(r.ridership)) for r in df.collect())
+    changes = lambda *rows: spark.createDataFrame(rows, "origin_id int, dest_id int, ridership long")
+    assert current_pairs(spark, out).count() == 0
+    first = [(i, j, 1) for i in range(6) for j in range(6)]
+    streamed.merged(changes(*first), 0, out, 4)
+    reader = current_pairs(spark, out)
+    with monkeypatch.context() as m:  # the driver dies before the manifest is there
+        m.setattr(streamed, "published", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            streamed.merged(changes((0, 0, 9), (7, 7, 9)), 1, out, 4)
+    assert order(reader) == order(current_pairs(spark, out)) == first  # neither sees half of a version
+    streamed.merged(changes((0, 0, 5), (7, 7, 2)), 1, out, 4)  # the batch is run again
+    want = sorted([(0, 0, 5), *first[1:], (7, 7, 2)])
+    assert order(current_pairs(spark, out)) == want and order(reader) == first
+    streamed.merged(changes((0, 0, 100)), 1, out, 4)  # a batch that is there counts once
+    assert order(current_pairs(spark, out)) == want
+    for batch in range(2, 7):
+        streamed.merged(changes((5, 5, batch)), batch, out, 4)
+    assert dict(((o, d), r) for o, d, r in order(current_pairs(spark, out)))[5, 5] == 6
+    assert len(streamed.versions(spark, out)) == streamed.KEPT and {n for v in streamed.versions(spark, out) for n in streamed.folders(spark, out, v).values()} == {p.name for p in (tmp_path / "out").glob("batch=*")}
 
 
 def test_fetch_keeps_what_is_there(files):
