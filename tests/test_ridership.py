@@ -281,6 +281,59 @@ def test_versions_are_whole_and_batches_count_once(spark, tmp_path, monkeypatch)
     assert len(streamed.versions(spark, out)) == streamed.KEPT and {n for v in streamed.versions(spark, out) for n in streamed.folders(spark, out, v).values()} == {p.name for p in (tmp_path / "out").glob("batch=*")}
 
 
+def test_structs_are_flattened_into_one_file(spark, tmp_path):
+    from tripweave.plans.reports import csv_of, flattened
+
+    df = spark.createDataFrame([(1, ((2, ["a", "b"]), None), 'say "x", y'), (3, None, "")], "a int, b struct<c:struct<d:int,e:array<string>>,f:string>, g string")
+    assert flattened(df).columns == ["a", "b_c_d", "b_c_e", "b_f", "g"]
+    out = tmp_path / "rows.csv"
+    for _ in range(2):  # the second takes the first one's place
+        csv_of(df.repartition(2), str(out))
+        assert out.is_file() and {p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")} == {"rows.csv"}
+    lines = out.read_text().splitlines()
+    assert lines[0] == "a,b_c_d,b_c_e,b_f,g" and sorted(lines[1:])[0] == '1,2,"a,b",,"say ""x"", y"' and len(lines) == 3
+    with pytest.raises(ValueError, match="clash"):
+        flattened(spark.createDataFrame([(1, (2,))], "a_b int, a struct<b:int>"))
+
+
+def test_summary_and_coverage_are_observed_by_the_scan_itself(spark, tmp_path):
+    schema = "year int, month int, day_of_week string, hour int, origin_id int, dest_id int, ridership decimal(9,4)"
+    trips = spark.createDataFrame([(2024 + i % 2, 1 + i % 12, ("Monday", "Sunday")[i % 3 % 2], i % 24, i % 7, i % 5, Decimal(i)) for i in range(500)], schema).repartition(5)
+    out = str(tmp_path / "t")
+    assert ridership.write_ridership(trips, out, partitions=3) == ridership.summary(spark.read.parquet(out)) == (500, 202401, 202512)
+    table = spark.read.parquet(out)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("observed"))
+    spark.sparkContext.setJobGroup("observed", "")
+    sums, cover = pairs.counted_pairs(table, pairs.WEEKDAYS)
+    spark.sparkContext.setJobGroup("other", "")
+    assert cover == pairs.coverage(table, pairs.WEEKDAYS) and 0 < jobs() <= 3
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, pairs.pair_sums(table, pairs.WEEKDAYS).collect()))
+    with pytest.raises(pairs.DayFilterError):
+        pairs.counted_pairs(table, ("Friday",))
+
+
+def test_row_groups_of_other_stations_are_skipped(spark, tmp_path):
+    """Row groups that the table's order and statistics rule out are never read."""
+    from pyspark.sql import functions as F
+
+    trips = spark.range(60_000).select(
+        F.lit(2025).alias("year"), F.lit(1).alias("month"), F.lit("Monday").alias("day_of_week"), (F.col("id") % 24).cast("int").alias("hour"),
+        (F.col("id") % 300 * 2).cast("int").alias("origin_id"), (F.col("id") % 301).cast("int").alias("dest_id"), F.lit(1).cast("decimal(9,4)").alias("ridership"),
+    )
+    out = str(tmp_path / "t")
+    ridership.write_ridership(trips, out, partitions=6)
+
+    def read(condition) -> int:
+        df = spark.read.parquet(out).filter(condition)
+        df.collect()
+        scans = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return scans.apply(0).metrics().apply("numOutputRows").value()
+
+    everything, one = read("origin_id >= 0"), read("origin_id = 150")
+    assert everything == 60_000 and 200 <= one <= 60_000 / 5
+    assert read("origin_id = 151") == 0  # within a group's range, but not in its bloom filter or dictionary
+
+
 def test_fetch_keeps_what_is_there(files):
     from tripweave.sources.fetch import fetch_csv
 

@@ -97,8 +97,7 @@ def prepared(spark: SparkSession, args: argparse.Namespace) -> Said:
             said.append(f"{args.out} is there already; use --force to write it anew")
         else:
             raw = ridership.read_csv_files(spark, args.csv + args.more_csv or [CSV_PATTERN])
-            ridership.write_ridership(ridership.normalised(raw, args.ridership_decimals), args.out, True)
-            found = ridership.summary(spark.read.parquet(args.out))
+            found = ridership.write_ridership(ridership.normalised(raw, args.ridership_decimals), args.out, True)
             said.append(f"wrote {args.out}: {found.rows:,} rows, {found.first_month} to {found.last_month}")
     return Said("\n".join(said))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.settled import settled
+
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
 DAY_TYPES: dict[str, tuple[str, ...] | None] = {"weekday": WEEKDAYS, "saturday": ("Saturday",), "sunday": ("Sunday",), "all": None}
 
@@ -59,6 +61,17 @@ def pair_sums(trips: DataFrame, days: tuple[str, ...] | None, scope: Column | No
     return kept.groupBy("origin_id", "dest_id").agg(F.sum("ridership").alias("ridership"))
 
 
+def counted_pairs(trips: DataFrame, days: tuple[str, ...] | None, name: str = "pairs") -> tuple[DataFrame, DayCoverage]:
+    """:func:`pair_sums` of all stations, written out, and the coverage, which the same scan observes: a group of year, month and day is one number, of which there are few."""
+    seen, month = Observation(), F.col("year") * 100 + F.col("month")
+    observed = trips.filter(day_filter(days)).observe(seen, F.collect_set(F.concat_ws(" ", month, "day_of_week")).alias("groups"), F.min(month).alias("first"), F.max(month).alias("last"))
+    sums = settled(pair_sums(observed, None), name)
+    if sums.isEmpty():  # nothing is observed of a plan that turns out empty
+        raise DayFilterError(f"no day matches the filter {list(days or ())}")
+    found = seen.get
+    return sums, DayCoverage(len(found["groups"]), found["first"], found["last"])
+
+
 def origin_in(ids: list[int]) -> Column:
     return F.col("origin_id").isin(*ids) if ids else F.lit(False)
 

@@ -111,6 +111,13 @@ def one_seat_rides(
     return Analysis(reports.document(f"One Seat Rides at {spot.name} ({','.join(sorted(j.universe))})", intro, command, parts), csv, summary)
 
 
+def nested_rows(rows: DataFrame) -> DataFrame:
+    """What the analysis gives of each pair under each scenario: its ends and the walk as structs. ``rows`` has riders and the walk's station beside what :func:`systemwide.evaluated` gives."""
+    end = lambda p: F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_station").alias("station"), F.col(f"{p}_routes").alias("routes"))
+    walk = F.struct(F.col("close"), F.coalesce("walk.dist_m", F.lit(0.0)).alias("dist_m"), F.col("walk_station").alias("station"), F.coalesce("walk.at_origin", F.lit(False)).alias("at_origin"))
+    return rows.select("scenario", end("origin").alias("origin"), end("dest").alias("destination"), "riders", "both_ends", "one_seat", walk.alias("walk"))
+
+
 def deinterlining(
     trips: DataFrame, complexes: DataFrame, platforms: DataFrame, compared: list[files.Scenario],
     days: tuple[str, ...] | None, label: str, command: str, close_m: float = systemwide.CLOSE_M, top_n: int = 25,
@@ -163,10 +170,7 @@ def deinterlining(
             part += reports.transitions([c for c in cells if c.scenario == name], gains.get(name), [c for c in top_changes if c.scenario == name], stations_moved, names[0], total)
         part += reports.scenario_tables(reports.largest(of(folded), top_n, F.desc("riders"), "origin_id", "dest_id"), *(reports.largest(of(s), top_n, F.desc("total"), "complex_id") for s in (origin, dest)), total)
         parts.append(part)
-    flat = full.select(
-        "scenario", "origin_id", "origin_station", "origin_routes", F.col("dest_id").alias("destination_id"), F.col("dest_station").alias("destination_station"), F.col("dest_routes").alias("destination_routes"), "riders", "both_ends", "one_seat",
-        F.col("close").alias("walk_close"), F.coalesce("dist_m", F.lit(0.0)).alias("walk_dist_m"), "walk_station", F.coalesce("at_origin", F.lit(False)).alias("walk_at_origin"),
-    )
+    flat = nested_rows(full)
     ordered = {title: [by_name(stats)[s] for s in names] for title, stats in zip(titles, (both, wider))}
     summary = reports.levels_summary(ordered, (gains[s] for s in names if s in gains), names[0])
     intro = f"Average {label} ridership ({n} distinct days in the data, {cover.label()}) over every station pair with an end served by {listed} under any scenario."

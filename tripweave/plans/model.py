@@ -44,15 +44,19 @@ class Model:
     def points(self) -> DataFrame:
         return walks.walk_points(self.complexes, self.platforms).cache()
 
+    @cached_property
+    def counted(self) -> tuple[DataFrame, pairs.DayCoverage]:
+        """The pairs and the days, from one scan of the trips."""
+        return pairs.counted_pairs(self.trips, pairs.WEEKDAYS)
+
     @cached_property
     def n_days(self) -> int:
-        return pairs.coverage(self.trips, pairs.WEEKDAYS).n_days
+        return self.counted[1].n_days
 
     @cached_property
     def pairs(self) -> DataFrame:
-        found = pairs.pair_sums(self.trips, pairs.WEEKDAYS).cache()
-        pairs.check_ends(found, self.complexes)
-        return found
+        pairs.check_ends(self.counted[0], self.complexes)
+        return self.counted[0]
 
     @cached_property
     def scenarios(self) -> DataFrame:

@@ -191,6 +191,9 @@ FROM ends JOIN (SELECT complex_id, station AS was, routes AS had FROM ends WHERE
     "one_seat_systemwide": "SELECT scenario, origin_id, dest_id, both_ends, one_seat FROM rows",
     "nearest_platform": "SELECT scenario, complex_id, route, round(dist_m, 3) AS dist_m, platform AS platform_id, to_complex FROM near",
     "shortest_walk": "SELECT r.scenario, origin_id, dest_id, coalesce(round(dist_m, 3), -1) AS dist_m, coalesce(at_origin, FALSE) AS at_origin, close, e.station AS walk_station FROM rows r LEFT JOIN ends e ON e.scenario = r.scenario AND e.complex_id = r.to_complex WHERE NOT one_seat",
+    "report_rows": f"""SELECT r.scenario, origin_id, o_station AS origin_station, {_list('o_routes')} AS origin_routes, dest_id AS destination_id, d_station AS destination_station, {_list('d_routes')} AS destination_routes,
+  {_avg('ridership')} AS riders, both_ends, one_seat, close AS walk_close, CASE WHEN one_seat THEN 0 ELSE coalesce(round(dist_m, 3), 0) END AS walk_dist_m, CASE WHEN NOT one_seat THEN e.station END AS walk_station, NOT one_seat AND coalesce(at_origin, FALSE) AS walk_at_origin
+FROM rows r LEFT JOIN ends e ON e.scenario = r.scenario AND e.complex_id = r.to_complex""",
     "outcomes": f"SELECT scenario, both_ends, outcome, count(*) AS pairs, {_avg('sum(ridership)')} AS riders FROM rows GROUP BY 1, 2, 3",
     "evaluated_pairs": """SELECT scenario, evaluated, count(*) AS pairs FROM (
   SELECT r.scenario, r.scenario = 'Current' OR o.moved OR d.moved

@@ -13,7 +13,9 @@ from ..functions.names import abbreviated, month_label, outcome, slug
 from ..functions.routes import literal_set
 from ..operators import boundary, pairs, regional, systemwide
 from ..sources import ridership, scenarios
+from .analyses import nested_rows
 from .model import TRUNK_A, UNIVERSE, Model, model
+from .reports import flattened
 
 Query = Callable[[SparkSession, str], DataFrame]
 BOROUGHS = ["ASIA", "EUROPE"]
@@ -147,6 +149,12 @@ def shortest_walk(m: Model) -> DataFrame:
     return rows.select("scenario", "origin_id", "dest_id", F.coalesce(F.round("walk.dist_m", 3), F.lit(-1.0)).alias("dist_m"), F.coalesce("walk.at_origin", F.lit(False)).alias("at_origin"), "close", "walk_station")
 
 
+def report_rows(m: Model) -> DataFrame:
+    """The rows that the systemwide analysis writes as CSV, structs flattened."""
+    full = systemwide.with_walk_station(m.rows, m.ends).withColumn("riders", pairs.average(F.col("ridership"), m.n_days))
+    return flattened(nested_rows(full)).withColumn("walk_dist_m", F.round("walk_dist_m", 3))
+
+
 def outcomes(m: Model) -> DataFrame:
     return m.rows.groupBy("scenario", "both_ends", outcome(F.col("one_seat"), F.col("close")).alias("outcome")).agg(F.count(F.lit(1)).alias("pairs"), pairs.average(F.sum("ridership"), m.n_days).alias("riders"))
 
@@ -227,7 +235,7 @@ def corridor_swap_comparison(m: Model) -> DataFrame:
 QUERIES: tuple[Callable[[Model], DataFrame], ...] = (
     ingest_normalize, day_coverage, od_pairs, od_pairs_scoped, od_pairs_origin_semi, region_cbd_quadrants, region_borough_quadrants, region_bbox_quadrants,
     regional_top_pairs, route_sets, platform_narrowed_name, walk_points, scenario_routes, scenario_product, one_seat_systemwide, nearest_platform, shortest_walk,
-    outcomes, evaluated_pairs, rider_stats_both_ends, rider_stats_either_end, symmetric_pairs, origin_stats, destination_stats, transition_matrix, gained_lost_net,
+    report_rows, outcomes, evaluated_pairs, rider_stats_both_ends, rider_stats_either_end, symmetric_pairs, origin_stats, destination_stats, transition_matrix, gained_lost_net,
     changed_pairs_topk, station_changes, boundary_scope, express_partners, effective_origin_routes, one_seat_boundary, walk_boundary, boundary_dest_stats,
     boundary_origin_stats, corridor_swap_comparison, station_lookup, scenario_moves, abbreviated_names, month_labels, changed_stations, off_corridors,
 )

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.systemwide import OUTCOMES
+from ..sources.files import delete, moved, names_in
 
 #: Titles that readers of these reports look for.
 HEADLINE, COMPARISON, NOTES = "Headline Numbers", "Scenario Comparison", "Notes on Reading These Tables"
@@ -218,7 +220,30 @@ def largest(df: DataFrame, n: int, *order) -> list[Row]:
     return df.orderBy(*order).limit(n).collect()
 
 
+def flattened(df: DataFrame) -> DataFrame:
+    """Fields of structs, however deep, as columns of their own with the names of what they are in before theirs; arrays as comma-separated text."""
+
+    def columns(fields, inside: Column | None, prefix: str) -> list[Column]:
+        out = []
+        for f in fields:
+            here = F.col(f"`{f.name}`") if inside is None else inside.getField(f.name)
+            if isinstance(f.dataType, T.StructType):
+                out += columns(f.dataType, here, f"{prefix}{f.name}_")
+            else:
+                out.append((F.array_join(here.cast("array<string>"), ",") if isinstance(f.dataType, T.ArrayType) else here).alias(prefix + f.name))
+        return out
+
+    chosen = columns(df.schema, None, "")
+    flat = df.select(*chosen)
+    if len(set(flat.columns)) < len(flat.columns):
+        raise ValueError(f"columns clash once structs are flattened: {flat.columns}")
+    return flat
+
+
 def csv_of(df: DataFrame, path: str) -> None:
-    """All rows as CSV files with a header, written by the executors; arrays as comma-separated text."""
-    flat = df.select(*[F.array_join(f.name, ",").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema])
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    """All rows as one CSV file with a header: an executor writes it beside ``path``, then it is moved there."""
+    spark, draft = df.sparkSession, f"{path}.parts"
+    flattened(df).repartition(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(draft)
+    part = next(n for n in names_in(spark, draft) if n.startswith("part-"))
+    moved(spark, f"{draft}/{part}", path)
+    delete(spark, draft)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,24 +89,30 @@ def is_there(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def write_ridership(df: DataFrame, path: str, force: bool = False, partitions: int | None = None) -> bool:
+def write_ridership(df: DataFrame, path: str, force: bool = False, partitions: int | None = None) -> Summary | None:
     """Write the table sorted by station pair, so that readers skip row groups; leave an existing one unless forced.
 
-    Returns whether it was written.
+    Returns its summary, which the write itself observes, or None if it was
+    left. Bloom filters on the stations let readers skip row groups whose range
+    holds an id that none of their rows has.
     """
     if not force and is_there(df.sparkSession, path):
-        return False
+        return None
+    seen, month = Observation(), F.col("year") * 100 + F.col("month")
     order = ["origin_id", "dest_id", "day_of_week", "hour"]
     placed = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     (
         placed.sortWithinPartitions(*order)
+        .observe(seen, F.count(F.lit(1)).alias("rows"), F.min(month).alias("first"), F.max(month).alias("last"))
         .write.mode("overwrite")
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "3")
         .option("parquet.writer.version", "v2")
+        .option("parquet.bloom.filter.enabled#origin_id", "true")
+        .option("parquet.bloom.filter.enabled#dest_id", "true")
         .parquet(path)
     )
-    return True
+    return Summary(*(seen.get[k] for k in ("rows", "first", "last")))
 
 
 def summary(df: DataFrame) -> Summary:
