@@ -3,16 +3,18 @@
 A classifier, trained on a labelled table, gives every document posterior
 probabilities of the domains. Projected gradient descent then finds one rate
 for every document, none negative, such that the expected tokens of the domains
-meet their targets in the least-squares sense. A step needs one aggregate of
-as many numbers as there are domains; a document's rate after all steps is an
-expression of its own posteriors, so rates are never stored between steps.
+meet their targets in the least-squares sense. A document's rate is 1, moved
+along its posteriors and projected back between its bounds, so it is an
+expression of as many multipliers as there are domains, and rates are never
+stored between steps. A step of the multipliers, scaled by the curvature, needs
+one aggregate, and steps go on until the first-order condition holds.
 
 Everything runs as built-in functions; the driver handles the domains' numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 import numpy as np
@@ -26,8 +28,8 @@ from .rules import SPACES
 BUCKETS, SAMPLE_IDS = 4096, 20_000
 #: How far the mean evidence of a word counts: as much for a long text as for a short one, so that mixed texts stay mixed.
 SHARPNESS = 6.0
-#: Steps at most; they end when the targets are met so well, or the squared distance falls by less than this part.
-STEPS, EXACT, STALLED = 40, 1e-6, 1e-3
+#: Weight of changes of rates beside the distance to the targets; part of all tokens by which the first-order condition may be off.
+RIDGE, EXACT = 1e-7, 1e-6
 #: Domains and weights of the query.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
@@ -68,47 +70,77 @@ def with_posteriors(docs: DataFrame, weights: np.ndarray, prior: np.ndarray, tex
     return df.withColumn("posteriors", F.transform("__x", lambda x: x / F.aggregate("__x", F.lit(0.0), lambda a, b: a + b))).drop("__x")
 
 
-def rate(steps: list[np.ndarray], most: float | None = None) -> Column:
-    """A document's rate after the steps: from 1, each moves it along its posteriors and back to 0 if it went below, or to ``most`` if above."""
+def _wanted(multipliers: np.ndarray) -> Column:
+    """What a document's rate would be if it had no bounds: 1, moved along its posteriors."""
+    return F.lit(1.0) - reduce(Column.__add__, [F.col("posteriors")[k] * F.lit(float(v)) for k, v in enumerate(multipliers)])
 
-    def step(x: Column, u: np.ndarray) -> Column:
-        move = reduce(Column.__add__, [F.col("posteriors")[k] * F.lit(float(v)) for k, v in enumerate(u)])
-        moved = F.greatest(F.lit(0.0), x - move)
-        return moved if most is None else F.least(F.lit(float(most)), moved)
 
-    return reduce(step, steps, F.lit(1.0))
+def rate(multipliers: np.ndarray, most: float | None = None) -> Column:
+    """A document's rate: from 1 along its posteriors, and back to 0 if that is below, or to ``most`` if above."""
+    moved = F.greatest(F.lit(0.0), _wanted(multipliers))
+    return moved if most is None else F.least(F.lit(float(most)), moved)
 
 
-def metric(gram: np.ndarray) -> np.ndarray:
-    """The matrix that residuals are measured with: near the inverse of the Gram matrix, for which the unit step is right
-    and few steps are needed, but bounded where memberships hardly tell domains apart."""
-    k = len(gram)
-    return np.linalg.inv(gram + (0.05 * np.trace(gram) / k + 1e-9) * np.eye(k))
+Point = tuple[float, np.ndarray, np.ndarray]
 
 
-def fitted_steps(members: DataFrame, targets: np.ndarray, most: float | None = None) -> list[np.ndarray]:
-    """Steps of projected gradient descent on the squared distance of the domains' expected tokens to ``targets``,
-    until it no longer falls; rates stay within 0 and ``most``."""
+def solved(at: Callable[[np.ndarray], Point], targets: np.ndarray, total: float) -> np.ndarray:
+    """The multipliers whose projected rates meet the first-order condition of the least squares.
+
+    ``at`` gives, for multipliers, half the sum of the squared rates in tokens
+    (linear beyond a bound), the domains' tokens, and the Gram matrix of the
+    rows whose rate is at no bound. With a small weight RIDGE on changes of the
+    rates, which makes them unique, the multipliers are the residuals divided by
+    it, and are the minimum of a convex function whose gradient and curvature
+    these are. Each step is the gradient, scaled by the curvature, and halved
+    until the function falls as it should; steps go on until the condition holds.
+    """
+    k, x = len(targets), np.zeros(len(targets))
+    unit = max(1.0, total)
+    for ridge in (1e-2, 1e-3, 1e-4, 1e-5, 1e-6, RIDGE):  # each starts where the one before ended
+        keep = ridge * unit
+
+        def value(x: np.ndarray, point: Point, keep: float = keep) -> float:
+            return 0.5 * keep * float(x @ x) + point[0] + float(x @ targets)
+
+        here = at(x)
+        while True:
+            slope = keep * x - (here[1] - targets)
+            if np.abs(slope).max() <= EXACT * unit:
+                break
+            step = -np.linalg.solve(here[2] + keep * np.eye(k), slope)
+            part, now = 1.0, value(x, here)
+            while True:
+                there = at(x + part * step)
+                if value(x + part * step, there) <= now + 1e-4 * part * float(slope @ step):
+                    break
+                part /= 2
+                if part < 1e-12:  # as near as numbers of 64 bits can tell
+                    return x
+            x, here = x + part * step, there
+    return x
+
+
+def fitted(members: DataFrame, targets: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Multipliers for :func:`rate` with which the domains' expected tokens come as near to ``targets`` as rates from 0 to ``most`` allow.
+
+    Each step is one aggregate over ``members`` (tokens, posteriors), of a few numbers a pair of domains.
+    """
     k = len(targets)
-    p = [F.col("posteriors")[i] for i in range(k)]
-    t = F.col("tokens").cast("double")
+    p, t = [F.col("posteriors")[i] for i in range(k)], F.col("tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = members.agg(*[F.coalesce(F.sum(t * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
-    gram = np.zeros((k, k))
-    for (i, j), v in zip(pairs, sums):
-        gram[i, j] = gram[j, i] = v
-    inverse = metric(gram)
-    steps: list[np.ndarray] = []
-    last = np.inf
-    while len(steps) < STEPS:
-        reached = np.array(members.agg(*[F.coalesce(F.sum(t * rate(steps, most) * q), F.lit(0.0)) for q in p]).first(), float)
-        off = reached - targets
-        distance = float(off @ inverse @ off)
-        if np.abs(off).max() <= EXACT * max(1.0, float(targets.sum())) or distance > (1 - STALLED) * last:
-            break
-        last = distance
-        steps.append(inverse @ off)
-    return steps
+    total = lambda c: F.coalesce(F.sum(t * c), F.lit(0.0))
+
+    def at(x: np.ndarray) -> Point:
+        free, bound = _wanted(x), rate(x, most)
+        inside = F.when((free > 0) & (F.lit(True) if most is None else free < most), 1.0).otherwise(0.0)
+        first, *rest = members.agg(total(bound * (free - bound / 2)), *[total(bound * q) for q in p], *[total(inside * p[i] * p[j]) for i, j in pairs]).first()
+        gram = np.zeros((k, k))
+        for (i, j), v in zip(pairs, rest[k:]):
+            gram[i, j] = gram[j, i] = v
+        return float(first), np.array(rest[:k]), gram
+
+    return solved(at, targets, float(targets.sum()))
 
 
 def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], text: str = "text") -> DataFrame:
@@ -133,7 +165,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], te
     members = memberships(docs, labelled, domains, text)
     total = budget if budget is not None else members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = np.array([weights[d] for d in domains], float)
-    return members.withColumn("rate", rate(fitted_steps(members, share / share.sum() * total)))
+    return members.withColumn("rate", rate(fitted(members, share / share.sum() * total)))
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_IDS) -> DataFrame:
@@ -173,6 +205,6 @@ def thinned(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float])
     members = rows.select("tokens", "posteriors")
     total = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = np.array([weights[d] for d in domains], float)
-    steps = fitted_steps(members, share / share.sum() * total, 1.0)
+    multipliers = fitted(members, share / share.sum() * total, 1.0)
     chance = F.pmod(F.xxhash64("__row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(chance < rate(steps, 1.0)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    return rows.filter(chance < rate(multipliers, 1.0)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
