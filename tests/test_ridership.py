@@ -4,6 +4,7 @@ import json
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tripweave import cli
 from tripweave.functions import names, routes
@@ -116,7 +117,7 @@ def test_labels(spark):
     assert evaluate(spark, label(n, s("N"), n, s("B"))) == "8 Av (N→B)" and evaluate(spark, label(n, s("BQ"), n, s("NQ"))) == "8 Av (B→N,Q)"
     assert evaluate(spark, label(n, s("N"), n, s("BN"))) == "8 Av (N→B,N)" and evaluate(spark, label(n, s("N"), n, s("N"))) == "8 Av (N)"
     assert evaluate(spark, label(n, s("N"), F.lit("9 Av"), s("B"))) == "8 Av (N)→9 Av (B)"
-    assert names.slug("A/C CPW  Express!") == "a_c_cpw_express" and names.slug("//") == "scenario"
+    assert evaluate(spark, names.slug(F.lit("A/C CPW  Express!"))) == "a_c_cpw_express" and evaluate(spark, names.slug(F.lit("//"))) == "scenario"
     assert evaluate(spark, names.month_label(F.lit(202503))) == "2025-03"
 
 
@@ -281,6 +282,33 @@ def test_versions_are_whole_and_batches_count_once(spark, tmp_path, monkeypatch)
     assert len(streamed.versions(spark, out)) == streamed.KEPT and {n for v in streamed.versions(spark, out) for n in streamed.folders(spark, out, v).values()} == {p.name for p in (tmp_path / "out").glob("batch=*")}
 
 
+def test_changes_are_checked_and_combined_by_joins(spark):
+    from tripweave.sources import changes
+
+    platforms = spark.createDataFrame(
+        [(1, "72 St", "Broadway", ["A", "B"]), (2, "72 St", "Broadway", ["B"]), (3, "8 Av", "Sea Beach", ["N"]), (3, "8 Av", "West End", ["D"]), (4, "9 Av", "West End", ["D"]), (4, "9 Av (upper)", "West End", ["D", "W"])],
+        "complex_id int, name string, line string, routes array<string>",
+    )
+    columns = "category string, scenario string, line string, station string, route string, sign int"
+    rows = [
+        ("X", "ambiguous", "Broadway", "72 St", "B", -1), ("X", "none", "Broadway", "73 St", "B", 1), ("X", "line", "Sea Beach", "8 Av", "D", -1), ("X", "good", "West End", "8 Av", "D", -1),
+        ("X", "good", "West End", "8 Av", "B", 1), ("Y", "torn", "West End", "9 Av", "D", -1), ("Y", "torn", "West End", "9 Av (upper)", "D", 1), ("Y", "same", "West End", "8 Av", "B", -1),
+    ]
+    wanted = spark.createDataFrame(rows, columns)
+    got = {(r.scenario, r.station, r.fault) for r in changes.faults(wanted, platforms).collect()}
+    assert got == {("ambiguous", "72 St", "ambiguous"), ("none", "73 St", "no station"), ("line", "8 Av", "not served"), ("torn", "9 Av", "both"), ("torn", "9 Av (upper)", "both"), ("same", "8 Av", "not served")}
+    good = wanted.filter("scenario IN ('good', 'same')")
+    both = changes.combinations(good.select("category", "scenario", F.upper("scenario").alias("description")))
+    assert {(r.name, r.description, r.category) for r in both.collect()} == {("Current", "today's routes", "Current"), ("good", "GOOD", "X"), ("same", "SAME", "Y"), ("good + same", "GOOD + SAME", "X + Y")}
+    placed = changes.placed_changes(good, platforms)
+    assert changes.disagreements(placed).count() == 0  # each alone is fine
+    joint = both.select(F.col("name").alias("combination"), F.explode("parts").alias("scenario")).join(placed, "scenario")
+    assert [tuple(r) for r in changes.disagreements(joint, "combination").collect()] == [("good + same", 3, "West End", "B")]
+    moves = {(r.scenario, r.complex_id, r.line): (r["add"], r["remove"]) for r in changes.combined_moves(placed, both.filter("name <> 'good + same'")).collect()}
+    assert moves == {("good", 3, "West End"): (["B"], ["D"]), ("same", 3, "West End"): ([], ["B"])}
+    assert changes.combinations(good.limit(0).select("category", "scenario", F.lit("").alias("description"))).count() == 1
+
+
 def test_structs_are_flattened_into_one_file(spark, tmp_path):
     from tripweave.plans.reports import csv_of, flattened
 

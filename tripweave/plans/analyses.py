@@ -174,4 +174,5 @@ def deinterlining(
     ordered = {title: [by_name(stats)[s] for s in names] for title, stats in zip(titles, (both, wider))}
     summary = reports.levels_summary(ordered, (gains[s] for s in names if s in gains), names[0])
     intro = f"Average {label} ridership ({n} distinct days in the data, {cover.label()}) over every station pair with an end served by {listed} under any scenario."
-    return Analysis(reports.document(f"Deinterlining Scenario Comparison: {listed}", intro, command, parts), {("_" + slug(s) if len(names) > 1 else ""): flat.filter(F.col("scenario") == s).drop("scenario") for s in names}, summary)
+    part_of_name = {r.scenario: r.slug for r in scenarios.select("scenario", slug(F.col("scenario")).alias("slug")).collect()}  # a handful
+    return Analysis(reports.document(f"Deinterlining Scenario Comparison: {listed}", intro, command, parts), {("_" + part_of_name[s] if len(names) > 1 else ""): flat.filter(F.col("scenario") == s).drop("scenario") for s in names}, summary)

@@ -176,9 +176,17 @@ FROM pairs JOIN complexes a ON a.complex_id = origin_id JOIN complexes b ON b.co
     "platform_narrowed_name": f"SELECT scenario, complex_id, station, {_list('routes')} AS routes FROM ends",
     "walk_points": "SELECT complex_id, point, coalesce(platform_id, -1) AS platform_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM points",
     "scenario_routes": f"SELECT scenario, platform_id, complex_id, line, {_list('real_routes')} AS real_routes, {_list('routes')} AS routes FROM pr",
-    "scenario_product": """SELECT coalesce(nullif(concat_ws(' + ', a, b), ''), 'Current') AS name, coalesce(nullif(concat_ws(' + ', a || ' of X', b || ' of Y'), ''), 'today''s routes') AS description,
-  coalesce(nullif(concat_ws(' + ', CASE WHEN a IS NOT NULL THEN 'X' END, CASE WHEN b IS NOT NULL THEN 'Y' END), ''), 'Current') AS category
-FROM (SELECT unnest([NULL, 'Swap']) AS a) CROSS JOIN (SELECT unnest([NULL, 'Shift', 'Drop']) AS b)""",
+    "scenario_product": """SELECT coalesce(nullif(concat_ws(' + ', a.s, b.s), ''), 'Current') AS name, coalesce(nullif(concat_ws(' + ', a.d, b.d), ''), 'today''s routes') AS description,
+  coalesce(nullif(concat_ws(' + ', a.line, b.line), ''), 'Current') AS category
+FROM (SELECT DISTINCT line, r || ' off ' || line AS s, line || ' without ' || r AS d FROM (SELECT line, unnest(routes) AS r FROM platforms WHERE line = 'L1') UNION ALL SELECT NULL, NULL, NULL) a
+CROSS JOIN (SELECT DISTINCT line, r || ' off ' || line AS s, line || ' without ' || r AS d FROM (SELECT line, unnest(routes) AS r FROM platforms WHERE line = 'L2') UNION ALL SELECT NULL, NULL, NULL) b""",
+    "scenario_faults": """SELECT DISTINCT 'No A' AS scenario, w.line, w.station, 'A' AS route, fault FROM (
+  SELECT l AS line, name AS station, bool_or(platform_id % 2 = 1) AS adds FROM platforms, (VALUES ('L1'), ('L2')) v(l) WHERE line = 'L1' GROUP BY 1, 2) w
+LEFT JOIN (SELECT name, line, count(DISTINCT complex_id) AS n, min(complex_id) AS c FROM platforms GROUP BY 1, 2) k ON k.name = w.station AND k.line = w.line
+LEFT JOIN (SELECT complex_id, line, bool_or(list_contains(routes, 'A')) AS has FROM platforms GROUP BY 1, 2) h ON h.complex_id = k.c AND h.line = w.line
+LEFT JOIN (SELECT complex_id, line, bool_or(platform_id % 2 = 1) AS adds FROM platforms WHERE line = 'L1' GROUP BY 1, 2) t ON t.complex_id = k.c AND t.line = w.line
+CROSS JOIN (VALUES ('no station'), ('ambiguous'), ('not served'), ('both')) f(fault)
+WHERE CASE fault WHEN 'no station' THEN n IS NULL WHEN 'ambiguous' THEN n > 1 WHEN 'not served' THEN n = 1 AND NOT coalesce(has, FALSE) ELSE n = 1 AND coalesce(t.adds, FALSE) END""",
     "station_lookup": "SELECT DISTINCT name, line, complex_id FROM platforms",
     "scenario_moves": """SELECT scenario, complex_id, line, won AS add, lost AS remove FROM (
   SELECT DISTINCT complex_id, line, r.lost, r.won, r.scenario FROM platforms p JOIN (VALUES ('L1', 'A', 'C', 'C for A'), ('L1', 'A', 'C', 'C for A + D for B'), ('L2', 'B', 'D', 'D for B'), ('L2', 'B', 'D', 'C for A + D for B')) r(l, lost, won, scenario)

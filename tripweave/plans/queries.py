@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..functions import geo
 from ..functions.names import abbreviated, month_label, outcome, slug
 from ..functions.routes import literal_set
 from ..operators import boundary, pairs, regional, systemwide
-from ..sources import ridership, scenarios
+from ..sources import changes, ridership
 from .analyses import nested_rows
 from .model import TRUNK_A, UNIVERSE, Model, model
 from .reports import flattened
@@ -90,36 +89,42 @@ def scenario_routes(m: Model) -> DataFrame:
 
 
 def scenario_product(m: Model) -> DataFrame:
-    """Every choice of one scenario a category, none among them; only changes are named."""
-    plan = lambda category, *names: [scenarios.Scenario(n, f"{n} of {category}", category, frozenset("AB")) for n in names]
-    found = scenarios.all_combinations({"X": plan("X", "Swap"), "Y": plan("Y", "Shift", "Drop")})
-    return m.spark.createDataFrame([(s.name, s.description, s.category) for s in found], "name string, description string, category string")
+    """Every choice of a route to take off each of two lines, or none."""
+    served = m.platforms.filter(F.col("line").isin("L1", "L2")).select("line", F.explode("routes").alias("route")).distinct()
+    options = served.select(F.col("line").alias("category"), F.concat("route", F.lit(" off "), "line").alias("scenario"), F.concat("line", F.lit(" without "), "route").alias("description"))
+    return changes.combinations(options).drop("parts")
 
 
 def station_lookup(m: Model) -> DataFrame:
-    """What scenario files may call stations: name and line of every platform, and the complexes that they mean."""
-    named = scenarios.StationIndex.of(m.platforms).named
-    return m.spark.createDataFrame([(name, line, c) for (name, line), ids in named.items() for c in ids], "name string, line string, complex_id int")
+    """What scenarios may call stations: name and line of every platform, and the complexes that they mean."""
+    return changes.station_names(m.platforms).withColumnRenamed("station", "name")
 
 
-def scenario_moves(m: Model) -> DataFrame:
-    """A scenario file read, checked and combined: C takes the place of A, and D of B, on two lines wherever these run."""
-    index = scenarios.StationIndex.of(m.platforms)
+def _wanted(m: Model) -> DataFrame:
+    """C takes the place of A, and D of B, on two lines wherever these run."""
+    return changes.union(changes.exchanged(m.platforms, "One", "C for A", "L1", "A", "C"), changes.exchanged(m.platforms, "Two", "D for B", "L2", "B", "D"))
 
-    def entry(name: str, line: str, lost: str, won: str) -> dict:
-        at = sorted(n for (n, x), ids in index.named.items() if x == line and len(ids) == 1 and lost in index.on_line[next(iter(ids)), line])
-        return {"name": name, "routes": sorted(UNIVERSE), "overrides": [{"line": line, "stations": at, "add": [won], "remove": [lost]}] if at else []}
 
-    text = json.dumps({"One": [entry("C for A", "L1", "A", "C")], "Two": [entry("D for B", "L2", "B", "D")]})
-    _, moves = scenarios.frames(m.spark, scenarios.all_combinations(scenarios.chosen(scenarios.load(text, index), ["One", "Two"])))
+def scenario_moves(m: Model) -> DataFrame:
+    """Wanted changes placed, and all combinations of their scenarios."""
+    wanted = _wanted(m)
+    combined = changes.combinations(wanted.select("category", "scenario", F.col("scenario").alias("description")).distinct())
+    moves = changes.combined_moves(changes.placed_changes(wanted, m.platforms), combined)
     return moves.select("scenario", "complex_id", "line", _joined("add").alias("add"), _joined("remove").alias("remove"))
 
 
+def scenario_faults(m: Model) -> DataFrame:
+    """What is wrong with taking A away, and adding it where the platform's number is odd, at every platform of line L1 and the next line."""
+    at = m.platforms.filter(F.col("line") == "L1").withColumn("line", F.explode(F.array(F.lit("L1"), F.lit("L2"))))
+    both = F.explode(F.when(F.col("platform_id") % 2 == 1, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(-1)))).alias("sign")
+    wanted = at.select(F.lit("One").alias("category"), F.lit("No A").alias("scenario"), "line", F.col("name").alias("station"), F.lit("A").alias("route"), both)
+    return changes.faults(wanted, m.platforms)
+
+
 def abbreviated_names(m: Model) -> DataFrame:
     """Long forms in names of stations, and the names as part of a file name."""
     long = F.concat(F.lit("Park Place "), "name", F.lit(" Atlantic Av-Barclays Ctr, Port Authority Bus Terminal"))
-    slugs = m.spark.createDataFrame([(r.complex_id, slug(r.name)) for r in m.complexes.select("complex_id", "name").collect()], "complex_id int, slug string")  # 25 nations
-    return m.complexes.join(F.broadcast(slugs), "complex_id").select("complex_id", abbreviated(long).alias("name"), "slug")
+    return m.complexes.select("complex_id", abbreviated(long).alias("name"), slug(F.col("name")).alias("slug"))
 
 
 def month_labels(m: Model) -> DataFrame:
@@ -237,7 +242,7 @@ QUERIES: tuple[Callable[[Model], DataFrame], ...] = (
     regional_top_pairs, route_sets, platform_narrowed_name, walk_points, scenario_routes, scenario_product, one_seat_systemwide, nearest_platform, shortest_walk,
     report_rows, outcomes, evaluated_pairs, rider_stats_both_ends, rider_stats_either_end, symmetric_pairs, origin_stats, destination_stats, transition_matrix, gained_lost_net,
     changed_pairs_topk, station_changes, boundary_scope, express_partners, effective_origin_routes, one_seat_boundary, walk_boundary, boundary_dest_stats,
-    boundary_origin_stats, corridor_swap_comparison, station_lookup, scenario_moves, abbreviated_names, month_labels, changed_stations, off_corridors,
+    boundary_origin_stats, corridor_swap_comparison, station_lookup, scenario_moves, scenario_faults, abbreviated_names, month_labels, changed_stations, off_corridors,
 )
 
 
