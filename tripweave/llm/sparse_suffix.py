@@ -3,12 +3,16 @@
 Only suffixes that start at content-selected places are retained: the
 minimisers, least hashes of a few words within a sliding window, which two
 copies of a passage select alike. Suffixes that share their first words, their
-head, are sorted by the words after it and compared with their neighbours, and
-matches are extended to the left. As a passage of ``MIN_WORDS`` words can reach
-any number of words to the left of a head, this is done for each number: the
-suffixes are sorted by so many words before the head and the rest of
-``MIN_WORDS`` after it, and equal neighbours match. Suffixes that share their
-head with no other are dropped before the sort.
+head, meet (others are dropped) and are sorted word by word, words in the order
+of their hashes; the common prefix of each two neighbours is measured, and that
+of any two suffixes is the least between them. Matches are then extended to the
+left, one word after the other: suffixes with the same words before the head
+keep their order, so the neighbours among them have the longest common prefix,
+and they match if the words before and after make ``MIN_WORDS`` together.
+
+A suffix travels with as many words around its head as a passage of
+``MIN_WORDS`` can reach. A longer passage holds a minimiser within each such
+reach, so its matches overlap and are joined to the whole of it.
 """
 
 from __future__ import annotations
@@ -52,23 +56,38 @@ def retained(min_words: int = MIN_WORDS):
     return found
 
 
+def suffix_order(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of each part, sorted by their words, and how many words after the head each shares with the next; -1 at a part's end."""
+    order = np.lexsort((*block.right.T[::-1], block.own))
+    common = block.common_right(order[:-1], order[1:])
+    return order, np.where(block.own[order[:-1]] == block.own[order[1:]], common, -1)
+
+
 def matched(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, int]]] | None:
     """Suffixes, and how many words before and after their head they share at most with others of their part; one suffix
     for each window (places, words before the head) of split blocks. None if words taken for equal differ.
 
-    All windows of a suffix hold its head, so together they are one span; the
-    first and the last are compared word by word with the neighbour's.
+    With more words before the head a suffix shares fewer after it, so of the
+    matches of a suffix the one with the fewest words before the head has the
+    most after it, just enough for a passage (all that travel, if it has none
+    before). All hold its head, so together they are one span; both ends are
+    compared word by word with the neighbour's.
     """
     n = len(block.at)
+    order, common = suffix_order(block)
     least, most, seen = np.full(n, block.around + 1), np.full(n, -1), []
     first_beside, last_beside = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    live = np.arange(n)  # in the order of suffixes
     for l in range(block.around + 1):
-        places, codes = block.windows(l)
-        if not len(places):
-            continue
-        order = np.argsort(codes)
-        p = places[order]
-        same = np.flatnonzero(codes[order[1:]] == codes[order[:-1]])
+        live = live[block.n_left[order[live]] >= l]
+        if not len(live):
+            break
+        # suffixes of one number share enough words after the head
+        run = np.concatenate(([0], np.cumsum(common < block.around - l)))[live]
+        before = block.left_sums[order[live], l] ^ block.own[order[live]]
+        by = np.argsort(before, kind="stable")
+        p, beside = order[live[by]], before[by[1:]] == before[by[:-1]]
+        same = np.flatnonzero(beside & (run[by[1:]] == run[by[:-1]]))
         for own, other in ((p[same], p[same + 1]), (p[same + 1], p[same])):
             new = least[own] > block.around
             least[own[new]] = l
@@ -76,7 +95,14 @@ def matched(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tupl
             most[own] = l
             first_beside[own] = other
         first = p[np.setdiff1d(np.arange(len(p)), same + 1, assume_unique=True)]
-        seen.append((first[block.split[first]], l))
+        seen.append((first[block.split[first] & (block.n_right[first] >= block.around - l)], l))
+        # who shares these words before the head with no other shares no more of them either; other parts may
+        alone = np.ones(len(p), bool)
+        alone[1:] &= ~beside
+        alone[:-1] &= ~beside
+        stays = np.ones(len(p), bool)
+        stays[by] = ~alone | block.split[p]
+        live = live[stays]
     places = np.flatnonzero(most >= 0)
     for l, beside in ((most[places], first_beside[places]), (least[places], last_beside[places])):
         if block.slices(places, l, block.around - l) != block.slices(beside, l, block.around - l):
