@@ -30,6 +30,8 @@ BUCKETS, SAMPLE_IDS = 4096, 20_000
 SHARPNESS = 6.0
 #: Weight of changes of rates beside the distance to the targets; part of all tokens by which the first-order condition may be off.
 RIDGE, EXACT = 1e-7, 1e-6
+#: That weight where rows are drawn: rates then follow the posteriors smoothly, at the price of a thousandth of all tokens.
+SMOOTH = 1e-3
 #: Domains and weights of the query.
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
@@ -84,12 +86,12 @@ def rate(multipliers: np.ndarray, most: float | None = None) -> Column:
 Point = tuple[float, np.ndarray, np.ndarray]
 
 
-def solved(at: Callable[[np.ndarray], Point], targets: np.ndarray, total: float) -> np.ndarray:
+def solved(at: Callable[[np.ndarray], Point], targets: np.ndarray, total: float, weight: float = RIDGE) -> np.ndarray:
     """The multipliers whose projected rates meet the first-order condition of the least squares.
 
     ``at`` gives, for multipliers, half the sum of the squared rates in tokens
     (linear beyond a bound), the domains' tokens, and the Gram matrix of the
-    rows whose rate is at no bound. With a small weight RIDGE on changes of the
+    rows whose rate is at no bound. With a small ``weight`` on changes of the
     rates, which makes them unique, the multipliers are the residuals divided by
     it, and are the minimum of a convex function whose gradient and curvature
     these are. Each step is the gradient, scaled by the curvature, and halved
@@ -97,7 +99,7 @@ def solved(at: Callable[[np.ndarray], Point], targets: np.ndarray, total: float)
     """
     k, x = len(targets), np.zeros(len(targets))
     unit = max(1.0, total)
-    for ridge in (1e-2, 1e-3, 1e-4, 1e-5, 1e-6, RIDGE):  # each starts where the one before ended
+    for ridge in (*(r for r in (1e-2, 1e-3, 1e-4, 1e-5, 1e-6) if r > weight), weight):  # each starts where the one before ended
         keep = ridge * unit
 
         def value(x: np.ndarray, point: Point, keep: float = keep) -> float:
@@ -121,7 +123,7 @@ def solved(at: Callable[[np.ndarray], Point], targets: np.ndarray, total: float)
     return x
 
 
-def fitted(members: DataFrame, targets: np.ndarray, most: float | None = None) -> np.ndarray:
+def fitted(members: DataFrame, targets: np.ndarray, most: float | None = None, weight: float = RIDGE) -> np.ndarray:
     """Multipliers for :func:`rate` with which the domains' expected tokens come as near to ``targets`` as rates from 0 to ``most`` allow.
 
     Each step is one aggregate over ``members`` (tokens, posteriors), of a few numbers a pair of domains.
@@ -140,7 +142,7 @@ def fitted(members: DataFrame, targets: np.ndarray, most: float | None = None) -
             gram[i, j] = gram[j, i] = v
         return float(first), np.array(rest[:k]), gram
 
-    return solved(at, targets, float(targets.sum()))
+    return solved(at, targets, float(targets.sum()), weight)
 
 
 def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], text: str = "text") -> DataFrame:
@@ -191,7 +193,9 @@ def thinned(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float])
 
     No row comes twice, so rates are fitted between 0 and 1: the domains' kept
     tokens meet their ``weights``' shares of all tokens, or, where a domain has
-    fewer, come as near as its rows allow, and no other domain loses rows for it.
+    fewer, all that it has, and no other domain loses rows for it. Targets are
+    thus within reach: the least squares of one out of reach would choose
+    among rows of the other domains by traces of it in their posteriors.
     Rows are numbered in the table that their posteriors are written to, and a
     hash of the number decides, so null and repeated ids and equal texts are
     drawn row by row. Null and empty texts have the prior as posteriors. All
@@ -205,6 +209,7 @@ def thinned(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float])
     members = rows.select("tokens", "posteriors")
     total = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = np.array([weights[d] for d in domains], float)
-    multipliers = fitted(members, share / share.sum() * total, 1.0)
+    present = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("posteriors")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
+    multipliers = fitted(members, np.minimum(share / share.sum() * total, present), 1.0, SMOOTH)
     chance = F.pmod(F.xxhash64("__row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.filter(chance < rate(multipliers, 1.0)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
