@@ -98,6 +98,47 @@ def brute_classes(rows):
     return links, label
 
 
+def test_suffixes_are_sorted_by_their_words():
+    """The order of suffixes and the common prefixes of neighbours, within parts, against plain lists of words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tripweave.llm.blocks import Block, words_of as hashes
+
+    rng = random.Random(5)
+    around, rows = 6, []
+    for part in (0, 1):
+        for place in range(60):
+            left, right = ([rng.choice("ab") for _ in range(rng.randrange(around + 1))] for _ in range(2))
+            rows.append((part, place, left, right))
+    n = len(rows)
+    lo, at = np.zeros(n, np.int32), np.array([len(left) for _, _, left, _ in rows], np.int32)
+    hi = at + 2 + np.array([len(right) for *_, right in rows], np.int32)
+    columns = {"key": pa.array([9] * n), "part": pa.array([p for p, *_ in rows], pa.int32()), "split": pa.array(np.zeros(n, bool)), "lo": pa.array(lo), "at": pa.array(at), "hi": pa.array(hi),
+               "row": pa.array([i for _, i, *_ in rows]), "k": pa.array([i for _, i, *_ in rows]), "words": pa.array([" ".join([*left, "h", "h", *right]).encode() for *_, left, right in rows], pa.binary())}
+    block = Block(pa.table(columns), 2, around)
+    order, common = sparse_suffix.suffix_order(block)
+    code = {w: int(hashes(w.encode())[0][0] | np.uint64(1)) for w in "ab"}
+    sorted_parts = [[[code[w] for w in rows[i][3]] for i in order.tolist() if rows[i][0] == p] for p in (0, 1)]
+    assert all(x == sorted(x) for x in sorted_parts) and sorted(order.tolist()) == list(range(n))
+    assert (common == -1).sum() == 1
+    for i, j, c in zip(order[:-1].tolist(), order[1:].tolist(), common.tolist()):
+        if c >= 0:
+            pairs = list(zip(rows[i][3], rows[j][3]))
+            assert c == next((m for m, (x, y) in enumerate(pairs) if x != y), len(pairs))
+    # a suffix matches if some other of its part has as many words before and after the head in common as a passage needs
+    places, before, after, _ = sparse_suffix.matched(block)
+    got = dict(zip(places.tolist(), zip(before.tolist(), after.tolist())))
+
+    def alike(x, y):
+        return next((m for m, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+
+    for i, (part, _, left, right) in enumerate(rows):
+        met = [(alike(left[::-1], y[2][::-1]), alike(right, y[3])) for j, y in enumerate(rows) if j != i and y[0] == part]
+        met = [(l, r) for l, r in met if l + r >= around]
+        assert got.get(i) == ((max(l for l, _ in met), max(r for _, r in met)) if met else None)
+
+
 @pytest.mark.parametrize(("leaf", "weight"), [(4096, 8_000_000), (3, 8_000_000), (4096, 400)])
 def test_chosen_paths_lose_no_link(docs, rows, monkeypatch, leaf, weight):
     monkeypatch.setattr(chosen_path, "LEAF", leaf)  # 3: buckets are split along paths, and at last into pairs of parts
