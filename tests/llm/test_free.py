@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tripweave.llm import bpe, chosen_path, ordinal, rlz, sparse_suffix, url_filter
 from tripweave.llm.components import components
@@ -223,6 +224,36 @@ def test_urls_of_odd_tables(spark):
     assert sum(r["count"] for r in hot) == 5000 + len(URLS)
 
 
+def test_urls_learn_from_what_pages_say(spark):
+    """A teacher of labelled texts labels pages, the urls' words learn from them, and pages held out are judged by their urls alone."""
+    rng = random.Random(3)
+    fair, foul = ["river", "stone", "meadow", "garden", "letter", "window"], ["scum", "moron", "trash", "idiot"]
+    prose = lambda bad: " ".join(rng.choice(foul if bad and rng.random() < 0.4 else fair) for _ in range(30))
+    docs = spark.createDataFrame([(i, prose(i % 3 == 0)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    teacher = ordinal.trained(docs, labels)
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        host = ("moronscum" if bad else "rivergarden") + rng.choice([".info", ".net"])
+        rows.append((i, f"http://{host}/{'trash' if bad else 'letter'}/{i}", f"<p>{prose(bad)}</p>"))
+    rows += [(403 + i, "http://stonewindow.info/", f"<p>{prose(True)}</p>") for i in range(5)]  # one host alone teaches nothing of its own words
+    rows += [(400, "http://trashmoron.net/x", None), (401, "http://gardenstone.net/x", ""), (402, None, f"<p>{prose(True)}</p>"), (None, "http://moronscum.org/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("label", F.lit("clash")).repartition(3)
+    named = pages.select("page_id", "url", "html", F.col("page_id").alias("row")).filter("page_id < 402")
+    label = {r.page_id: r.label for r in url_filter.taught(named, teacher).collect()}
+    assert all(label[i] == ("block" if i % 4 == 0 else "allow") for i in range(400)) and label[400] is label[401] is None
+    got = {r.page_id: r for r in url_filter.judged_urls(pages, teacher=teacher).collect()}
+    assert len(got) == len(rows) and got[403].words[:2] == ["stone", "window"] and got[403].verdict == "allow"
+    assert all(got[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(400))
+    assert got[400].words[:2] == ["trash", "moron"] and got[400].verdict == "block" and got[401].verdict == "allow"
+    assert (got[None].rule, got[None].verdict) == ("org/", "allow") and got[None].score > 0  # the rule decides
+    # held out: no page judged wrongly, whatever rules say of it
+    found = url_filter.held_out(pages, teacher)
+    assert found["block_allow"] <= 1 and found["allow_block"] == 0 and found["block_block"] > 10 and found["allow_allow"] > 30
+    assert url_filter.judged_urls(pages.limit(0), teacher=teacher).count() == 0
+
+
 def test_viterbi_finds_the_likeliest_split():
     counts = {"cheap": 5, "pills": 4, "he": 50, "a": 60, "pill": 6, "s": 3}
     total = 200

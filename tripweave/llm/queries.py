@@ -32,9 +32,10 @@ def op7_threshold_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_url_words(spark: SparkSession, folder: str) -> DataFrame:
+    from .ordinal import trained
     from .url_filter import judged_urls
 
-    return judged_urls(table(spark, folder, "pages"))
+    return judged_urls(table(spark, folder, "pages"), teacher=trained(table(spark, folder, "documents"), table(spark, folder, "labels")))
 
 
 def op3_rlz_substrings(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Host names often run words together. A unigram model, counted over the text of
 all pages, splits each label of a host into its likeliest words (Viterbi). A
-multinomial naive Bayes model scores these words and the words of the path; it
-learns from the pages that the rules judge, so the rules' verdicts are its
-labels and no list of sites is written down anywhere; the rules' own words, which
-decide these labels, are no features. Labels meet their
+multinomial naive Bayes model scores these words and the words of the path. Its
+labels come from what the pages say: a ``teacher``, the quality model of labelled
+documents, grades each page's text, and the pages of which it is sure are
+learned from. Without a teacher the rules' verdicts are the labels, and the
+rules' own words, which decide them, are no features. Labels of hosts meet their
 possible words in a join, so neither the vocabulary nor the hosts have to fit
 anywhere.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, small_batches, spread_join, stored
+from .ordinal import Features, Model
 
 
 class Rule(NamedTuple):
@@ -42,6 +44,10 @@ RULES = (
 LONGEST_WORD = 63
 #: Distinct words, at most, that naive Bayes knows: those that most labelled pages have.
 VOCABULARY = 100_000
+#: A teacher is sure of a page whose chance of the best grade is this or more, or as near to 0.
+SURE = 0.8
+#: Mark-up of a page, with what it does not show.
+MARK_UP = r"(?si)<(script|style)\b.*?</\1\s*>|<[^>]*>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,7 +83,7 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
         import pyarrow as pa
         import regex
 
-        mark_up = regex.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", regex.S | regex.I)
+        mark_up = regex.compile(MARK_UP)
         word = regex.compile(rf"(?<!\p{{L}})\p{{L}}{{2,{LONGEST_WORD}}}(?!\p{{L}})")
         counts: Counter[str] = Counter()
         shown = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -167,11 +173,13 @@ def words_of_rules(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({w for r in rules for w in re.findall(r"[^\W\d_]+", r.name.lower())})
 
 
-def trained(tokens: DataFrame, rules: tuple[Rule, ...] = RULES, vocabulary: int = VOCABULARY) -> NaiveBayes:
+def trained(tokens: DataFrame, rules: tuple[Rule, ...] = RULES, vocabulary: int = VOCABULARY, several_hosts: bool = False) -> NaiveBayes:
     """The model of all labelled pages: rows with ``given`` (block or allow) and ``words``.
 
     Words that the rules are made of are left out: they decide the labels, so
-    what they seem to tell would not hold where no rule fits.
+    what they seem to tell would not hold where no rule fits. With
+    ``several_hosts`` so are words that pages of one ``host`` alone have, so that
+    no verdict hangs on how the few pages of a single host were labelled.
     The ``vocabulary`` words that stand most often in them (ties: the smaller
     word) get a weight; their counts are all that the driver sees. Without
     labelled pages all weights and the prior are 0.
@@ -180,30 +188,49 @@ def trained(tokens: DataFrame, rules: tuple[Rule, ...] = RULES, vocabulary: int
     blocked = F.col("given") == "block"
     both = lambda of: (F.count(F.when(blocked, of)), F.count(F.when(~blocked, of)))
     pages = labelled.agg(*both(F.lit(1))).first()
-    each = labelled.select("given", F.explode("words").alias("word")).filter(~F.col("word").isin(words_of_rules(rules)))
+    host = F.col("host") if several_hosts else F.lit("")
+    each = labelled.select("given", host.alias("host"), F.explode("words").alias("word")).filter(~F.col("word").isin(words_of_rules(rules)))
     totals = each.agg(*both(F.lit(1))).first()
     b, a = both(F.lit(1))
-    found = each.groupBy("word").agg(b.alias("b"), a.alias("a")).orderBy(F.desc(F.col("b") + F.col("a")), "word").limit(vocabulary).toArrow()
+    counted = each.groupBy("word").agg(b.alias("b"), a.alias("a"), (F.min("host") < F.max("host")).alias("several"))
+    if several_hosts:
+        counted = counted.filter("several")
+    found = counted.orderBy(F.desc(F.col("b") + F.col("a")), "word").limit(vocabulary).toArrow()
     counts = dict(zip(found["word"].to_pylist(), zip(found["b"].to_pylist(), found["a"].to_pylist())))
     return NaiveBayes.fitted(counts, tuple(totals), tuple(pages))
 
 
-def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
-    """page_id, host, path, rule, verdict, words, score of every page.
+def taught(named: DataFrame, teacher: Model, sure: float = SURE) -> DataFrame:
+    """row, page_id, url, label of ``named`` (these, and html): block or allow where the teacher is sure of the page's text, else null; null too without a text."""
+    small_batches(named.sparkSession)
+    shared = named.sparkSession.sparkContext.broadcast(tuple(teacher))  # a fixed number of weights
 
-    The verdict is that of the longest rule that fits, else ``block`` where
-    naive Bayes, learned from all pages that a rule judges, finds the words of
-    host and path likelier on blocked pages (``score`` above 0; a tie is
-    allowed). A null url has an empty host and path, no words, and the prior
-    alone decides; a null page text adds no words to the unigram model. Repeated
-    rows count and come out as often; an empty table gives none; other columns
-    are ignored.
-    """
+    def run(batches: Iterator) -> Iterator:
+        import html
+
+        import numpy as np
+        import pyarrow as pa
+        import regex
+
+        mark_up, features, model = regex.compile(MARK_UP), Features(), Model(*shared.value)
+        for batch in batches:
+            texts = [html.unescape(mark_up.sub(" ", t)) if t else "" for t in batch["html"].to_pylist()]
+            best = model.tail(np.array([model.score(features(t)) for t in texts], float))[:, -1]
+            labels = [None if not t.strip() else "allow" if p >= sure else "block" if p <= 1 - sure else None for t, p in zip(texts, best.tolist())]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["page_id"], batch["url"], pa.array(labels, pa.string())], ["row", "page_id", "url", "label"])
+
+    return named.select("row", "page_id", "url", "html").mapInArrow(run, "row long, page_id long, url string, label string")
+
+
+def url_words(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", page_id: str = "page_id", teacher: Model | None = None) -> DataFrame:
+    """row, page_id, host, path, rule, given (the rule's verdict), label (what is learned from, or null) and words of every page, written out."""
     spark = pages.sparkSession
     small_batches(spark)
     rule, verdict = ruled(rules)
-    named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.monotonically_increasing_id().alias("row"))
-    parts = stored(parsed(named).select("row", "page_id", "host", "path", rule.alias("rule"), verdict.alias("given")), "urls")
+    named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), F.monotonically_increasing_id().alias("row"))
+    named = taught(named, teacher) if teacher else named.drop("html")
+    label = F.col("label") if teacher else verdict
+    parts = stored(parsed(named).select("row", "page_id", "host", "path", rule.alias("rule"), verdict.alias("given"), label.alias("label")), "urls")
     hosts = stored(parts.groupBy("host").count(), "hosts")
     counts = stored(word_counts(pages, html), "unigrams")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -218,10 +245,17 @@ def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "u
     split = hosts.select("host").join(of_host, "host", "left").select("host", F.coalesce("host_words", none).alias("host_words"))
     # a host may have a third of the pages: its rows are dealt to several tasks
     met = spread_join(parts, split, ["host"], hosts, "row")
-    tokens = stored(met.select("page_id", "host", "path", "rule", "given", F.concat("host_words", letters_of("path")).alias("words")), "url-words")
+    tokens = stored(met.select("row", "page_id", "host", "path", "rule", "given", "label", F.concat("host_words", letters_of("path")).alias("words")), "url-words")
     discard(parts)
-    model = trained(tokens, rules)
-    shared = spark.sparkContext.broadcast(tuple(model))  # VOCABULARY words at most
+    return tokens
+
+
+_TOKENS = "row long, page_id long, host string, path string, rule string, given string, label string, words array<string>"
+
+
+def scored_words(tokens: DataFrame, model: NaiveBayes) -> DataFrame:
+    """``tokens`` with ``score``: how much likelier the words are on blocked pages (logarithm)."""
+    shared = tokens.sparkSession.sparkContext.broadcast(tuple(model))  # VOCABULARY words at most
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -231,7 +265,44 @@ def judged_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "u
             found = [round(bayes.prior + bayes.score(words), 6) for words in batch["words"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    scored = tokens.mapInArrow(score, "page_id long, host string, path string, rule string, given string, words array<string>, score double")
-    return scored.select(
+    return tokens.mapInArrow(score, _TOKENS + ", score double")
+
+
+def learned(tokens: DataFrame, rules: tuple[Rule, ...], teacher: Model | None) -> NaiveBayes:
+    """The model of the labelled pages: without words of a single host if a teacher made the labels, without the rules' words if rules did."""
+    return trained(tokens.select(F.col("label").alias("given"), "host", "words"), () if teacher else rules, several_hosts=teacher is not None)
+
+
+def judged_urls(
+    pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", page_id: str = "page_id", teacher: Model | None = None,
+) -> DataFrame:
+    """page_id, host, path, rule, verdict, words, score of every page.
+
+    The verdict is that of the longest rule that fits, else ``block`` where
+    naive Bayes, learned from all pages of whose text the ``teacher`` is sure
+    (without one: that a rule judges), finds the words of host and path likelier
+    on blocked pages (``score`` above 0; a tie is allowed). A null url has an
+    empty host and path, no words, and the prior alone decides; a null page text
+    adds no words to the unigram model and teaches nothing. Repeated
+    rows count and come out as often; an empty table gives none; other columns
+    are ignored.
+    """
+    tokens = url_words(pages, rules, url, html, page_id, teacher)
+    return scored_words(tokens, learned(tokens, rules, teacher)).select(
         "page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score",
     )
+
+
+def held_out(pages: DataFrame, teacher: Model, fold: int = 5, rules: tuple[Rule, ...] = RULES) -> dict[str, int]:
+    """How many pages of one of ``fold`` parts, by a hash of the row, a model of the other parts judges rightly and wrongly by their urls.
+
+    Keys: block_block, block_allow, allow_block, allow_allow: the teacher's
+    label, then the model's; pages without a label do not count. Rules only
+    serve to be parsed; their verdicts are left aside.
+    """
+    tokens = url_words(pages, rules, teacher=teacher)
+    tested = F.pmod(F.xxhash64("row"), F.lit(fold)) == 0
+    model = learned(tokens.filter(~tested), rules, teacher)
+    judged = scored_words(tokens.filter(tested & F.col("label").isNotNull()), model)
+    found = judged.groupBy(F.concat_ws("_", "label", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("pair")).count()
+    return {f"{a}_{b}": 0 for a in ("block", "allow") for b in ("block", "allow")} | {r["pair"]: r["count"] for r in found.collect()}
