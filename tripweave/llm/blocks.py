@@ -24,6 +24,8 @@ PART = 4096
 PERIOD, LOOP = 14, 256
 #: Bytes, about, of the contexts that go on at a time.
 CONTEXTS = 16 << 20
+#: Places and bytes of contexts, about, that are compared at a time; a part is never cut.
+PLACES, BYTES = 8_192, 16 << 20
 _PLACE = ["row", "key", "lo", "at", "hi"]
 #: Word hashes of a text to the keys of its places, the first and one past the last word of their contexts, and where the key's words start.
 Places = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]
@@ -214,7 +216,7 @@ class Block:
 
 def each_block(batches: Iterator, size: int, around: int, rows: int, compared: Callable[[Block], tuple | None]) -> Iterator[tuple[Block, tuple]]:
     """Each block and what ``compared`` finds in it; None, where words that it took for equal differ, means another attempt."""
-    for table in whole_groups(batches, ["key", "part"], rows):
+    for table in whole_groups(batches, ["key", "part"], rows, BYTES):
         for attempt in count():
             block = Block(table, size, around, attempt)
             if (found := compared(block)) is not None:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PART, Block, blocks, each_block
+from .blocks import PART, PLACES, Block, blocks, each_block
 from .common import document_rows, prefix_sums, selected, small_batches, span_hash, spread_join, stored
 from .rlz import listed_spans, span_lists
 
@@ -120,7 +120,7 @@ def _matches(min_words: int):
         import pyarrow as pa
 
         names = [x.split()[0] for x in _MATCHES.split(", ")]
-        for block, (places, before, after, seen) in each_block(batches, head, WIDTH - 1, 32_768, matched):
+        for block, (places, before, after, seen) in each_block(batches, head, WIDTH - 1, PLACES, matched):
             found = [(places, block.at[places] - before, block.at[places] + head + after, None)]
             found += [(p, block.at[p] - l, block.at[p] - l + min_words, block.digests(p, l)) for p, l in seen]
             for p, start, end, codes in found:
