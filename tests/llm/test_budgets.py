@@ -1,11 +1,15 @@
-"""What op3 and op8 hold at a time: memory of a Python worker."""
+"""What op3 and op8 hold at a time: memory of a Python worker, shuffle files on disk."""
 
+import os
 import random
+import time
 import tracemalloc
 
 import numpy as np
+import pytest
 
-from tripweave.llm import sparse_suffix
+from tripweave.llm import rlz, sparse_suffix
+from tripweave.llm.common import CLEANUP
 
 
 def contexts(places: int, size: int, around: int):
@@ -33,3 +37,26 @@ def test_a_worker_holds_little_however_large_its_partition():
     tracemalloc.stop()
     assert found == 40_000
     assert most < 160e6  # 196 MB with blocks of 32,768 places
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files on disk, by name."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f: os.path.getsize(f) for f in files if "/shuffle_" in f and os.path.exists(f)}
+
+
+@pytest.mark.parametrize("made", [rlz.without_repeats, sparse_suffix.repeated_passages])
+def test_no_step_leaves_its_shuffle_files(spark, made):
+    rng = random.Random(3)
+    passage = [str(rng.randrange(10**6)) for _ in range(400)]
+    rows = [(i, " ".join([*passage, *(str(rng.randrange(10**6)) for _ in range(400))])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    old = shuffled(spark)
+    before = spark.conf.get(CLEANUP)
+    found = made(docs)  # all steps but the last are done here
+    ends = time.time() + 20
+    while (left := sum(n for f, n in shuffled(spark).items() if f not in old)) > 20_000 and time.time() < ends:
+        time.sleep(0.2)
+    assert left <= 20_000  # 80,000 and more otherwise
+    assert spark.conf.get(CLEANUP) == before
+    assert found.count() == 40 and len(found.collect()) == 40

@@ -126,8 +126,8 @@ def blocks(rows: DataFrame, found: Places, part: int = PART) -> tuple[DataFrame,
     spark = rows.sparkSession
     every = stored(rows.mapInArrow(_places(found), "row long, key long, lo int, at int, hi int"), "places")
     places = every.filter("key IS NOT NULL")
-    again = stored(every.filter("key IS NULL").join(rows.select("row", "k"), "row").select("row", "k", F.col("lo").alias("start"), F.col("at").alias("period"), F.col("hi").alias("end")), "loops")
-    often = stored(places.groupBy("key").count().filter("count > 1"), "shared-keys")
+    again = stored(every.filter("key IS NULL").join(rows.select("row", "k"), "row").select("row", "k", F.col("lo").alias("start"), F.col("at").alias("period"), F.col("hi").alias("end")), "loops", clean=True)
+    often = stored(places.groupBy("key").count().filter("count > 1"), "shared-keys", clean=True)
     met = spread_join(places, often, ["key"], often, "row", part)
     parts = F.ceil(F.col("count") / part).cast("int")
     # at most as many places of a document as it has words
@@ -135,6 +135,7 @@ def blocks(rows: DataFrame, found: Places, part: int = PART) -> tuple[DataFrame,
         met.select("row", F.struct("key", F.pmod(F.xxhash64("row", "at"), parts).cast("int").alias("part"), (parts > 1).alias("split"), "lo", "at", "hi").alias("place"))
         .groupBy("row").agg(F.collect_list("place").alias("places")),
         "shared-places",
+        clean=True,
     )
     discard(every)
     discard(often)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PART, Block, blocks, each_block
+from .blocks import PART, PLACES, Block, blocks, each_block
 from .common import document_rows, prefix_sums, selected, small_batches, span_hash, spread_join, stored, unpacker
 
 #: A factor has at least so many words.
@@ -117,7 +117,7 @@ def _parse(window: int, anchor: int):
         import pyarrow as pa
 
         names = [x.split()[0] for x in _FACTORS.split(", ")]
-        for block, (factors, new) in each_block(batches, anchor, window - anchor, 32_768, parsed):
+        for block, (factors, new) in each_block(batches, anchor, window - anchor, PLACES, parsed):
             if factors:
                 place, before, after, source = (np.concatenate(x) for x in zip(*factors))
                 if len(place):
@@ -140,11 +140,11 @@ def _parse(window: int, anchor: int):
 def factors(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, part: int = PART) -> DataFrame:
     """row, start, end, source_id, source_start (words) of the factors of every document of :func:`document_rows`; they may overlap."""
     shared, looped = blocks(rows, phrases(window, anchor), part)
-    found = stored(shared.mapInArrow(_parse(window, anchor), _FACTORS), "factors")
+    found = stored(shared.mapInArrow(_parse(window, anchor), _FACTORS), "factors", clean=True)
     names = ["row", "start", "end", "source_id", "source_start"]
     # Split blocks: windows that are new in their part meet those of the other parts.
     opened = found.filter("code IS NOT NULL").withColumn("place", F.struct(F.col("k").isNull().alias("no"), "k", "start"))
-    firsts = stored(opened.groupBy("code").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("count")).filter("first < last"), "first-windows")
+    firsts = stored(opened.groupBy("code").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("count")).filter("first < last"), "first-windows", clean=True)
     met = spread_join(opened.select("code", "row", "start", "end", "place"), firsts.drop("count"), ["code"], firsts.select("code", "count"), "row", part)
     late = met.filter(F.col("place") > F.col("first")).select("row", "start", "end", F.col("first.k").alias("source_id"), F.col("first.start").alias("source_start"))
     # a loop is one factor: its source is the text itself, a period before

@@ -134,10 +134,10 @@ def _matches(min_words: int):
 def matches(rows: DataFrame, min_words: int = MIN_WORDS, part: int = PART) -> DataFrame:
     """row, k, start, end (words) of matches in :func:`document_rows`; they may overlap and repeat."""
     shared, looped = blocks(rows, retained(min_words), part)
-    found = stored(shared.mapInArrow(_matches(min_words), _MATCHES), "matches")
+    found = stored(shared.mapInArrow(_matches(min_words), _MATCHES), "matches", clean=True)
     # Split blocks: each part shows every window once; those that several parts show match too. Within its part a window's equals are found.
     shown = found.filter("code IS NOT NULL")
-    again = stored(shown.groupBy("code").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("row", "start")).alias("a"), F.max(F.struct("row", "start")).alias("z")).filter("a < z").select("code", "count"), "repeated-windows")
+    again = stored(shown.groupBy("code").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("row", "start")).alias("a"), F.max(F.struct("row", "start")).alias("z")).filter("a < z").select("code", "count"), "repeated-windows", clean=True)
     across = spread_join(shown, again.select("code"), ["code"], again, "row", part)
     names = ["row", "k", "start", "end"]
     return found.filter("code IS NULL").select(*names).unionAll(across.select(*names)).distinct().unionAll(looped.filter(F.col("end") - F.col("start") - F.col("period") >= min_words).select(*names))  # a loop matches itself
